@@ -33,7 +33,10 @@ def _history(facts: DataFrame, key: str) -> DataFrame:
 
 
 def order_risk_features(facts: DataFrame) -> DataFrame:
-    """Per order: the customer's and the category's history, amount, region, payment."""
+    """Per order: the customer's and the category's history, amount, region, payment.
+
+    Prior rates are not rounded; they are NULL without prior orders.
+    """
     known = categorised(facts)
     customer = _history(known, "customer_id").withColumnsRenamed(
         {"prior_orders": "customer_prior_orders", "prior_returns": "customer_prior_returns"})
@@ -43,10 +46,10 @@ def order_risk_features(facts: DataFrame) -> DataFrame:
                          "region", "payment_method", "returned")
             .join(customer, ["customer_id", "order_date"])
             .join(category, ["category", "order_date"])
-            .withColumn("customer_prior_rate", m.rate(F.col("customer_prior_returns"),
-                                                      F.col("customer_prior_orders")))
-            .withColumn("category_prior_rate", m.rate(F.col("category_prior_returns"),
-                                                      F.col("category_prior_orders"))))
+            .withColumn("customer_prior_rate", m.quotient(F.col("customer_prior_returns"),
+                                                          F.col("customer_prior_orders")))
+            .withColumn("category_prior_rate", m.quotient(F.col("category_prior_returns"),
+                                                          F.col("category_prior_orders"))))
 
 
 def order_risk_score(features: DataFrame, strength: float = 5.0) -> DataFrame:
@@ -59,4 +62,4 @@ def order_risk_score(features: DataFrame, strength: float = 5.0) -> DataFrame:
     score = ((F.col("customer_prior_returns") + F.lit(strength) * baseline)
              / (F.col("customer_prior_orders") + F.lit(strength)))
     return features.select("order_id", "customer_id", "category", "order_date", "returned",
-                           F.round(score, 4).alias("risk_score"))
+                           score.alias("risk_score"))

@@ -260,8 +260,10 @@ feat AS (
          f.payment_method, f.returned, c.customer_prior_orders, c.customer_prior_returns,
          CAST(g.category_prior_orders AS BIGINT) AS category_prior_orders,
          CAST(g.category_prior_returns AS BIGINT) AS category_prior_returns,
-         {rate("customer_prior_returns", "customer_prior_orders")} AS customer_prior_rate,
-         {rate("category_prior_returns", "category_prior_orders")} AS category_prior_rate
+         {dbl("customer_prior_returns")} / nullif({dbl("customer_prior_orders")}, 0.0)
+           AS customer_prior_rate,
+         {dbl("category_prior_returns")} / nullif({dbl("category_prior_orders")}, 0.0)
+           AS category_prior_rate
   FROM fact f
   JOIN chist c ON f.customer_id = c.customer_id AND f.order_date = c.order_date
   JOIN ghist g ON f.category = g.category AND f.order_date = g.day
@@ -648,8 +650,8 @@ def twins() -> dict[str, str]:
             CAST(order_date AS VARCHAR) AS order_date) FROM feat""", RISK_FEATURES),
         "order_risk_score": t("""SELECT order_id, customer_id, category,
             CAST(order_date AS VARCHAR) AS order_date, returned,
-            round((customer_prior_returns + 5.0::DOUBLE * coalesce(category_prior_rate, 0.0))
-                  / (customer_prior_orders + 5.0::DOUBLE), 4) AS risk_score
+            (customer_prior_returns + 5.0::DOUBLE * coalesce(category_prior_rate, 0.0))
+              / (customer_prior_orders + 5.0::DOUBLE) AS risk_score
           FROM feat""", RISK_FEATURES),
         "sku_month_monitor": t(f"""SELECT *,
             total_orders >= 3 AND coalesce(return_rate >= 0.25, false) AS alert
