@@ -24,6 +24,7 @@ from backhaul.operators import (categories, cohorts, constraints, customers, eco
 from backhaul.plans.shared import shared_folder  # noqa: E402
 from backhaul.schemas import INGEST_SEQ  # noqa: E402
 from backhaul.sources import star  # noqa: E402
+from backhaul.streaming import jobs  # noqa: E402
 
 _LOADED: dict[tuple[str, str], Warehouse] = {}
 
@@ -47,13 +48,53 @@ def _present(rows: DataFrame) -> DataFrame:
     ])
 
 
-def _marts(w: Warehouse) -> DataFrame:
-    spark = w.staging.sparkSession
-    folder = shared_folder(spark, "marts")
+def _folder(w: Warehouse, purpose: str) -> str:
+    folder = shared_folder(w.staging.sparkSession, purpose)
     if folder is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return folder
+
+
+def _marts(w: Warehouse) -> DataFrame:
+    folder = _folder(w, "marts")
     marts.write_marts(w, folder)
-    return marts.mart_manifest(spark, folder, w)
+    return marts.mart_manifest(w.staging.sparkSession, folder, w)
+
+
+def _stream(w: Warehouse, table: str, rows: DataFrame) -> DataFrame:
+    return jobs.read_files(rows.sparkSession, f"{w.path}/{table}", rows.schema)
+
+
+def _stream_dedup(w: Warehouse) -> DataFrame:
+    once = jobs.dedup(_stream(w, "staging", w.staging))
+    return jobs.run_to_parquet(once.select("order_id", "customer_id", "order_date", "region"),
+                               _folder(w, "stream-dedup"))
+
+
+def _stream_loss_kpi(w: Warehouse) -> DataFrame:
+    kpi = jobs.loss_kpi(_stream(w, "order_facts", w.order_facts))
+    return (jobs.run_to_parquet(kpi, _folder(w, "stream-kpi"))
+            .withColumn("window_start", F.to_date("window_start"))
+            .withColumn("window_end", F.to_date("window_end")))
+
+
+def _stream_order_returns(w: Warehouse) -> DataFrame:
+    joined = jobs.order_returns(_stream(w, "order_facts", w.order_facts),
+                                _stream(w, "returns", w.returns))
+    return (jobs.run_to_parquet(joined, _folder(w, "stream-returns"))
+            .select("order_id", "customer_id", "total_amount",
+                    F.to_date("order_time").alias("order_date"),
+                    F.to_date("request_time").alias("request_date"),
+                    "return_reason", "returned"))
+
+
+def _stream_category_spike(w: Warehouse) -> DataFrame:
+    folder = _folder(w, "stream-spikes")
+    facts = _stream(w, "order_facts", w.order_facts)
+    jobs.category_spikes(facts, folder).awaitTermination()
+    return (w.staging.sparkSession.read.parquet(f"{folder}/alerts")
+            .select(F.to_date("window_start").alias("window_start"), "category", "total_orders",
+                    "returned_orders", "return_rate", "baseline_rate", "spike"))
 
 
 def _returned_rows(w: Warehouse) -> DataFrame:
@@ -133,6 +174,11 @@ OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "order_risk_score": lambda w: risk.order_risk_score(risk.order_risk_features(w.order_facts)),
     "sku_month_monitor": lambda w: trend.sku_month_monitor(w.order_facts),
 
+    "stream_dedup": _stream_dedup,
+    "stream_loss_kpi": _stream_loss_kpi,
+    "stream_order_returns": _stream_order_returns,
+    "stream_category_spike": _stream_category_spike,
+
     "dq_report": quality.dq_report,
     **{name: check.run for name, check in quality.CHECKS.items()},
 }

@@ -13,7 +13,10 @@ from backhaul.schemas import ORDERS, RETURNS
 
 @dataclass(frozen=True)
 class Warehouse:
-    """``order_returns`` is orders with the return attached, ``order_facts`` adds the category."""
+    """``order_returns`` is orders with the return attached, ``order_facts`` adds the category.
+
+    ``path`` is where the tables are stored, if they are.
+    """
 
     staging: DataFrame
     customers: DataFrame
@@ -22,6 +25,7 @@ class Warehouse:
     returns: DataFrame
     order_returns: DataFrame
     order_facts: DataFrame
+    path: str | None = None
 
     @classmethod
     def from_tables(cls, staging: DataFrame, customers: DataFrame, products: DataFrame,
@@ -66,4 +70,4 @@ class Warehouse:
         facts = table("order_facts")
         return cls(table("staging"), table("customers"), table("products"),
                    facts.select(*ORDERS.names), table("returns").select(*RETURNS.names),
-                   facts.drop("category"), facts)
+                   facts.drop("category"), facts, path)

@@ -422,6 +422,48 @@ def _layers() -> str:
                              ("returns", "ret")]))
 
 
+# Streams emit a 30-day window once the watermark (latest order date less 7 days) reaches its
+# end, and an order without return once none can follow within 90 days of it.
+KPI_WINDOWS = """windowed AS (
+  SELECT *, CAST(time_bucket(INTERVAL 30 DAY, order_date, DATE '1970-01-01') AS DATE)
+           AS window_start
+  FROM fact
+),
+finished AS (
+  SELECT * FROM windowed
+  WHERE window_start + INTERVAL 30 DAY <=
+        (SELECT max(order_date) FROM ord) - INTERVAL 7 DAY
+)"""
+
+SPIKES = f"""per_window AS (
+  SELECT window_start, category, count(order_id) AS total_orders, {RETURNS} AS returned_orders
+  FROM finished GROUP BY window_start, category
+),
+compared AS (
+  SELECT *, CAST(sum(returned_orders) OVER w AS DOUBLE) / sum(total_orders) OVER w AS baseline
+  FROM per_window
+  WINDOW w AS (PARTITION BY category ORDER BY window_start
+               ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)
+)"""
+
+
+def _manifest(sql: dict[str, str]) -> str:
+    """Row counts of the stored tables, from the counterparts of the queries behind them."""
+    pages = {
+        "revenue": ["net_revenue", "return_rate", "monthly_trend", "true_cost"],
+        "customers": ["customer_impact", "segment_summary", "top_value_customers",
+                      "cohort_retention"],
+        "products": ["product_return_risk", "product_leakage_rank", "pareto_loss"],
+        "categories": ["category_summary", "category_true_cost", "reason_by_category"],
+    }
+    rows = [f"SELECT 'tables' AS page, '{name}' AS mart, count(*) AS row_count FROM {table}"
+            for name, table in [("customers", "cust"), ("products", "prod"), ("orders", "ord"),
+                                ("returns", "ret")]]
+    rows += [f"SELECT '{page}', '{name}', count(*) FROM ({sql[name]})"
+             for page, names in pages.items() for name in names]
+    return _tables("\nUNION ALL\n".join(rows))
+
+
 STAGING_COLUMNS = f"""order_id, customer_id, product_id, category, {dbl("price")} AS price,
   {dbl("discount")} AS discount, CAST(customer_age AS BIGINT) AS customer_age, customer_gender,
   order_date, delivered_date, CAST(quantity AS BIGINT) AS quantity, payment_method, region,
@@ -661,7 +703,33 @@ def twins() -> dict[str, str]:
                   {rate(LOSS, 'sum(total_amount)')} AS loss_rate
                 FROM (SELECT *, strftime(order_date, '%Y-%m') AS month FROM fact)
                 GROUP BY GROUPING SETS ((month, category, product_id), (month, category)))"""),
+        "stream_dedup": f"""WITH {STAGING}
+          SELECT DISTINCT order_id, customer_id, order_date, region FROM stg""",
+        "stream_loss_kpi": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
+            CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
+            count(order_id) AS total_orders, {RETURNS} AS returned_orders,
+            {dbl('sum(total_amount)')} AS total_revenue, {dbl(LOSS)} AS return_loss,
+            {dbl(f'sum(total_amount) - {LOSS}')} AS net_revenue,
+            {rate(RETURNS, 'count(order_id)')} AS return_rate
+          FROM finished GROUP BY window_start""", KPI_WINDOWS),
+        "stream_order_returns": t(f"""SELECT o.order_id, o.customer_id,
+            {dbl('o.total_amount')} AS total_amount, CAST(o.order_date AS VARCHAR) AS order_date,
+            CAST(r.request_date AS VARCHAR) AS request_date, r.return_reason,
+            r.order_id IS NOT NULL AS returned
+          FROM ord o LEFT JOIN ret r ON o.order_id = r.order_id
+            AND r.request_date BETWEEN o.order_date AND o.order_date + 90
+          WHERE r.order_id IS NOT NULL
+             OR o.order_date < least((SELECT max(order_date) FROM ord),
+                                     (SELECT max(request_date) FROM ret)) - 90"""),
+        "stream_category_spike": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
+            category, total_orders, returned_orders,
+            {rate('returned_orders', 'total_orders')} AS return_rate,
+            round(baseline, 4) AS baseline_rate,
+            coalesce(CAST(returned_orders AS DOUBLE) / total_orders > 1.5::DOUBLE * baseline,
+                     false) AS spike
+          FROM compared""", f"{KPI_WINDOWS},\n{SPIKES}"),
         "dq_report": _report(),
     }
     sql.update({check: t(body) for check, body in CHECKS.items()})
+    sql["write_marts"] = _manifest(sql)
     return sql
