@@ -59,6 +59,13 @@ def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     return child.join(parent.select(key), key, "left_anti")
 
 
+def orphan_count(child: DataFrame, parent: DataFrame, key: str, name: str) -> DataFrame:
+    """Number of orphans. Child rows are counted per key first: the join then sees each key
+    once, whatever share of the rows it has."""
+    per_key = child.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return orphans(per_key, parent, key).agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias(name))
+
+
 def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
     return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
             .filter(F.col("copies") > 1))
@@ -75,9 +82,9 @@ def _row_rule_report(table: str, rows: DataFrame) -> DataFrame:
     return counted.select(F.lit(table).alias("table_name"), F.inline("rules"))
 
 
-def _count_report(table: str, kind: str, column: str, rows: DataFrame) -> DataFrame:
-    return rows.agg(F.lit(table).alias("table_name"), F.lit(kind).alias("kind"),
-                    F.lit(column).alias("column_name"), F.count(F.lit(1)).alias("violations"))
+def _labelled(table: str, kind: str, column: str, count: DataFrame) -> DataFrame:
+    return count.select(F.lit(table).alias("table_name"), F.lit(kind).alias("kind"),
+                        F.lit(column).alias("column_name"), "violations")
 
 
 def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFrame,
@@ -92,11 +99,12 @@ def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFra
     for name, keys in UNIQUE.items():
         for key in keys:
             known = tables[name].filter(F.col(key).isNotNull())
-            parts.append(_count_report(name, "UNIQUE", key, repeated_keys(known, key)))
+            repeated = repeated_keys(known, key).agg(F.count(F.lit(1)).alias("violations"))
+            parts.append(_labelled(name, "UNIQUE", key, repeated))
     for child, key, parent in FOREIGN_KEYS:
         known = tables[child].filter(F.col(key).isNotNull())
-        parts.append(_count_report(child, "FOREIGN KEY", key,
-                                   orphans(known, tables[parent], key)))
+        lost = orphan_count(known, tables[parent], key, "violations")
+        parts.append(_labelled(child, "FOREIGN KEY", key, lost))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

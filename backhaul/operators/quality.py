@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backhaul.functions import metrics as m
-from backhaul.operators.constraints import orphans, repeated_keys
+from backhaul.operators.constraints import orphan_count, repeated_keys
 from backhaul.operators.load import orders_dedup, unparsed_dates
 from backhaul.warehouse import Warehouse
 
@@ -109,7 +109,7 @@ CHECKS = {
         "FAIL — revenue mismatch between staging and orders table"),
     "dq_04": Check(
         "orphaned returns",
-        lambda w: _count(orphans(w.returns, w.orders, "order_id"), "orphaned_return_count"),
+        lambda w: orphan_count(w.returns, w.orders, "order_id", "orphaned_return_count"),
         _is_zero("orphaned_return_count"),
         "FAIL — return records exist with no matching order"),
     "dq_05": Check(
@@ -118,13 +118,12 @@ CHECKS = {
         "FAIL — null values found in critical columns"),
     "dq_06": Check(
         "orphaned customers",
-        lambda w: _count(orphans(w.orders, w.customers, "customer_id"),
-                         "orphaned_customer_count"),
+        lambda w: orphan_count(w.orders, w.customers, "customer_id", "orphaned_customer_count"),
         _is_zero("orphaned_customer_count"),
         "FAIL — orders reference customer_ids not in customers table"),
     "dq_07": Check(
         "orphaned products",
-        lambda w: _count(orphans(w.orders, w.products, "product_id"), "orphaned_product_count"),
+        lambda w: orphan_count(w.orders, w.products, "product_id", "orphaned_product_count"),
         _is_zero("orphaned_product_count"),
         "FAIL — orders reference product_ids not in products table"),
     "dq_08": Check(

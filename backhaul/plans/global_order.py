@@ -78,51 +78,67 @@ def with_global_order(df: DataFrame, value: str, key: str, *, row_number: str |
     buckets = bucket_count(df, buckets)
     bucketed = with_bucket(df, value, key, buckets)
 
-    # At most `buckets` rows from here to `offsets`: one-task windows and the broadcast are
-    # bounded by that number, not by the data.
-    per_value = bucketed.groupBy("_bucket", value).agg(F.count(F.lit(1)).alias("_n"))
-    last = F.max_by(F.struct(F.col(value).alias("value"), F.col("_n").alias("n")),
-                    position(value, "_bucket"))
-    first = F.min_by(F.struct(F.col(value).alias("value")), position(value, "_bucket"))
-    totals = per_value.groupBy("_bucket").agg(
-        F.sum("_n").alias("_rows"),
-        F.sum(F.col(value) * F.col("_n")).alias("_sum"),
-        first["value"].alias("_top"), last["value"].alias("_bottom"),
-        last["n"].alias("_bottom_rows"),
-    )
-    ahead = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    in_order = Window.orderBy("_bucket")
-    offsets = (
-        totals
-        .withColumn("_rows_ahead", F.coalesce(F.sum("_rows").over(ahead), F.lit(0)))
-        .withColumn("_sum_ahead", F.sum("_sum").over(ahead))
-        # Rank where the run of equal values that ends this bucket begins. A run can cover
-        # several buckets; it begins in the first bucket that ends with its value.
-        .withColumn("_run_start", F.min(F.col("_rows_ahead") + F.col("_rows")
-                                        - F.col("_bottom_rows") + 1)
-                    .over(Window.partitionBy("_bottom")))
-        .withColumn("_continues", F.coalesce(
-            F.lag("_bottom").over(in_order).eqNullSafe(F.col("_top"))
-            & (F.col("_rows_ahead") > 0), F.lit(False)))
-        .withColumn("_top_rank", F.when(F.col("_continues"), F.lag("_run_start").over(in_order))
-                    .otherwise(F.col("_rows_ahead") + 1))
-        .select("_bucket", "_rows_ahead", "_sum_ahead", "_top", "_top_rank")
-    )
-
+    offsets = _rank_offsets(bucketed, value) if rank else _offsets(bucketed, value)
     local = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(value), key)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     result = bucketed.join(F.broadcast(offsets), "_bucket")
     if row_number:
         result = result.withColumn(row_number, F.col("_rows_ahead") + F.row_number().over(local))
     if running_total:
-        ahead_sum = F.coalesce("_sum_ahead", F.lit(0))
-        result = result.withColumn(running_total, ahead_sum + F.sum(value).over(upto))
+        here = F.sum(value).over(upto)
+        result = result.withColumn(running_total, F.coalesce(F.col("_sum_ahead") + here,
+                                                             here, "_sum_ahead"))
     if rank:
         ties = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(value))
         result = result.withColumn(
             rank, F.when(F.col(value).eqNullSafe(F.col("_top")), F.col("_top_rank"))
             .otherwise(F.col("_rows_ahead") + F.rank().over(ties)))
-    return result.drop("_bucket", "_rows_ahead", "_sum_ahead", "_top", "_top_rank")
+    return result.select(*df.columns, *filter(None, (row_number, running_total, rank)))
+
+
+# The per-bucket tables below have at most `buckets` rows, so their one-task windows and
+# their broadcast are bounded by that number and not by the data.
+
+def _ahead():
+    return Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _offsets(bucketed: DataFrame, value: str) -> DataFrame:
+    """Per bucket: how many rows lie ahead of it and what they add up to."""
+    return (bucketed.groupBy("_bucket")
+            .agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
+            .select("_bucket",
+                    F.coalesce(F.sum("_rows").over(_ahead()), F.lit(0)).alias("_rows_ahead"),
+                    F.sum("_sum").over(_ahead()).alias("_sum_ahead")))
+
+
+def _rank_offsets(bucketed: DataFrame, value: str) -> DataFrame:
+    """``_offsets`` plus the first value of each bucket and the rank of that value.
+
+    A run of equal values can begin in an earlier bucket and cover several. It begins in the
+    first bucket that ends with its value, at that bucket's end less the equal rows there.
+    """
+    order = position(value, "_bucket")
+    per_value = (bucketed.groupBy("_bucket", value)
+                 .agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
+                 .withColumn("_entry", F.struct(F.col(value).alias("value"), "_rows")))
+    first, last = F.min_by("_entry", order), F.max_by("_entry", order)
+    totals = per_value.groupBy("_bucket").agg(
+        F.sum("_rows").alias("_rows"), F.sum("_sum").alias("_sum"),
+        first["value"].alias("_top"), last["value"].alias("_bottom"),
+        last["_rows"].alias("_bottom_rows"))
+    in_order = Window.orderBy("_bucket")
+    run_start = (F.min(F.col("_rows_ahead") + F.col("_rows") - F.col("_bottom_rows") + 1)
+                 .over(Window.partitionBy("_bottom")))
+    continues = ((F.col("_rows_ahead") > 0)
+                 & F.lag("_bottom").over(in_order).eqNullSafe(F.col("_top")))
+    return (totals
+            .withColumn("_rows_ahead", F.coalesce(F.sum("_rows").over(_ahead()), F.lit(0)))
+            .withColumn("_sum_ahead", F.sum("_sum").over(_ahead()))
+            .withColumn("_run_start", run_start)
+            .withColumn("_top_rank", F.when(continues, F.lag("_run_start").over(in_order))
+                        .otherwise(F.col("_rows_ahead") + 1))
+            .select("_bucket", "_rows_ahead", "_sum_ahead", "_top", "_top_rank"))
 
 
 def tile_cuts(df: DataFrame, value: str, key: str, tiles: int,
