@@ -9,52 +9,75 @@ from pyspark.sql import functions as F
 from backhaul.functions import metrics as m
 from backhaul.operators.constraints import orphan_count, repeated_keys
 from backhaul.operators.load import orders_dedup, unparsed_dates
+from backhaul.schemas import INGEST_SEQ
 from backhaul.warehouse import Warehouse
 
 PASS = "PASS"
+INFO = "INFO"
 
 
 @dataclass(frozen=True)
 class Check:
+    """``metrics`` are the reported columns of the one row that ``measure`` returns.
+
+    A check without a ``passes`` condition only informs.
+    """
+
     name: str
+    metrics: tuple[str, ...]
     measure: Callable[[Warehouse], DataFrame]
-    passes: Callable[[], Column] | None
+    passes: Callable[[], Column] | None = None
     failure: str = ""
 
+    def verdict(self) -> Column:
+        if self.passes is None:
+            return F.lit(INFO)
+        return F.when(self.passes(), F.lit(PASS)).otherwise(F.lit(self.failure))
+
     def run(self, warehouse: Warehouse) -> DataFrame:
         measured = self.measure(warehouse)
         if self.passes is None:
-            return measured
-        verdict = F.when(self.passes(), F.lit(PASS)).otherwise(F.lit(self.failure))
-        values = [c for c in measured.columns if not c.startswith("_")]
-        return measured.select(verdict.alias("check_result"), *values)
+            return measured.select(*self.metrics)
+        return measured.select(self.verdict().alias("check_result"), *self.metrics)
 
 
 def _count(rows: DataFrame, name: str) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias(name))
 
 
-def _row_counts(w: Warehouse) -> DataFrame:
-    ids = w.staging.agg(F.count_distinct("order_id")).scalar()
-    return _count(w.orders, "orders_count").select(
-        ids.alias("staging_unique_orders"), "orders_count")
+def _profile(w: Warehouse) -> DataFrame:
+    """Everything one pass over the orders and one over staging can tell, as a single row.
+
+    Checks pick their columns and Catalyst drops the rest; the report takes them all at once.
+    Sums over an empty table are NULL, which fails the checks that compare them with 0.
+    """
+    missing = [F.sum(F.col(c).isNull().cast("long")).alias(f"missing_{c}")
+               for c in ("customer_id", "product_id", "order_date")]
+    orders = w.orders.agg(
+        F.count(F.lit(1)).alias("orders_count"),
+        F.sum("total_amount").alias("orders_revenue"),
+        F.count_if(F.col("delivered_date") < F.col("order_date"))
+         .alias("invalid_delivery_date_count"),
+        F.count_if(F.col("total_amount").isNull()).alias("null_amount_count"),
+        *missing,
+    )
+    unparsed = unparsed_dates(w.staging)
+    return orders.select(
+        "*",
+        w.staging.agg(F.count_distinct("order_id")).scalar().alias("staging_unique_orders"),
+        w.staging.agg(F.sum("total_amount")).scalar().alias("staging_revenue"),
+        *[unparsed.select(c).scalar().alias(f"unparsed_{c}") for c in unparsed.columns],
+    ).withColumn("difference", F.abs(F.col("staging_revenue") - F.col("orders_revenue")))
 
 
-def _revenues(staging: DataFrame, orders: DataFrame) -> DataFrame:
+def _deduplicated_revenue(w: Warehouse) -> DataFrame:
     total = F.sum("total_amount")
-    return (orders.agg(total.alias("orders_revenue"))
-            .select(staging.agg(total).scalar().alias("staging_revenue"), "orders_revenue")
+    first_rows = orders_dedup(w.staging.select("order_id", "total_amount", INGEST_SEQ))
+    return (w.orders.agg(total.alias("orders_revenue"))
+            .select(first_rows.agg(total).scalar().alias("staging_revenue"), "orders_revenue")
             .withColumn("difference", F.abs(F.col("staging_revenue") - F.col("orders_revenue"))))
 
 
-def _missing_keys(w: Warehouse) -> DataFrame:
-    """NULL on an empty table, which then fails the check."""
-    return w.orders.agg(*[
-        F.sum(F.col(c).isNull().cast("long")).alias(f"missing_{c}")
-        for c in ("customer_id", "product_id", "order_date")
-    ])
-
-
 def _return_rate(w: Warehouse) -> DataFrame:
     rate = m.quotient(m.return_count(), m.order_count())
     return (w.order_returns.agg(rate.alias("_rate"))
@@ -71,11 +94,6 @@ def _category_conflicts(w: Warehouse) -> DataFrame:
     )
 
 
-def _unparsed(w: Warehouse) -> DataFrame:
-    counts = unparsed_dates(w.staging)
-    return counts.select(*[F.col(c).alias(f"unparsed_{c}") for c in counts.columns])
-
-
 def _is_zero(*columns: str) -> Callable[[], Column]:
     def condition() -> Column:
         result = F.lit(True)
@@ -92,80 +110,85 @@ def _same_revenue() -> Column:
 # Check texts and limits.
 CHECKS = {
     "dq_01": Check(
-        "row count reconciliation", _row_counts,
+        "row count reconciliation", ("staging_unique_orders", "orders_count"), _profile,
         lambda: F.col("orders_count") <= F.col("staging_unique_orders"),
         "FAIL — more orders loaded than unique staging rows"),
     "dq_02": Check(
-        "duplicate orders",
+        "duplicate orders", ("duplicate_order_count",),
         lambda w: _count(repeated_keys(w.orders, "order_id"), "duplicate_order_count"),
         _is_zero("duplicate_order_count"),
         "FAIL — duplicate order_ids exist in orders table"),
     "dq_03": Check(
-        "revenue reconciliation", lambda w: _revenues(w.staging, w.orders), _same_revenue,
+        "revenue reconciliation", ("staging_revenue", "orders_revenue", "difference"),
+        _profile, _same_revenue,
         "FAIL — revenue mismatch between staging and orders table"),
     "dq_03_dedup": Check(
         "revenue reconciliation without duplicates",
-        lambda w: _revenues(orders_dedup(w.staging), w.orders), _same_revenue,
-        "FAIL — revenue mismatch between staging and orders table"),
+        ("staging_revenue", "orders_revenue", "difference"), _deduplicated_revenue,
+        _same_revenue, "FAIL — revenue mismatch between staging and orders table"),
     "dq_04": Check(
-        "orphaned returns",
+        "orphaned returns", ("orphaned_return_count",),
         lambda w: orphan_count(w.returns, w.orders, "order_id", "orphaned_return_count"),
         _is_zero("orphaned_return_count"),
         "FAIL — return records exist with no matching order"),
     "dq_05": Check(
-        "missing keys", _missing_keys,
-        _is_zero("missing_customer_id", "missing_product_id", "missing_order_date"),
+        "missing keys", ("missing_customer_id", "missing_product_id", "missing_order_date"),
+        _profile, _is_zero("missing_customer_id", "missing_product_id", "missing_order_date"),
         "FAIL — null values found in critical columns"),
     "dq_06": Check(
-        "orphaned customers",
+        "orphaned customers", ("orphaned_customer_count",),
         lambda w: orphan_count(w.orders, w.customers, "customer_id", "orphaned_customer_count"),
         _is_zero("orphaned_customer_count"),
         "FAIL — orders reference customer_ids not in customers table"),
     "dq_07": Check(
-        "orphaned products",
+        "orphaned products", ("orphaned_product_count",),
         lambda w: orphan_count(w.orders, w.products, "product_id", "orphaned_product_count"),
         _is_zero("orphaned_product_count"),
         "FAIL — orders reference product_ids not in products table"),
     "dq_08": Check(
-        "delivery before order",
-        lambda w: _count(w.orders.filter(F.col("delivered_date") < F.col("order_date")),
-                         "invalid_delivery_date_count"),
+        "delivery before order", ("invalid_delivery_date_count",), _profile,
         _is_zero("invalid_delivery_date_count"),
         "FAIL — delivered_date is earlier than order_date on some rows"),
     "dq_09": Check(
-        "return rate range", _return_rate, lambda: F.col("_rate").between(0.01, 0.30),
+        "return rate range", ("return_rate_pct",), _return_rate,
+        lambda: F.col("_rate").between(0.01, 0.30),
         "FAIL — return rate is outside expected range (1%–30%)"),
     "dq_10": Check(
-        "discount range",
+        "discount range", ("invalid_discount_count",),
         lambda w: _count(w.products.filter((F.col("discount") < 0) | (F.col("discount") > 1)),
                          "invalid_discount_count"),
         _is_zero("invalid_discount_count"),
         "FAIL — products have discount values outside [0, 1]"),
-    "dq_11": Check("category conflicts", _category_conflicts, None),
+    "dq_11": Check(
+        "category conflicts", ("products_with_category_conflicts", "pct_of_all_products"),
+        _category_conflicts),
     "dq_null_amount": Check(
-        "orders without amount",
-        lambda w: _count(w.orders.filter(F.col("total_amount").isNull()), "null_amount_count"),
-        _is_zero("null_amount_count"),
-        "FAIL — null order amounts exist in orders table"),
-    "dq_unparsed_dates": Check("date texts that are not dates", _unparsed, None),
+        "orders without amount", ("null_amount_count",), _profile,
+        _is_zero("null_amount_count"), "FAIL — null order amounts exist in orders table"),
+    "dq_unparsed_dates": Check(
+        "date texts that are not dates",
+        ("unparsed_order_date", "unparsed_delivered_date", "unparsed_request_date"), _profile),
 }
 
 
 def dq_report(warehouse: Warehouse) -> DataFrame:
     """All checks in long form: check_id, check_name, check_result, metric, value.
 
-    Informational checks have the result ``INFO``.
+    Informational checks have the result ``INFO``. Checks that read the profile share it.
     """
-    parts = []
+    groups: dict[Callable, list[str]] = {}
     for check_id, check in CHECKS.items():
-        row = check.run(warehouse)
-        values = [c for c in row.columns if c != "check_result"]
-        verdict = F.col("check_result") if check.passes else F.lit("INFO")
-        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-                          for c in values])
-        parts.append(row.select(F.lit(check_id).alias("check_id"),
-                                F.lit(check.name).alias("check_name"),
-                                verdict.alias("check_result"), F.inline(pairs)))
+        groups.setdefault(check.measure, []).append(check_id)
+    parts = []
+    for measure, check_ids in groups.items():
+        lines = [
+            F.struct(F.lit(check_id).alias("check_id"),
+                     F.lit(CHECKS[check_id].name).alias("check_name"),
+                     CHECKS[check_id].verdict().alias("check_result"),
+                     F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+            for check_id in check_ids for metric in CHECKS[check_id].metrics
+        ]
+        parts.append(measure(warehouse).select(F.inline(F.array(*lines))))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

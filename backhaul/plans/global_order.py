@@ -40,8 +40,10 @@ def split_points(df: DataFrame, value: str, key: str, buckets: int) -> Column:
     The sample keeps about ``SAMPLES_PER_BUCKET * buckets`` rows however large ``df`` is.
     """
     wanted = buckets * SAMPLES_PER_BUCKET
-    keep_one_in = (df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / wanted)).alias("n"))
-                   .scalar())
+    # Counting through the value column reads what the other steps read of `df`, so Spark can
+    # reuse one exchange for all of them.
+    rows = F.count(value) + F.count_if(F.col(value).isNull())
+    keep_one_in = df.agg(F.greatest(F.lit(1), F.floor(rows / wanted)).alias("n")).scalar()
     sample = (df.filter(F.pmod(F.xxhash64(key), keep_one_in) == 0)
               .agg(F.array_sort(F.collect_list(position(value, key))).alias("seen")))
     cuts = F.transform(
@@ -51,24 +53,22 @@ def split_points(df: DataFrame, value: str, key: str, buckets: int) -> Column:
 
 
 def with_bucket(df: DataFrame, value: str, key: str, buckets: int) -> DataFrame:
-    """Adds ``_bucket``: the number of split points before the row, by binary search."""
-    if buckets == 1:
-        return df.withColumn("_bucket", F.lit(0))
-    steps = []
+    """Adds ``_bucket``: the number of split points before the row.
+
+    Binary search, one projection per step, which keeps it in generated code; a higher-order
+    function over the split points would be interpreted row by row.
+    """
+    found = (df.withColumn("_cuts", split_points(df, value, key, buckets)
+                           if buckets > 1 else F.lit(None))
+             .withColumn("_position", position(value, key))
+             .withColumn("_bucket", F.lit(0)))
     step = buckets // 2
     while step:
-        steps.append(F.lit(step))
+        beyond = F.get("_cuts", F.col("_bucket") + step - 1) < F.col("_position")
+        found = found.withColumn("_bucket", F.col("_bucket")
+                                 + F.when(beyond, F.lit(step)).otherwise(F.lit(0)))
         step //= 2
-
-    def descend(low: Column, step: Column) -> Column:
-        beyond = F.get(F.col("_cuts"), low + step - 1) < F.col("_position")
-        return F.when(beyond, low + step).otherwise(low)
-
-    return (df.withColumn("_cuts", split_points(df, value, key, buckets))
-            .withColumn("_position", position(value, key))
-            .withColumn("_bucket", F.coalesce(F.aggregate(F.array(*steps), F.lit(0), descend),
-                                              F.lit(0)))
-            .drop("_cuts", "_position"))
+    return found.select(*df.columns, "_bucket")
 
 
 def with_global_order(df: DataFrame, value: str, key: str, *, row_number: str | None = None,
