@@ -20,8 +20,9 @@ def with_category(order_returns: DataFrame, products: DataFrame) -> DataFrame:
     """Adds the product's category; NULL for an order whose product is unknown.
 
     Operators that need a category skip those orders, which is what an inner join to
-    products would do. A hot product is split at run time by adaptive skew handling: the
-    products side has one row per key, so duplicating its slice is cheap.
+    products would do. Where both sides are stored tables, a hot product is split at run time
+    by adaptive skew handling: the products side has one row per key, so repeating its slice
+    is cheap.
     """
     return order_returns.join(products.select("product_id", "category"), "product_id", "left")
 
