@@ -58,17 +58,18 @@ def with_bucket(df: DataFrame, value: str, key: str, buckets: int) -> DataFrame:
     Binary search, one projection per step, which keeps it in generated code; a higher-order
     function over the split points would be interpreted row by row.
     """
-    found = (df.withColumn("_cuts", split_points(df, value, key, buckets)
-                           if buckets > 1 else F.lit(None))
-             .withColumn("_position", position(value, key))
-             .withColumn("_bucket", F.lit(0)))
-    step = buckets // 2
+    if buckets == 1:
+        return df.withColumn("_bucket", F.lit(0))
+    steps, low, step = [], F.lit(0), buckets // 2
     while step:
-        beyond = F.get("_cuts", F.col("_bucket") + step - 1) < F.col("_position")
-        found = found.withColumn("_bucket", F.col("_bucket")
-                                 + F.when(beyond, F.lit(step)).otherwise(F.lit(0)))
-        step //= 2
-    return found.select(*df.columns, "_bucket")
+        beyond = F.get(F.col("_cuts"), low + (step - 1)) < F.col("_position")
+        name = "_bucket" if step == 1 else f"_step_{step}"
+        steps.append((low + F.when(beyond, F.lit(step)).otherwise(F.lit(0))).alias(name))
+        low, step = F.col(name), step // 2
+    # Each step refers to the one before by its alias; Spark nests the projections itself.
+    return (df.select("*", split_points(df, value, key, buckets).alias("_cuts"),
+                      position(value, key).alias("_position"), *steps)
+            .select(*df.columns, "_bucket"))
 
 
 def with_global_order(df: DataFrame, value: str, key: str, *, row_number: str | None = None,
