@@ -154,7 +154,8 @@ def tile_cuts(df: DataFrame, value: str, key: str, tiles: int,
     in_order = Window.orderBy("_bucket")
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ends = F.array(*[
-        F.floor(F.col("_total") / tiles) * i + F.least(F.lit(i), F.col("_total") % tiles)
+        ((F.col("_total") - F.col("_total") % tiles) / tiles).cast("long") * i
+        + F.least(F.lit(i), F.col("_total") % tiles)
         for i in range(1, tiles)
     ])
     wanted = (
