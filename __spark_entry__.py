@@ -26,6 +26,15 @@ from backhaul.schemas import INGEST_SEQ  # noqa: E402
 from backhaul.sources import star  # noqa: E402
 from backhaul.streaming import jobs  # noqa: E402
 
+try:
+    from backhaul.llm import queries as llm  # noqa: E402
+except ImportError:
+    llm = None
+try:
+    import corpus_pipeline as pipeline  # noqa: E402
+except ImportError:
+    pipeline = None
+
 _LOADED: dict[tuple[str, str], Warehouse] = {}
 
 
@@ -188,7 +197,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(operator: Callable[[Warehouse], DataFrame]):
         return lambda spark, directory: _present(operator(warehouse(spark, directory)))
 
-    return {name: bind(operator) for name, operator in OPERATORS.items()}
+    return {
+        **{name: bind(operator) for name, operator in OPERATORS.items()},
+        **(llm.queries() if llm else {}),
+        **({"pipeline": pipeline.run} if pipeline else {}),
+    }
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -199,4 +212,7 @@ def entry(spark: SparkSession) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     from duckdb_twins import twins
 
-    return twins()
+    sql = {**twins(), **(llm.oracle_sql() if llm else {})}
+    if pipeline and pipeline.ORACLE_SQL:
+        sql["pipeline"] = pipeline.ORACLE_SQL
+    return sql
