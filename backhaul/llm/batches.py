@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +17,7 @@ PIECE_CHARS = 1 << 20
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` whose ``text`` has about PIECE_CHARS bytes each."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy()
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > PIECE_CHARS:
