@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import secrets, sentencepiece
+from backhaul.llm import langid, ordinal, secrets, sentencepiece, toxicity
+from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -37,10 +38,36 @@ def op2_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
+def op3_quality(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    model = ordinal.train(documents, table(spark, directory, "labels"))
+    return ordinal.score(documents, model).withColumn(
+        "held_out", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)))
+
+
+def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    model = toxicity.train(documents, table(spark, directory, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        "score", "predicted")
+
+
+def op9_language(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    model = langid.train(documents)
+    return langid.predict(documents, model).select(
+        "doc_id", F.coalesce(crc_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_quality": op3_quality,
+        "op8_toxicity": op8_toxicity,
+        "op9_language": op9_language,
     }
 
 
