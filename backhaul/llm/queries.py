@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import langid, ordinal, secrets, sentencepiece, toxicity
+from backhaul.llm import langid, ordinal, secrets, sentencepiece, toxicity, vectors
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -45,6 +45,10 @@ def op3_quality(spark: SparkSession, directory: str) -> DataFrame:
         "held_out", F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False)))
 
 
+def op4_embedding_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, directory, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     model = toxicity.train(documents, table(spark, directory, "labels"))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
     }
