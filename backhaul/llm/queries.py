@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import langid, ordinal, secrets, sentencepiece, toxicity, vectors
+from backhaul.llm import langid, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -49,6 +49,16 @@ def op4_embedding_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, directory, "embeddings"))
 
 
+def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    done = suffix.deduplicate(table(spark, directory, "documents"))
+    return done.select(
+        "doc_id", "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        .alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     model = toxicity.train(documents, table(spark, directory, "labels"))
@@ -71,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_embedding_dedup": op4_embedding_dedup,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
     }
