@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import langid, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
+from backhaul.llm import decontaminate, langid, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -75,6 +75,11 @@ def op9_language(spark: SparkSession, directory: str) -> DataFrame:
         "lang_pred", "score")
 
 
+def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, directory, "documents"),
+                                      table(spark, directory, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_suffix_dedup": op6_suffix_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 

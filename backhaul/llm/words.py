@@ -105,9 +105,9 @@ def word_hashes(texts: list[str | None], lower: bool = True) -> tuple[np.ndarray
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
-def ngrams(words: np.ndarray, offsets: np.ndarray, steps: tuple[int, ...]
-           ) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words at i, i + steps[0], i + steps[1], ... and the text of each.
+def ngrams_at(words: np.ndarray, offsets: np.ndarray, steps: tuple[int, ...]
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words at i, i + steps[0], i + steps[1], ..., the text of each, and i.
 
     ``steps`` rise; (1, 2) gives three adjacent words, (2,) a pair with one word skipped.
     """
@@ -115,9 +115,16 @@ def ngrams(words: np.ndarray, offsets: np.ndarray, steps: tuple[int, ...]
     lengths = np.diff(offsets)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     if len(words) <= span:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none
     fits = np.flatnonzero(owner[:-span] == owner[span:])
     h = words[fits] + np.uint64(span * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
     for step in steps:
         h = mix(h * np.uint64(BASE) + words[fits + step])
-    return h, owner[fits]
+    return h, owner[fits], fits
+
+
+def ngrams(words: np.ndarray, offsets: np.ndarray, steps: tuple[int, ...]
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and texts of ``ngrams_at``."""
+    return ngrams_at(words, offsets, steps)[:2]
