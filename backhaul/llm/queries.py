@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import decontaminate, langid, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
+from backhaul.llm import decontaminate, langid, minhash, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -59,6 +59,10 @@ def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_minhash_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, directory, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     documents = table(spark, directory, "documents")
     model = toxicity.train(documents, table(spark, directory, "labels"))
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_embedding_dedup": op4_embedding_dedup,
         "op6_suffix_dedup": op6_suffix_dedup,
+        "op7_minhash_dedup": op7_minhash_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_decontaminate": op10_decontaminate,
