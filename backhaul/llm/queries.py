@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import decontaminate, langid, minhash, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
+from backhaul.llm import decontaminate, langid, licenses, minhash, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -49,6 +49,18 @@ def op4_embedding_dedup(spark: SparkSession, directory: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, directory, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, directory: str) -> DataFrame:
+    documents = table(spark, directory, "documents")
+    # the table has no paths: documents stand in folders of 20 within folders of 1,000
+    path = F.concat(F.expr("cast(doc_id div 1000 as string)"), F.lit("/"),
+                    F.expr("cast(doc_id div 20 as string)"), F.lit("/"),
+                    F.col("doc_id").cast("string"), F.lit(".txt"))
+    return licenses.scan(documents.select("doc_id", "text", path.alias("path")))
+
+
+OP5_PATH = "(doc_id // 1000) || '/' || (doc_id // 20) || '/' || doc_id || '.txt'"
+
+
 def op6_suffix_dedup(spark: SparkSession, directory: str) -> DataFrame:
     done = suffix.deduplicate(table(spark, directory, "documents"))
     return done.select(
@@ -90,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_sentencepiece": op2_sentencepiece,
         "op3_quality": op3_quality,
         "op4_embedding_dedup": op4_embedding_dedup,
+        "op5_license_scan": op5_license_scan,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_minhash_dedup": op7_minhash_dedup,
         "op8_toxicity": op8_toxicity,
@@ -99,4 +112,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_license_scan": licenses.duckdb_sql("documents", OP5_PATH)}
