@@ -50,6 +50,22 @@ def map_text(rows: DataFrame, text: str, schema: T.StructType,
     return rows.mapInArrow(run, schema)
 
 
+def filter_text(rows: DataFrame, text: str,
+                start: Callable[[], Callable[[list[str | None]], Sequence[bool]]]) -> DataFrame:
+    """The rows, with all their columns, whose ``text`` the function given by ``start`` keeps."""
+    schema = rows.schema
+
+    def begin():
+        keep = start()
+
+        def work(piece):
+            mask = pa.array(keep(piece.column(text).to_pylist()), pa.bool_())
+            return piece.filter(mask).columns
+        return work
+
+    return map_text(rows, text, schema, begin)
+
+
 def id_and_text(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Only the two columns an operator reads, so further columns cannot clash with its own."""
     return rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

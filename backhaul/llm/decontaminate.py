@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from backhaul.llm import words as w
-from backhaul.llm.batches import id_and_text, map_text
+from backhaul.llm.batches import filter_text, id_and_text, map_text
 
 SEED = (1, 2)
 #: Of so many adjacent n-grams of an item, so many are seeds.
@@ -146,38 +146,73 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     Reported are alignments of ``threshold`` of the item's score or more, worth at least
     ``min_words`` equal words, or all of a shorter item.
     """
-    spark = documents.sparkSession
-    tests = (benchmark.select(F.col(item_column).alias("id"), F.col(item_text_column).alias("text"))
-             .withColumn("words", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))))
-    slices = max(1, -(-(tests.agg(F.sum("words")).first()[0] or 0) // SLICE_WORDS))
-    tests = tests.withColumn("slice", F.pmod(F.xxhash64("id", "text"), F.lit(slices)))
     docs = id_and_text(documents, id_column, text_column)
-    item_type = benchmark.schema[item_column].dataType
-    found = [_found(spark, docs, tests.filter(F.col("slice") == k).orderBy("id", "text").collect(),
-                    item_type, threshold, min_words) for k in range(slices)]
-    result = found[0]
-    for more in found[1:]:
-        result = result.union(more)
+    schema = T.StructType([
+        T.StructField("id", docs.schema["id"].dataType),
+        T.StructField("item", benchmark.schema[item_column].dataType),
+        T.StructField("score", T.DoubleType()), T.StructField("n_seeds", T.LongType()),
+        T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    result = documents.sparkSession.createDataFrame([], schema)
+    for tests in slices(benchmark, item_column, item_text_column):
+        seeds = seeds_of(docs, tests, "text")
+        ids = [t.id for t in tests]
+
+        def search(seeds=seeds, ids=ids):
+            find = Search(seeds.value, threshold, min_words)
+
+            def work(piece):
+                rows = sorted(find(piece.column("text").to_pylist()))
+                return [piece.column("id").take(pa.array([r[0] for r in rows], pa.int64())),
+                        [ids[r[1]] for r in rows], [r[4] for r in rows], [r[5] for r in rows],
+                        [r[2] for r in rows], [r[3] for r in rows]]
+            return work
+
+        result = result.union(map_text(docs, "text", schema, search))
     return result.withColumnsRenamed({"id": id_column, "item": item_column})
 
 
-def _found(spark, docs: DataFrame, tests: list, item_type: T.DataType, threshold: float,
-           min_words: int) -> DataFrame:
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
+                        min_words: int = 8, text_column: str = "text",
+                        item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns, in which ``contaminated`` finds nothing."""
+    kept = documents
+    for tests in slices(benchmark, item_column, item_text_column):
+        seeds = seeds_of(documents.select(F.col(text_column).alias("text")), tests, "text")
+
+        def search(seeds=seeds):
+            find = Search(seeds.value, threshold, min_words)
+
+            def clean(texts):
+                found = {r[0] for r in find(texts)}
+                return [i not in found for i in range(len(texts))]
+            return clean
+
+        kept = filter_text(kept, text_column, search)
+    return kept
+
+
+def slices(benchmark: DataFrame, item_column: str, item_text_column: str):
+    """The test items, in lists of at most about SLICE_WORDS words; those that can match."""
+    tests = (benchmark.select(F.col(item_column).alias("id"), F.col(item_text_column).alias("text"))
+             .withColumn("words", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))))
+    n = max(1, -(-(tests.agg(F.sum("words")).first()[0] or 0) // SLICE_WORDS))
+    for k in range(n):
+        part = (tests.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
+                .orderBy("id", "text").collect())
+        if len(Items.of([t.text for t in part]).grams):
+            yield part
+
+
+def seeds_of(docs: DataFrame, tests: list, text: str):
+    """Broadcast of the items with their seeds, rare in ``docs``."""
     items = Items.of([t.text for t in tests])
-    ids = [t.id for t in tests]
-    schema = T.StructType([
-        T.StructField("id", docs.schema["id"].dataType), T.StructField("item", item_type),
-        T.StructField("score", T.DoubleType()), T.StructField("n_seeds", T.LongType()),
-        T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    if not len(items.grams):
-        return spark.createDataFrame([], schema)
-    everything = spark.sparkContext.broadcast(items)
+    everything = docs.sparkSession.sparkContext.broadcast(items)
 
     def count():
         lookup = Lookup(everything.value)
 
         def work(piece):
-            h, owner, _ = w.ngrams_at(*w.word_hashes(piece.column("text").to_pylist()), SEED)
+            h, owner, _ = w.ngrams_at(*w.word_hashes(piece.column(text).to_pylist()), SEED)
             at = lookup.hits(h)
             pairs = np.unique(np.stack([h[at], owner[at].astype(np.uint64)]), axis=1)
             grams, n = np.unique(pairs[0], return_counts=True)
@@ -185,59 +220,56 @@ def _found(spark, docs: DataFrame, tests: list, item_type: T.DataType, threshold
         return work
 
     # as many rows as the items have n-grams, whatever the corpus
-    counts = map_text(docs, "text", T.StructType([T.StructField("gram", T.LongType()),
-                                                  T.StructField("n", T.LongType())]), count) \
+    counts = map_text(docs.select(text), text, T.StructType([
+        T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]), count) \
         .groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    seeds = spark.sparkContext.broadcast(items.rarest({r.gram: r.n for r in counts}))
+    return docs.sparkSession.sparkContext.broadcast(items.rarest({r.gram: r.n for r in counts}))
 
-    def search():
-        chosen = seeds.value
-        lookup = Lookup(chosen)
-        sizes = np.diff(chosen.offsets)
 
-        def work(piece):
-            words, offsets = w.word_hashes(piece.column("text").to_pylist())
-            h, owner, at = w.ngrams_at(words, offsets, SEED)
-            member = lookup.hits(h)
-            of, entry = lookup.entries(h[member])
-            doc, place = owner[member][of], at[member][of] - offsets[owner[member][of]]
-            jobs = []
-            cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
-            for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-                d = doc[a]
-                e = entry[a:b]
-                jobs += [(d, *p) for p in passages(chosen, chosen.item[e], chosen.at[e],
-                                                   place[a:b], offsets[d + 1] - offsets[d])]
-            jobs.sort(key=lambda j: j[3] - j[2])
-            rows = []
-            at = 0
-            while at < len(jobs):
-                upto = at + 1
-                while upto < len(jobs) and (upto + 1 - at) * (jobs[upto][3] - jobs[upto][2]) <= CELLS:
-                    upto += 1
-                rows += report(jobs[at:upto], words, offsets)
-                at = upto
-            rows.sort()
-            column = piece.column("id")
-            return [column.take(pa.array([r[0] for r in rows], pa.int64())),
-                    [ids[r[1]] for r in rows], [r[4] for r in rows], [r[5] for r in rows],
-                    [r[2] for r in rows], [r[3] for r in rows]]
-
-        def report(jobs, words, offsets):
-            left = [chosen.words[chosen.offsets[j[1]]:chosen.offsets[j[1] + 1]] for j in jobs]
-            right = [words[offsets[j[0]] + j[2]:offsets[j[0]] + j[3]] for j in jobs]
-            best, end = align(left, right)
-            full = MATCH * sizes[[j[1] for j in jobs]]
-            good = np.flatnonzero((best >= threshold * full)
-                                  & (best >= np.minimum(MATCH * min_words, full)))
-            if not len(good):
-                return []
-            # backward from its end, the same alignment ends where it begins
-            _, back = align([left[k][::-1] for k in good],
-                            [right[k][:end[k]][::-1] for k in good])
-            return [(int(jobs[k][0]), jobs[k][1], int(jobs[k][2] + end[k] - n),
-                     int(jobs[k][2] + end[k]), float(best[k] / full[k]), jobs[k][4])
-                    for k, n in zip(good, back, strict=True)]
-        return work
+class Search:
+    """Finds (text, item, start, end, score, seeds) in lists of texts."""
 
-    return map_text(docs, "text", schema, search)
+    def __init__(self, items: Items, threshold: float, min_words: int):
+        self.items, self.threshold, self.min_words = items, threshold, min_words
+        self.lookup = Lookup(items)
+        self.sizes = np.diff(items.offsets)
+
+    def __call__(self, texts: list[str | None]) -> list[tuple]:
+        items = self.items
+        words, offsets = w.word_hashes(texts)
+        h, owner, at = w.ngrams_at(words, offsets, SEED)
+        member = self.lookup.hits(h)
+        of, entry = self.lookup.entries(h[member])
+        doc = owner[member][of]
+        place = at[member][of] - offsets[doc]
+        jobs = []
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+        for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
+            e = entry[a:b]
+            jobs += [(int(doc[a]), *p) for p in
+                     passages(items, items.item[e], items.at[e], place[a:b],
+                              int(offsets[doc[a] + 1] - offsets[doc[a]]))]
+        jobs.sort(key=lambda j: j[3] - j[2])
+        rows, at = [], 0
+        while at < len(jobs):
+            upto = at + 1
+            while upto < len(jobs) and (upto + 1 - at) * (jobs[upto][3] - jobs[upto][2]) <= CELLS:
+                upto += 1
+            rows += self.report(jobs[at:upto], words, offsets)
+            at = upto
+        return rows
+
+    def report(self, jobs, words, offsets) -> list[tuple]:
+        own = self.items
+        left = [own.words[own.offsets[j[1]]:own.offsets[j[1] + 1]] for j in jobs]
+        right = [words[offsets[j[0]] + j[2]:offsets[j[0]] + j[3]] for j in jobs]
+        best, end = align(left, right)
+        full = MATCH * self.sizes[[j[1] for j in jobs]]
+        good = np.flatnonzero((best >= self.threshold * full)
+                              & (best >= np.minimum(MATCH * self.min_words, full)))
+        if not len(good):
+            return []
+        # read backward from its end, the same alignment ends where it begins
+        _, back = align([left[k][::-1] for k in good], [right[k][:end[k]][::-1] for k in good])
+        return [(jobs[k][0], jobs[k][1], int(jobs[k][2] + end[k] - n), int(jobs[k][2] + end[k]),
+                 float(best[k] / full[k]), jobs[k][4]) for k, n in zip(good, back, strict=True)]

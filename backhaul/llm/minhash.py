@@ -257,10 +257,29 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.8, id_column: str = "d
                     text_column: str = "text") -> DataFrame:
     """Per row: the id, ``component_id`` (the smallest id of its component) and ``kept``, true for
     the one document of each component that has that id."""
+    return (components(rows, threshold, id_column, text_column)
+            .withColumnRenamed("id", id_column).drop("digest"))
+
+
+def digest(text: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def deduplicate(rows: DataFrame, threshold: float = 0.8, id_column: str = "doc_id",
+                text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the documents that ``near_duplicates`` keeps."""
+    dropped = (components(rows, threshold, id_column, text_column).filter("NOT kept")
+               .select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct())
+    return rows.join(dropped, (F.col(id_column) == F.col("_id"))
+                     & (digest(text_column) == F.col("_digest")), "left_anti")
+
+
+def components(rows: DataFrame, threshold: float, id_column: str, text_column: str) -> DataFrame:
+    """Columns id, digest (of the text), component_id and kept."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "minhash")
     docs = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"),
-                       F.unhex(F.md5(F.coalesce(F.col(text_column), F.lit("")))).alias("digest"))
+                       digest(text_column).alias("digest"))
     idf = inverse_frequencies(*document_frequencies(docs))
     shared, shared_log = (spark.sparkContext.broadcast(x) for x in (idf, np.log(idf)))
     signed = scratch.keep(signatures(docs, shared_log))
@@ -320,7 +339,6 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.8, id_column: str = "d
     by_key = scratch.keep(by_key)
     smallest = by_key.groupBy("root").agg(F.min("id").alias("component_id"))
     component = scratch.keep(by_key.join(smallest, "root").select("key", "component_id"))
-    return (signed.select("id", "key").join(component, "key", "left")
-            .select(F.col("id").alias(id_column),
-                    F.coalesce("component_id", "id").alias("component_id"))
-            .withColumn("kept", F.col(id_column).eqNullSafe(F.col("component_id"))))
+    return (signed.select("id", "digest", "key").join(component, "key", "left")
+            .select("id", "digest", F.coalesce("component_id", "id").alias("component_id"))
+            .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))

@@ -31,7 +31,8 @@ def op1_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
     model = sentencepiece.read_model(TOKENIZER)
-    encoded = sentencepiece.encode(table(spark, directory, "documents"), model)
+    documents = table(spark, directory, "documents").select("doc_id", "text")
+    encoded = sentencepiece.encode(documents, model)
     return sentencepiece.decode(encoded, model).select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),

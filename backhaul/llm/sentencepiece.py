@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from backhaul.llm.batches import id_and_text, map_text
+from backhaul.llm.batches import map_text
 
 MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -133,35 +133,35 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(rows: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text"
+def encode(rows: DataFrame, model: bytes, text_column: str = "text", into: str = "token_ids"
            ) -> DataFrame:
-    """Per row: the id, ``token_ids`` and the text."""
+    """``rows`` with the ids as column ``into``, in place of one that has that name."""
+    rows = rows.drop(into)
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField("id", rows.schema[id_column].dataType),
-                           T.StructField("text", T.StringType()),
-                           T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields,
+                           T.StructField(into, T.ArrayType(T.IntegerType()))])
 
     def start():
         pieces = _pieces(shared.value)
 
         def work(piece):
             ids = [None if t is None else pieces.encode(t)
-                   for t in piece.column("text").to_pylist()]
+                   for t in piece.column(text_column).to_pylist()]
             flat = np.concatenate([np.asarray(x or [], np.int32) for x in ids])
             ends = np.cumsum([0, *(len(x or []) for x in ids)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(
                 pa.array(ends), pa.array(flat),
                 mask=pa.array([x is None for x in ids]) if None in ids else None)
-            return [piece.column("id"), piece.column("text"), lists]
+            return [*piece.columns, lists]
         return work
 
-    return (map_text(id_and_text(rows, id_column, text_column), "text", schema, start)
-            .withColumnsRenamed({"id": id_column, "text": text_column}))
+    return map_text(rows, text_column, schema, start)
 
 
 def decode(rows: DataFrame, model: bytes, ids_column: str = "token_ids",
            into: str = "decoded") -> DataFrame:
-    """``rows`` with the text of ``ids_column`` as a further column ``into``."""
+    """``rows`` with the text of ``ids_column`` as column ``into``, in place of one of that name."""
+    rows = rows.drop(into)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from backhaul.llm import words as w
-from backhaul.llm.batches import id_and_text, map_text
+from backhaul.llm.batches import filter_text, id_and_text, map_text
 from backhaul.llm.samples import fit_once, labelled_sample
 
 BITS = 20
@@ -161,3 +161,15 @@ def score(documents: DataFrame, model: bytes, id_column: str = "doc_id",
     return (map_text(id_and_text(documents, id_column, text_column), "text", schema, start)
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
             .withColumnRenamed("id", id_column))
+
+
+def keep_clean(documents: DataFrame, model: bytes, threshold: float = 0.5,
+               text_column: str = "text") -> DataFrame:
+    """The documents that score below ``threshold``."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def start():
+        weights, bias = load(shared.value)
+        return lambda texts: (scores(texts, weights, bias) < threshold).tolist()
+
+    return filter_text(documents, text_column, start)
