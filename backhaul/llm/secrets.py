@@ -105,23 +105,27 @@ def assigned_spans(text: str) -> list[Span]:
     """Secrets found as literals of sensitive names, also through other names."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[int, int, str]] = {}
+    constants: dict[str, tuple[int, int, str, int]] = {}
     found = set()
     for m in PAIR.finditer(text):
         start, end = m.span("value")
         raw = m["value"]
         if raw[0] in "\"'`":
             quoted = QUOTED.findall(raw)
-            literal, known = (start, end, "".join(q[1] for q in quoted)), False
+            # the quotes of a single literal are no part of the secret
+            literal = (start, end, "".join(q[1] for q in quoted), int(len(quoted) == 1))
+            known = False
         elif (ref := REFERENCE.match(raw)) and ref[1] in constants:
             literal, known = constants[ref[1]], True
         else:
             raw = raw.rstrip(".:")
-            literal, known = (start, start + len(raw), raw), False
+            literal, known = (start, start + len(raw), raw, 0), False
         constants[m["name"]] = literal
         score = name_score(m["name"])
         if score and score * literal_score(literal[2]) >= THRESHOLD:
-            found.add(Span(literal[0], 4 if known else 3, literal[1], literal[0], literal[1]))
+            quote = literal[3]
+            found.add(Span(literal[0], 4 if known else 3, literal[1], literal[0] + quote,
+                           literal[1] - quote))
     return sorted(found)
 
 
