@@ -8,8 +8,8 @@ if most of its words stand in licence lines. A file without a licence of its own
 the nearest directory above it that has a licence file.
 
 The best cosine decides, ties go to the alphabetically first licence. Null or empty texts have no
-licence of their own, null paths inherit nothing. Null ids are carried along; rows that repeat
-an id and path are one file.
+licence of their own, null paths inherit nothing. Null ids are carried along. Rows that repeat an
+id, path and text are judged each, with the same result.
 """
 
 from __future__ import annotations
@@ -111,31 +111,34 @@ def best_template(units: DataFrame, unit: list[str], weights: DataFrame, idf: Da
 def scan(rows: DataFrame, threshold: float = 0.75, file_share: float = 0.5,
          id_column: str = "doc_id", path_column: str = "path", text_column: str = "text",
          templates=None) -> DataFrame:
-    """Per distinct id and path: ``license``, ``score`` and ``origin`` (header, file, inherited),
+    """Per row: the id and path, ``license``, ``score`` and ``origin`` (header, file, inherited),
     and the ``license_dir`` it was inherited from; nulls where there is none."""
     spark = rows.sparkSession
-    weights, idf = template_terms(spark, templates)
+    scratch = Scratch(spark, "licenses")
+    weights, idf = (scratch.keep(t.coalesce(1)) for t in template_terms(spark, templates))
     n = len(templates or TEMPLATES)
     files = rows.select(F.col(id_column).alias("id"), F.col(path_column).alias("path"),
                         F.col(text_column).alias("text"))
     # ids and paths may be null or repeat, joins want one value that does not
-    files = files.withColumn("file", F.xxhash64(
-        F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("id").isNull(),
-        F.coalesce("path", F.lit("")), F.col("path").isNull()))
+    files = files.withColumn("file", F.md5(F.concat_ws(
+        "\0", F.hex(F.col("id").cast("string")), F.col("id").isNull().cast("string"),
+        F.hex("path"), F.col("path").isNull().cast("string"), F.md5("text"))))
     # read several times below; texts that speak of licences are few
-    speaking = Scratch(spark, "licenses").keep(files.filter(has_cue(F.col("text"))))
-    lines = (speaking.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-             .filter(has_cue(F.col("text"))))
-    headers = (best_template(lines, ["file", "line"], weights, idf, n)
-               .filter(F.col("score") >= threshold)
-               .join(lines.select("file", "line", F.size(terms(F.col("text"))).alias("n")),
-                     ["file", "line"])
-               .groupBy("file").agg(
-                   F.min(F.struct((-F.col("score")).alias("rank"), "license")).alias("best"),
-                   F.sum("n").alias("words")))
-    whole = best_template(speaking, ["file"], weights, idf, n).select(
-        "file", F.col("license").alias("file_license"), F.col("score").alias("file_score"))
-    judged = (speaking.select("file", "path", F.size(terms(F.col("text"))).alias("n"))
+    speaking = scratch.keep(files.filter(has_cue(F.col("text"))).dropDuplicates(["file"]))
+    lines = scratch.keep(
+        speaking.select("file", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        .filter(has_cue(F.col("text"))))
+    headers = scratch.keep(
+        best_template(lines, ["file", "line"], weights, idf, n)
+        .filter(F.col("score") >= threshold)
+        .join(lines.select("file", "line", F.size(terms(F.col("text"))).alias("n")),
+              ["file", "line"])
+        .groupBy("file").agg(
+            F.min(F.struct((-F.col("score")).alias("rank"), "license")).alias("best"),
+            F.sum("n").alias("words")))
+    whole = scratch.keep(best_template(speaking, ["file"], weights, idf, n).select(
+        "file", F.col("license").alias("file_license"), F.col("score").alias("file_score")))
+    judged = scratch.keep(speaking.select("file", "path", F.size(terms(F.col("text"))).alias("n"))
               .join(whole, "file", "left").join(headers, "file", "left")
               .withColumn("close", F.coalesce(F.col("file_score") >= threshold, F.lit(False)))
               .select("file", "path",
@@ -148,9 +151,9 @@ def scan(rows: DataFrame, threshold: float = 0.75, file_share: float = 0.5,
                        | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
                       .alias("is_file"))
               .filter("license IS NOT NULL"))
-    own = judged.groupBy("file").agg(
+    own = scratch.keep(judged.groupBy("file").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), "license")).alias("best"),
-        F.max("is_file").alias("is_file"))
+        F.max("is_file").alias("is_file")))
 
     def parent(path: Column) -> Column:
         return F.regexp_replace(path, "/?[^/]*$", "")
@@ -163,10 +166,10 @@ def scan(rows: DataFrame, threshold: float = 0.75, file_share: float = 0.5,
              .select("dir", F.explode(F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(
                  F.sequence(F.lit(0), F.size(names)))).alias("depth"))
              .withColumn("up", F.array_join(F.slice(names, F.lit(1), F.col("depth")), "/")))
-    nearest = (above.join(granting, "up").groupBy("dir")
-               .agg(F.max(F.struct("depth", "up", "grant")).alias("near"))
-               .select("dir", "near.up", "near.grant"))
-    everything = (files.select("file", "id", "path").dropDuplicates(["file"])
+    nearest = scratch.keep(above.join(granting, "up").groupBy("dir")
+                           .agg(F.max(F.struct("depth", "up", "grant")).alias("near"))
+                           .select("dir", "near.up", "near.grant"))
+    everything = (files.select("file", "id", "path")
                   .withColumn("dir", parent(F.col("path")))
                   .join(own, "file", "left").join(nearest, "dir", "left"))
     mine = F.col("best").isNotNull()
@@ -210,7 +213,7 @@ def duckdb_sql(documents: str, path_sql: str, threshold: float = 0.75, file_shar
             FROM tf GROUP BY term),
     weights AS (SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf)
                        OVER (PARTITION BY template)) AS weight FROM tf JOIN idf USING (term)),
-    files AS (SELECT DISTINCT doc_id, {path_sql} AS path, text FROM {documents}),
+    files AS (SELECT doc_id, {path_sql} AS path, text FROM {documents}),
     speaking AS (SELECT * FROM files WHERE {cue}),
     lines AS (SELECT * FROM (
                 SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line,
