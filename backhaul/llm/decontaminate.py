@@ -242,8 +242,10 @@ class Search:
         of, entry = self.lookup.entries(h[member])
         doc = owner[member][of]
         place = at[member][of] - offsets[doc]
+        if not len(doc):
+            return []
         jobs = []
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else doc
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
             e = entry[a:b]
             jobs += [(int(doc[a]), *p) for p in
