@@ -2,8 +2,8 @@
 
 Built of DataFrame functions only. A line that speaks of licences is compared with every
 template; so is the whole text of a file that has such a line. Words outside the templates'
-vocabulary count together as one further dimension, so prose around a licence lowers the cosine. A
-file is itself a licence file if its name says so, if its whole text is close to a template, or
+vocabulary count together as one further dimension, as if no two were alike, so prose around a
+licence lowers the cosine. A file is itself a licence file if its name says so, if its whole text is close to a template, or
 if most of its words stand in licence lines. A file without a licence of its own takes that of
 the nearest directory above it that has a licence file.
 
@@ -95,7 +95,9 @@ def best_template(units: DataFrame, unit: list[str], weights: DataFrame, idf: Da
              .select(*unit, F.when(F.col("idf").isNull(), OTHER).otherwise(F.col("term"))
                      .alias("term"),
                      F.coalesce("idf", F.log(F.lit(1.0 + n_templates)) + 1).alias("idf"))
-             .groupBy(*unit, "term").agg((F.count("*") * F.max("idf")).alias("value")))
+             .groupBy(*unit, "term").agg(
+                 (F.when(F.col("term") == OTHER, F.sqrt(F.count("*"))).otherwise(F.count("*"))
+                  * F.max("idf")).alias("value")))
     return (known.join(F.broadcast(weights), "term")
             .groupBy(*unit, "template", "license")
             .agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
@@ -199,7 +201,8 @@ def duckdb_sql(documents: str, path_sql: str, threshold: float = 0.75, file_shar
                        round(sum(value * weight) / max(norm), 6) AS score
                 FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY {unit})) AS norm FROM (
                         SELECT {unit}, coalesce(i.term, '{OTHER}') AS term,
-                               count(*) * max(coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1)) AS value
+                               CASE WHEN max(coalesce(i.term, '{OTHER}')) = '{OTHER}' THEN sqrt(count(*))
+                                    ELSE count(*) END * max(coalesce(idf, ln(1.0 + (SELECT count(*) FROM tpl)) + 1)) AS value
                         FROM (SELECT {unit}, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term
                               FROM {units}) t LEFT JOIN idf i USING (term) GROUP BY ALL)) k
                 JOIN weights USING (term) GROUP BY ALL)) WHERE place = 1)"""

@@ -339,6 +339,7 @@ def components(rows: DataFrame, threshold: float, id_column: str, text_column: s
     by_key = scratch.keep(by_key)
     smallest = by_key.groupBy("root").agg(F.min("id").alias("component_id"))
     component = scratch.keep(by_key.join(smallest, "root").select("key", "component_id"))
-    return (signed.select("id", "digest", "key").join(component, "key", "left")
+    own = signed.select("id", "digest", F.when(F.col("id").isNotNull(), F.col("key")).alias("key"))
+    return (own.join(component, "key", "left")
             .select("id", "digest", F.coalesce("component_id", "id").alias("component_id"))
             .withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))))
