@@ -8,9 +8,9 @@ that share a band are candidates, and the similarity itself decides.
 
 Texts with the same words are one class before anything is compared. Within a band, every class is
 compared with one leader; classes still apart from it meet further leaders, and those that remain
-apart after ROUNDS are compared with all of the band they are not yet connected with, in blocks of
-bounded size, by their samples first. So the components are those of all candidate pairs, but a
-large group of copies costs a few comparisons each.
+apart after ROUNDS meet all of their band in blocks of bounded size, where matrix products give all
+similarities and only a spanning forest is returned. So the components are those of all candidate
+pairs, but a large group of copies mostly costs a few comparisons each.
 
 Texts without a word, null texts and null ids link with nothing. Rows that repeat an id and a text
 count as one document.
@@ -31,13 +31,13 @@ from backhaul.llm import words as w
 from backhaul.llm.batches import map_text
 from backhaul.llm.components import connected_components
 from backhaul.llm.scratch import Scratch
+from backhaul.llm.vectors import forest
 
 SHINGLE = 5
 DF_BITS, DF_CHUNK = 18, 4096
 BANDS, ROWS = 12, 3
-ROUNDS, BLOCK = 3, 1024
-#: Of all samples, so many agree in texts of similarity 0.8 but for a chance of 1 in 1,000.
-AGREE = 21
+#: Rounds of leaders, members in one side of a block, and columns multiplied at once.
+ROUNDS, BLOCK, COLUMNS = 2, 512, 4096
 LEVELS = 12
 
 
@@ -158,11 +158,10 @@ def samples(found: np.ndarray, counts: np.ndarray, offsets: np.ndarray, log_idf:
 
 
 def signatures(docs: DataFrame, log_idf) -> DataFrame:
-    """Columns id, digest, ``key`` (null without a word), ``bands`` and ``samples``."""
+    """Columns id, digest, ``key`` (null without a word) and ``bands``."""
     schema = T.StructType([
         T.StructField("id", docs.schema["id"].dataType), T.StructField("digest", T.BinaryType()),
-        T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
-        T.StructField("samples", T.BinaryType())])
+        T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def start():
         table = log_idf.value
@@ -176,8 +175,7 @@ def signatures(docs: DataFrame, log_idf) -> DataFrame:
                     band[:, i] = w.mix(band[:, i] * np.uint64(w.BASE)
                                        + drawn[:, i * ROWS + j], i + 1)
             return [piece.column("id"), piece.column("digest"), pa.array(keys, pa.binary()),
-                    pa.array(list(band.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array([row.tobytes() for row in drawn], pa.binary())]
+                    pa.array(list(band.view(np.int64)), pa.list_(pa.int64()))]
         return work
 
     return map_text(docs, "text", schema, start)
@@ -217,15 +215,55 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     return map_text(joined, "left", schema, start).filter(F.col("similarity") >= threshold)
 
 
-def close_pairs(members: DataFrame, apart: DataFrame) -> DataFrame:
-    """Pairs of a band's members in different components whose samples agree often enough.
+def shared_weight(found: np.ndarray, counts: np.ndarray, offsets: np.ndarray, idf: np.ndarray
+                  ) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the smaller weights for every pair of texts, and each text's sum of weights.
 
-    ``members`` is (band, key, root, samples), ``apart`` (band, n) the bands with several
-    components. Blocks bound what meets in one task; pairs are emitted only past the samples.
+    A count is a row of steps: min(a, b) adds up the steps that both texts reach. So the sums
+    are one matrix product over (shingle, step), taken in pieces of COLUMNS.
+    """
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    total = np.bincount(owner, counts * idf[bucket(found)], n)
+    order = np.lexsort((counts, found))
+    f, c, o = found[order], counts[order], owner[order]
+    new = np.append(True, f[1:] != f[:-1]) if len(f) else np.zeros(0, bool)
+    step = new.copy()
+    step[1:] |= c[1:] != c[:-1]
+    level = np.cumsum(step) - 1
+    base = level[np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))]
+    at = np.flatnonzero(step)
+    below = np.where(new[at], 0, np.append(0, c[at][:-1])[:len(at)])
+    weight = (c[at] - below) * idf[bucket(f[at])]
+    reach = level - base + 1
+    row = np.repeat(o, reach)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach) \
+        + np.repeat(base, reach)
+    several = np.bincount(column, minlength=len(at)) > 1
+    number = np.cumsum(several) - 1
+    row, column, weight = row[several[column]], number[column[several[column]]], weight[several]
+    shared = np.zeros((n, n))
+    sort = np.argsort(column, kind="stable")
+    row, column = row[sort], column[sort]
+    for low in range(0, len(weight), COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        part = np.zeros((n, min(COLUMNS, len(weight) - low)))
+        part[row[a:b], column[a:b] - low] = 1
+        shared += (part * weight[low:low + COLUMNS]) @ part.T
+    return shared, total
+
+
+def linked_in_blocks(members: DataFrame, texts: DataFrame, apart: DataFrame, idf,
+                     threshold: float) -> DataFrame:
+    """Edges (a, b) that join the components of each band as all its pairs would.
+
+    ``members`` is (band, key, root), ``apart`` (band, n) the bands with several components.
+    A band's members meet in blocks of bounded size, every pair in one; a block returns a
+    spanning forest of the pairs that reach ``threshold`` across components, never the pairs.
     """
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     groups = apart.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("groups"))
-    spread = (members.join(groups, "band")
+    spread = (members.join(groups, "band").join(texts, "key")
               .withColumn("group", F.pmod(F.xxhash64("key", "band"), "groups").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
               .withColumn("low", F.least("group", "other"))
@@ -233,24 +271,21 @@ def close_pairs(members: DataFrame, apart: DataFrame) -> DataFrame:
 
     def block(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
-        _, root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]),
-                            return_inverse=True)
-        drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()),
-                              np.uint32).reshape(len(keys), -1)
-        group = table.column("group").to_numpy()
-        across = table.column("low")[0] != table.column("high")[0]
-        a, b = [], []
-        for i in range(len(keys)):
-            rest = np.arange(i + 1, len(keys))
-            rest = rest[(root[rest] != root[i]) & ((group[rest] != group[i]) == across)]
-            for j in rest[(drawn[rest] == drawn[i]).sum(axis=1) >= AGREE]:
-                x, y = sorted((keys[i], keys[j]))
-                a.append(x)
-                b.append(y)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return (spread.select("band", "low", "high", "group", "key", "root", "samples")
-            .groupBy("band", "low", "high").applyInArrow(block, schema).distinct())
+        found, counts, offsets, _ = shingles(table.column("text").to_pylist())
+        shared, total = shared_weight(found, counts, offsets, idf.value)
+        close = shared >= threshold * (total[:, None] + total[None, :] - shared) - 1e-9
+        root = np.array([r.hex() for r in table.column("root").to_pylist()])
+        close &= root[:, None] != root[None, :]
+        if table.column("low")[0] != table.column("high")[0]:
+            group = table.column("group").to_numpy()
+            close &= group[:, None] != group[None, :]
+        label = forest(len(keys), *np.nonzero(np.triu(close, 1)))
+        edge = np.flatnonzero(label != np.arange(len(keys)))
+        return pa.table({"a": pa.array([keys[i] for i in edge], pa.binary()),
+                         "b": pa.array([keys[label[i]] for i in edge], pa.binary())})
+
+    return (spread.select("band", "low", "high", "group", "key", "root", "text")
+            .groupBy("band", "low", "high").applyInArrow(block, schema))
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.8, id_column: str = "doc_id",
@@ -285,16 +320,15 @@ def components(rows: DataFrame, threshold: float, id_column: str, text_column: s
     signed = scratch.keep(signatures(docs, shared_log))
     classes = scratch.keep(
         signed.filter("key IS NOT NULL AND id IS NOT NULL").groupBy("key").agg(
-            F.min(F.struct("id", "digest")).alias("one"), F.first("bands").alias("bands"),
-            F.first("samples").alias("samples"))
-        .select("key", "one.id", "one.digest", "bands", "samples"))
+            F.min(F.struct("id", "digest")).alias("one"), F.first("bands").alias("bands"))
+        .select("key", "one.id", "one.digest", "bands"))
 
     placed = classes.select("key", F.explode(F.array_distinct("bands")).alias("band"))
     several = scratch.keep(placed.groupBy("band").count().filter(F.col("count") > 1)
                            .select("band"))
     members = scratch.keep(placed.join(several, "band"))
     met = scratch.keep(members.select("key").distinct().join(
-        classes.select("key", "id", "digest", "samples"), "key"))
+        classes.select("key", "id", "digest"), "key"))
     texts = scratch.keep(
         docs.join(met.select("key", "id", "digest"), ["id", "digest"])
         .select("key", "text").dropDuplicates(["key"]))
@@ -310,25 +344,26 @@ def components(rows: DataFrame, threshold: float, id_column: str, text_column: s
             here.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"),
                                      F.min(leader).alias("leader"), F.count("*").alias("n"))
             .filter("low <> high")
+            # of two members, the leader has met the other
+            .filter("n > 2" if turn else "true")
             .select("band", "n", F.col("leader.key").alias("leader"),
                     F.col("leader.root").alias("leader_root")))
-        if turn < ROUNDS:
+        if apart.isEmpty():
+            break
+        if turn == ROUNDS:
+            found = scratch.keep(linked_in_blocks(here, texts, apart, shared, threshold))
+        else:
             pairs = (here.join(apart, "band").filter("root <> leader_root")
                      .select(F.least("leader", "key").alias("a"),
                              F.greatest("leader", "key").alias("b")).distinct())
-        else:
-            pairs = close_pairs(here.join(met.select("key", "samples"), "key"), apart)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs)
-        if not pairs.isEmpty():
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = scratch.keep(pairs)
             found = scratch.keep(verified(pairs, texts, shared, threshold).select("a", "b"))
-            links = found if links is None else links.union(found)
             tried = pairs if tried is None else tried.union(pairs)
-            if not found.isEmpty() or roots is None:
-                roots = connected_components(links, scratch)
-        elif turn == 0:
-            break
+        if not found.isEmpty():
+            links = found if links is None else links.union(found)
+            roots = connected_components(links, scratch)
 
     by_key = classes.select("key", "id")
     if roots is not None:
