@@ -1,8 +1,8 @@
 """Registered queries: each takes (spark, directory of the star tables) and returns a frame.
 
 The tables are cleaned and loaded once per application and directory, like the load step that
-precedes every analysis; the queries then read the loaded tables. Where no shared folder
-exists, each query derives what it needs from the files instead.
+precedes every analysis; the queries then read the loaded tables. They are kept in the folder
+named by ``spark.checkpoint.dir``; without it there is one clear error, except in local mode.
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +36,25 @@ try:
 except ImportError:
     pipeline = None
 
-_LOADED: dict[tuple[str, str], Warehouse] = {}
+#: Micro-batches of the registered streams take so many files each.
+STREAM_FILES = 16
+_LOADED: dict[tuple, Warehouse] = {}
+_STORED: dict[tuple, str] = {}
+
+
+def _changed(spark: SparkSession, directory: str) -> tuple:
+    """Modification times of the star tables, so changed input is loaded anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen())
+                        for f in files.listStatus(path)))
 
 
 def warehouse(spark: SparkSession, directory: str) -> Warehouse:
-    key = (spark.conf.get("spark.app.id"), os.path.normpath(directory))
+    key = (spark.conf.get("spark.app.id"), os.path.normpath(directory), _changed(spark, directory))
     if key not in _LOADED:
-        staging = star.read_staging(spark, directory)
-        folder = shared_folder(spark, "warehouse")
-        _LOADED[key] = (Warehouse.load(staging, folder) if folder
-                        else Warehouse.from_staging(staging))
+        _LOADED[key] = Warehouse.load(star.read_staging(spark, directory),
+                                      shared_folder(spark, "warehouse"))
     return _LOADED[key]
 
 
@@ -58,38 +68,84 @@ def _present(rows: DataFrame) -> DataFrame:
 
 
 def _folder(w: Warehouse, purpose: str) -> str:
-    folder = shared_folder(w.staging.sparkSession, purpose)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder
+    return shared_folder(w.staging.sparkSession, purpose)
+
+
+def _once(w: Warehouse, purpose: str, store: Callable[[str], object]) -> str:
+    """The folder that ``store`` filled, the first time anything of this warehouse asked."""
+    if (w.path, purpose) not in _STORED:
+        folder = _folder(w, purpose)
+        store(folder)
+        _STORED[w.path, purpose] = folder
+    return _STORED[w.path, purpose]
+
+
+def _marts(w: Warehouse) -> str:
+    return _once(w, "marts", lambda folder: marts.write_marts(w, folder))
+
+
+def _mart(page: str, name: str) -> Callable[[Warehouse], DataFrame]:
+    """What was stored for a report page."""
+    return lambda w: w.staging.sparkSession.read.parquet(f"{_marts(w)}/{page}/{name}")
+
+
+def _quarantine(w: Warehouse) -> DataFrame:
+    """Rows kept and set aside by a load that enforces the constraints, and which they broke."""
+    spark = w.staging.sparkSession
+    folder = _once(w, "enforced", lambda f: Warehouse.load(w.staging, f, mode="quarantine"))
+    parts = []
+    for name in ("customers", "products", "orders", "returns"):
+        kept = "order_facts" if name == "orders" else name
+        aside = spark.read.parquet(f"{folder}/quarantine/{name}")
+        parts.append(spark.read.parquet(f"{folder}/{kept}").agg(
+            F.lit(name).alias("table_name"), F.lit("kept").alias("rule"),
+            F.count(F.lit(1)).alias("row_count")))
+        parts.append(aside.select(F.explode("violations").alias("rule")).groupBy("rule")
+                     .agg(F.count(F.lit(1)).alias("row_count"))
+                     .select(F.lit(name).alias("table_name"), "rule", "row_count"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _reloaded(w: Warehouse) -> DataFrame:
+    """Row counts after a second full refresh over the first: the same tables again."""
+    spark = w.staging.sparkSession
+
+    def twice(folder: str) -> None:
+        Warehouse.load(w.staging, folder)
+        Warehouse.load(w.staging, folder)
+
+    folder = _once(w, "reloaded", twice)
+    return reduce(DataFrame.unionByName, [
+        spark.read.parquet(f"{folder}/{name}").agg(F.lit(name).alias("table_name"),
+                                                   F.count(F.lit(1)).alias("row_count"))
+        for name in ("staging", "customers", "products", "returns", "order_facts")])
 
 
-def _marts(w: Warehouse) -> DataFrame:
-    folder = _folder(w, "marts")
-    marts.write_marts(w, folder)
-    return marts.mart_manifest(w.staging.sparkSession, folder, w)
+def _stream(w: Warehouse, table: str, rows: DataFrame, day: Column) -> DataFrame:
+    """The table as a stream of files in the order of its quarters."""
+    folder = _once(w, f"arrivals-{table}", lambda f: jobs.store_arrivals(rows, day, f))
+    return jobs.read_files(rows.sparkSession, f"{folder}/arrivals/*", rows.schema, STREAM_FILES)
 
 
-def _stream(w: Warehouse, table: str, rows: DataFrame) -> DataFrame:
-    return jobs.read_files(rows.sparkSession, f"{w.path}/{table}", rows.schema)
+def _facts_stream(w: Warehouse) -> DataFrame:
+    return _stream(w, "order_facts", w.order_facts, F.col("order_date"))
 
 
 def _stream_dedup(w: Warehouse) -> DataFrame:
-    once = jobs.dedup(_stream(w, "staging", w.staging))
-    return jobs.run_to_parquet(once.select("order_id", "customer_id", "order_date", "region"),
-                               _folder(w, "stream-dedup"))
+    arriving = _stream(w, "staging", w.staging, load.parse_date("order_date"))
+    return jobs.run_to_parquet(jobs.dedup(arriving), _folder(w, "stream-dedup")).drop(INGEST_SEQ)
 
 
 def _stream_loss_kpi(w: Warehouse) -> DataFrame:
-    kpi = jobs.loss_kpi(_stream(w, "order_facts", w.order_facts))
+    kpi = jobs.loss_kpi(_facts_stream(w))
     return (jobs.run_to_parquet(kpi, _folder(w, "stream-kpi"))
             .withColumn("window_start", F.to_date("window_start"))
             .withColumn("window_end", F.to_date("window_end")))
 
 
 def _stream_order_returns(w: Warehouse) -> DataFrame:
-    joined = jobs.order_returns(_stream(w, "order_facts", w.order_facts),
-                                _stream(w, "returns", w.returns))
+    joined = jobs.order_returns(
+        _facts_stream(w), _stream(w, "returns", w.returns, F.col("request_date")))
     return (jobs.run_to_parquet(joined, _folder(w, "stream-returns"))
             .select("order_id", "customer_id", "total_amount",
                     F.to_date("order_time").alias("order_date"),
@@ -98,12 +154,11 @@ def _stream_order_returns(w: Warehouse) -> DataFrame:
 
 
 def _stream_category_spike(w: Warehouse) -> DataFrame:
-    folder = _folder(w, "stream-spikes")
-    facts = _stream(w, "order_facts", w.order_facts)
-    jobs.category_spikes(facts, folder).awaitTermination()
-    return (w.staging.sparkSession.read.parquet(f"{folder}/alerts")
-            .select(F.to_date("window_start").alias("window_start"), "category", "total_orders",
-                    "returned_orders", "return_rate", "baseline_rate", "spike"))
+    return (jobs.category_spikes(_facts_stream(w), _folder(w, "stream-spikes"))
+            .select(F.to_date("window_start").alias("window_start"),
+                    F.to_date("window_end").alias("window_end"), "category", "total_orders",
+                    "returned_orders", "total_revenue", "return_loss", "net_revenue",
+                    "return_rate", "baseline_rate", "spike"))
 
 
 def _returned_rows(w: Warehouse) -> DataFrame:
@@ -117,12 +172,16 @@ OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "category_conflicts": lambda w: load.category_conflicts(w.staging),
     "orders_dedup": lambda w: load.orders_dedup(w.staging).drop(INGEST_SEQ),
     "orders_clean": lambda w: load.orders_clean(w.staging),
-    "returns_clean": lambda w: load.returns_clean(w.staging).drop("return_id"),
+    "returns_clean": lambda w: load.returns_clean(w.staging),
     "constraint_report": lambda w: constraints.constraint_report(
         w.customers, w.products, w.orders, w.returns),
     "orders_dedup_report": lambda w: load.dedup_report(w.staging, w.orders, w.returns),
     "order_facts": lambda w: w.order_facts,
-    "write_marts": _marts,
+    "write_marts": lambda w: marts.mart_manifest(w.staging.sparkSession, _marts(w)),
+    **{f"mart_{name}": _mart(page, name) for page, names in marts.PAGES.items()
+       for name in names},
+    "load_quarantine": _quarantine,
+    "reload": _reloaded,
 
     "total_revenue": lambda w: revenue.total_revenue(w.orders),
     "return_loss": lambda w: revenue.return_loss(w.order_returns),

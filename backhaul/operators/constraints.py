@@ -1,7 +1,8 @@
 """Keys, NOT NULL, CHECK and foreign keys of the normalised tables.
 
-Spark does not enforce them. ``constraint_report`` counts violations, ``split_valid`` moves
-offending rows aside and ``require_valid`` fails the job the way a rejected insert would.
+Spark does not enforce them. ``constraint_report`` counts violations, ``enforce`` moves offending
+rows of all four tables aside, parents before children, and ``require_valid`` fails the job the
+way a rejected insert would.
 """
 
 from collections.abc import Sequence
@@ -126,3 +127,33 @@ def require_valid(table: str, rows: DataFrame) -> DataFrame:
     for rule in ROW_RULES[table]:
         rows = rows.filter(F.assert_true(~rule.broken(), f"{table}: {rule.name}").isNull())
     return rows
+
+
+def enforce(customers: DataFrame, products: DataFrame, orders: DataFrame, returns: DataFrame
+            ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The four tables with every constraint kept, and the rows set aside, by table.
+
+    A row set aside names in ``violations`` the first kind of rule it breaks: its own rules, a
+    repeated key (all its rows go), a parent that does not exist or was set aside itself.
+    """
+    kept: dict[str, DataFrame] = {}
+    aside: dict[str, DataFrame] = {}
+    for name, rows in {"customers": customers, "products": products, "orders": orders,
+                       "returns": returns}.items():
+        columns = rows.columns
+        good, bad = split_valid(name, rows)
+
+        def move(broken: DataFrame, label: str, bad=bad, columns=columns) -> DataFrame:
+            return bad.unionByName(broken.select(*columns)
+                                   .withColumn("violations", F.array(F.lit(label))))
+
+        for key in UNIQUE[name]:
+            twice = repeated_keys(good, key).select(key)
+            bad = move(good.join(twice, key, "left_semi"), f"UNIQUE {key}", bad)
+            good = good.join(twice, key, "left_anti")
+        for child, key, parent in FOREIGN_KEYS:
+            if child == name:
+                bad = move(orphans(good, kept[parent], key), f"FOREIGN KEY {key}", bad)
+                good = good.join(kept[parent].select(key), key, "left_semi")
+        kept[name], aside[name] = good.select(*columns), bad
+    return kept, aside

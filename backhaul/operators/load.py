@@ -92,13 +92,14 @@ def returns_clean(staging: DataFrame) -> DataFrame:
 
     Filtering comes before deduplication on purpose: an order whose first row says ``No``
     still counts as returned, while its amounts come from that first row. ``return_id`` is a
-    hash of the order id, so it needs no global counter and survives reloads.
+    128-bit digest of the order id, so it needs no global counter, survives reloads and does
+    not collide.
     """
     rows = (staging.filter(F.col("returned") == RETURNED)
             .select("order_id", "request_date", "return_reason", INGEST_SEQ))
     rows = (first_per_order(rows)
             .withColumn("request_date", parse_date("request_date"))
-            .withColumn("return_id", F.xxhash64("order_id")))
+            .withColumn("return_id", F.md5("order_id")))
     return conform(rows, RETURNS)
 
 

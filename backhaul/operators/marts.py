@@ -9,8 +9,8 @@ from backhaul.operators import (categories, cohorts, customers, economics, impac
 from backhaul.warehouse import Warehouse
 
 
-def result_tables(w: Warehouse) -> dict[str, dict[str, DataFrame]]:
-    segmented = impact.customer_impact(w.order_returns)
+def result_tables(w: Warehouse, segmented: DataFrame) -> dict[str, dict[str, DataFrame]]:
+    """Results by page; ``segmented`` is the stored customer impact that others build on."""
     return {
         "revenue": {
             "net_revenue": revenue.net_revenue(w.order_returns),
@@ -19,7 +19,6 @@ def result_tables(w: Warehouse) -> dict[str, dict[str, DataFrame]]:
             "true_cost": economics.true_cost(w.order_returns),
         },
         "customers": {
-            "customer_impact": segmented,
             "segment_summary": impact.segment_summary(segmented),
             "top_value_customers": customers.top_value_customers(w.orders),
             "cohort_retention": cohorts.cohort_retention(w.orders),
@@ -49,7 +48,10 @@ def write_marts(w: Warehouse, path: str) -> None:
     (w.orders.withColumn("order_month", m.month_key("order_date"))
      .hint("rebalance", "order_month")
      .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/tables/orders"))
-    for page, tables in result_tables(w).items():
+    spark = w.staging.sparkSession
+    impact_path = f"{path}/customers/customer_impact"
+    impact.customer_impact(w.order_returns).write.mode("overwrite").parquet(impact_path)
+    for page, tables in result_tables(w, spark.read.parquet(impact_path)).items():
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{path}/{page}/{name}")
 
@@ -59,10 +61,20 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def mart_manifest(spark: SparkSession, path: str, w: Warehouse) -> DataFrame:
+# Report pages and the results on them.
+PAGES = {
+    "revenue": ["net_revenue", "return_rate", "monthly_trend", "true_cost"],
+    "customers": ["customer_impact", "segment_summary", "top_value_customers",
+                  "cohort_retention"],
+    "products": ["product_return_risk", "product_leakage_rank", "pareto_loss"],
+    "categories": ["category_summary", "category_true_cost", "reason_by_category"],
+}
+
+
+def mart_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Stored row count per mart."""
     folders = [("tables", name) for name in ("customers", "products", "orders", "returns")]
-    folders += [(page, name) for page, tables in result_tables(w).items() for name in tables]
+    folders += [(page, name) for page, names in PAGES.items() for name in names]
     manifest = None
     for page, name in folders:
         counted = spark.read.parquet(f"{path}/{page}/{name}").agg(

@@ -35,7 +35,8 @@ def _history(facts: DataFrame, key: str) -> DataFrame:
 def order_risk_features(facts: DataFrame) -> DataFrame:
     """Per order: the customer's and the category's history, amount, region, payment.
 
-    Prior rates are not rounded; they are NULL without prior orders.
+    Prior rates are not rounded; they are NULL without prior orders. An order without a date
+    has no before: it is kept, its history is NULL.
     """
     known = categorised(facts)
     customer = _history(known, "customer_id").withColumnsRenamed(
@@ -44,8 +45,8 @@ def order_risk_features(facts: DataFrame) -> DataFrame:
         {"prior_orders": "category_prior_orders", "prior_returns": "category_prior_returns"})
     return (known.select("order_id", "customer_id", "category", "order_date", "total_amount",
                          "region", "payment_method", "returned")
-            .join(customer, ["customer_id", "order_date"])
-            .join(category, ["category", "order_date"])
+            .join(customer, ["customer_id", "order_date"], "left")
+            .join(category, ["category", "order_date"], "left")
             .withColumn("customer_prior_rate", m.quotient(F.col("customer_prior_returns"),
                                                           F.col("customer_prior_orders")))
             .withColumn("category_prior_rate", m.quotient(F.col("category_prior_returns"),
@@ -56,7 +57,8 @@ def order_risk_score(features: DataFrame, strength: float = 5.0) -> DataFrame:
     """The customer's prior return rate, smoothed towards the category's.
 
     ``strength`` is the number of imagined orders at the category's rate added to the
-    customer's own history; a customer without history scores the category's rate.
+    customer's own history; a customer without history scores the category's rate. Orders
+    without a date have no score.
     """
     baseline = F.coalesce("category_prior_rate", F.lit(0.0))
     score = ((F.col("customer_prior_returns") + F.lit(strength) * baseline)

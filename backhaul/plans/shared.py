@@ -6,8 +6,8 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str | None:
-    """A new folder every executor can reach, or None if the cluster names no such place.
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder every executor can reach.
 
     The place is the session's ``spark.checkpoint.dir``. A temporary folder of this machine
     stands in for it only in local mode, where driver and executors are one process.
@@ -15,6 +15,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str | None:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         if not spark.conf.get("spark.master", "").startswith("local"):
-            return None
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         place = tempfile.mkdtemp(prefix="backhaul-")
     return f"{place.rstrip('/')}/backhaul-{purpose}-{uuid4().hex}"

