@@ -10,7 +10,7 @@ exactly one, and no two windows of a segment are equal. Equal segments are one c
 before anything but hashes is shuffled. Anchors with several classes are ordered: tasks build the
 Burrows-Wheeler transform of the classes of whole anchors and derive common prefixes from it in
 rising order (``repeated_windows``). An anchor with more than ``CLASSES`` classes, a passage in
-many contexts, would be too much for one task: its windows are counted by digest instead.
+that many contexts, would not fit in a task's memory: its windows are counted by digest instead.
 
 Rows are told apart by a digest of id and text, so ids may be null or repeated; rows that repeat
 count as texts of their own.
@@ -34,8 +34,9 @@ from backhaul.llm.scratch import Scratch
 LENGTH = 200
 #: Bytes of the strings that anchors are chosen from.
 GRAM = 64
-#: Classes of an anchor ordered in one task, and bytes ordered at once.
-CLASSES, COLLECTION = 500, 3 << 20
+#: Classes of an anchor ordered in one task (6 MB at most), and bytes after which a task orders
+#: what it has; 60 bytes of memory go with each.
+CLASSES, COLLECTION = 20_000, 2 << 20
 
 
 def segments(data: bytes, ends: np.ndarray, length: int, gram: int
@@ -110,18 +111,17 @@ def suffix_order(symbols: np.ndarray, end_of: np.ndarray, longest: int) -> np.nd
     position's zero. Prefix doubling, on what is still tied.
     """
     n, step = len(symbols), 7
-    key = np.zeros(n, np.int64)
+    key, place = np.zeros(n, np.int64), np.arange(n, dtype=np.int32)
     for k in range(step):
-        part = np.zeros(n, np.int64)
-        inside = np.flatnonzero(np.arange(n) + k <= end_of)
-        part[inside] = symbols[inside + k]
-        key = key << 9 | part
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+        key <<= 9
+        inside = np.flatnonzero(place + k <= end_of)
+        key[inside] |= symbols[inside + k]
+    order = np.argsort(key, kind="stable").astype(np.int32)
+    key = key[order]
     new = np.ones(n, bool)
-    new[1:] = sorted_key[1:] != sorted_key[:-1]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    new[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.int32)
+    rank[order] = np.flatnonzero(new)[np.cumsum(new, dtype=np.int32) - 1]
     while step < longest:
         group = np.append(new, True)
         tied = np.flatnonzero(~(group[:-1] & group[1:]))
@@ -130,7 +130,7 @@ def suffix_order(symbols: np.ndarray, end_of: np.ndarray, longest: int) -> np.nd
         at = order[tied]
         follow = at + step
         second = np.where(follow <= end_of[at], rank[np.minimum(follow, n - 1)] + 1, 0)
-        key = rank[at] << 31 | second
+        key = rank[at].astype(np.int64) << 31 | second
         sort = np.argsort(key, kind="stable")
         order[tied] = at[sort]
         key = key[sort]
@@ -153,18 +153,19 @@ def repeated_windows(parts: list[bytes], weights: np.ndarray, length: int) -> li
     """
     sizes = np.array([len(p) for p in parts])
     ends = np.cumsum(sizes + 1) - 1
-    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int16) + np.int16(1)
     symbols[ends] = 0
     n, m = len(symbols), len(parts)
-    end_of = np.repeat(ends, sizes + 1)
+    end_of = np.repeat(ends.astype(np.int32), sizes + 1)
     order = suffix_order(symbols, end_of, int(sizes.max()) + 1)
     before = np.where(order > 0, symbols[order - 1], 0)  # the transform
 
     # LF: where the suffix one symbol longer stands
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(before, kind="stable")] = np.arange(n)
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     run_start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-    run_of = np.repeat(np.arange(len(run_start)), np.diff(np.append(run_start, n)))
+    run_of = np.repeat(np.arange(len(run_start), dtype=np.int32),
+                       np.diff(np.append(run_start, n)))
     run_end = np.append(run_start[1:], n) - 1
 
     known = np.zeros(n + 1, bool)  # borders with a common prefix below the current length
@@ -172,6 +173,7 @@ def repeated_windows(parts: list[bytes], weights: np.ndarray, length: int) -> li
     known[:m + 1] = True
     first = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
     first = first[first >= m]
+    del end_of
     low = np.concatenate([np.arange(m), first])
     high = np.concatenate([np.arange(m), np.append(first[1:], n)[:len(first)] - 1])
     known[first] = True
