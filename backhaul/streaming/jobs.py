@@ -168,7 +168,7 @@ def category_spikes(facts: DataFrame, path: str, width: str = "30 days", delay:
     _run(finished, path, lambda writer: writer.foreachBatch(score).start())
     scored = T.StructType([*finished.schema.fields, T.StructField("baseline_rate", T.DoubleType()),
                            T.StructField("spike", T.BooleanType())])
-    return spark.read.schema(scored).parquet(f"{path}/alerts")
+    return spark.read.schema(scored).parquet(f"{path}/alerts").drop("batch_id")
 
 
 class LateRows(RuntimeError):

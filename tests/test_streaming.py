@@ -14,20 +14,63 @@ def stream(spark, folder, schema):
     return jobs.read_files(spark, f"{folder}/*", schema, files_per_batch=1)
 
 
-def test_dedup_keeps_first_arrival_across_batches(spark, make, tmp_path):
-    first = make.staging(dict(order_id="A", total_amount=1), dict(order_id="B", total_amount=2))
-    later = make.staging(dict(order_id="A", total_amount=9),
-                         dict(order_id="C", order_date="20/2/2023", total_amount=3))
+def test_dedup_keeps_the_first_row_in_load_order(spark, make, tmp_path):
+    first = make.staging(dict(order_id="A", total_amount=1, ingest_seq=5),
+                         dict(order_id="B", total_amount=2))
+    later = make.staging(dict(order_id="A", total_amount=9, ingest_seq=1),
+                         dict(order_id="C", order_date="20/9/2023", total_amount=3),
+                         dict(order_id="D", order_date="no date"))
     put(first, tmp_path / "in", "1")
-    out = str(tmp_path / "out")
-    def run():
-        return jobs.run_to_parquet(
-            jobs.dedup(stream(spark, tmp_path / "in", first.schema))
-            .select("order_id", "total_amount"), out)
-    assert run().count() == 2
-    put(later, tmp_path / "in", "2")  # the job resumes from its checkpoint
-    rows = {r["order_id"]: int(r["total_amount"]) for r in run().collect()}
-    assert rows == {"A": 1, "B": 2, "C": 3}
+    put(later, tmp_path / "in", "2")
+    out = jobs.run_to_parquet(
+        jobs.dedup(stream(spark, tmp_path / "in", first.schema)), str(tmp_path / "out"))
+    assert out.columns == first.columns
+    rows = {r["order_id"]: int(r["total_amount"]) for r in out.collect()}
+    assert rows == {"A": 9, "B": 2}  # September is still open, an undated row has no place
+
+
+def test_results_do_not_depend_on_the_batch_cut(spark, make, tmp_path):
+    days = [dt.date(2022, 1, 1) + dt.timedelta(days=(i * 37) % 900) for i in range(300)]
+    facts = make.facts(*[dict(order_date=str(d), returned=i % 3 == 0, category="AB"[i % 2],
+                              request_date=str(d + dt.timedelta(days=i % 120)))
+                         for i, d in enumerate(days)])
+    returns = facts.filter("returned").select("order_id", "request_date", "return_reason")
+    jobs.store_arrivals(facts.repartition(3), F.col("order_date"), str(tmp_path / "facts"))
+    jobs.store_arrivals(returns.repartition(3), F.col("request_date"), str(tmp_path / "returns"))
+    results = []
+    for cut in (None, 1, 3):
+        def source(name, schema, cut=cut):
+            return jobs.read_files(spark, str(tmp_path / name / "arrivals/*"), schema, cut)
+
+        orders, back = source("facts", facts.schema), source("returns", returns.schema)
+        out = str(tmp_path / f"out-{cut}")
+        results.append([sorted(map(str, rows.collect())) for rows in (
+            jobs.run_to_parquet(jobs.loss_kpi(orders), f"{out}/kpi"),
+            jobs.run_to_parquet(jobs.order_returns(orders, back), f"{out}/returns"),
+            jobs.category_spikes(orders, f"{out}/spikes"))])
+    assert results[0] == results[1] == results[2] and all(results[0])
+
+
+def test_late_rows_are_an_error(spark, make, tmp_path):
+    import pytest
+
+    put(make.facts(dict(order_date="2023-01-02"), dict(order_date="2023-12-30")),
+        tmp_path / "in", "1")
+    put(make.facts(dict(order_date="2023-12-31")), tmp_path / "in", "2")
+    late = make.facts(dict(order_id="late", order_date="2023-01-04"))
+    put(late, tmp_path / "in", "3")
+    kpi = jobs.loss_kpi(stream(spark, tmp_path / "in", late.schema))
+    with pytest.raises(jobs.LateRows, match="1 rows"):
+        jobs.run_to_parquet(kpi, str(tmp_path / "out"))
+
+
+def test_the_session_keeps_its_state_store(spark, make, tmp_path):
+    before = spark.conf.get(jobs.STATE_STORE, None), spark.conf.get(jobs.PROGRESS_KEPT, None)
+    put(make.facts(dict(order_date="2023-01-02")), tmp_path / "in", "1")
+    jobs.run_to_parquet(jobs.loss_kpi(stream(spark, tmp_path / "in", make.facts(
+        dict(order_date="2023-01-02")).schema)), str(tmp_path / "out"))
+    assert before == (spark.conf.get(jobs.STATE_STORE, None),
+                      spark.conf.get(jobs.PROGRESS_KEPT, None))
 
 
 def test_loss_kpi_emits_finished_windows_and_drops_late_rows(spark, make, tmp_path):
@@ -39,8 +82,8 @@ def test_loss_kpi_emits_finished_windows_and_drops_late_rows(spark, make, tmp_pa
     put(january, tmp_path / "in", "1")
     out = str(tmp_path / "out")
     def run():
-        kpi = jobs.loss_kpi(stream(spark, tmp_path / "in", january.schema))
-        return jobs.run_to_parquet(kpi, out)
+        kpi = jobs.loss_kpi(stream(spark, tmp_path / "in", january.schema), delay="7 days")
+        return jobs.run_to_parquet(kpi, out, allow_late=True)
     run()
     put(late, tmp_path / "in", "2")
     rows = {r["window_start"]: r for r in run().collect()}
@@ -61,7 +104,8 @@ def test_order_returns_within_limit(spark, make, tmp_path):
     put(orders, tmp_path / "orders", "1")
     put(returns, tmp_path / "returns", "1")
     joined = jobs.order_returns(stream(spark, tmp_path / "orders", orders.schema),
-                                stream(spark, tmp_path / "returns", returns.schema))
+                                stream(spark, tmp_path / "returns", returns.schema),
+                                delay="12 hours")
     rows = {r["order_id"]: r["returned"]
             for r in jobs.run_to_parquet(joined, str(tmp_path / "out")).collect()}
     assert rows == {"back": True, "too late": False, "kept": False}
@@ -76,10 +120,10 @@ def test_category_spike(spark, make, tmp_path):
     put(first, tmp_path / "in", "1")
     put(second, tmp_path / "in", "2")
     out = str(tmp_path / "out")
-    jobs.category_spikes(stream(spark, tmp_path / "in", first.schema), out).awaitTermination()
+    scored = jobs.category_spikes(stream(spark, tmp_path / "in", first.schema), out,
+                                  delay="7 days")
     alerts = {r["window_start"].month: r for r in
-              spark.read.parquet(f"{out}/alerts").withColumn(
-                  "window_start", F.date_add("window_start", 15)).collect()}
+              scored.withColumn("window_start", F.date_add("window_start", 15)).collect()}
     spikes = [r["window_end"] for r in alerts.values() if r["spike"]]
     assert len(alerts) == 5 and len(spikes) == 1
     april = next(r for r in alerts.values() if r["spike"])
