@@ -38,7 +38,7 @@ class Settings:
     epochs: int = 4
     min_rows: int = 2
     #: At most about so many labelled rows are fitted.
-    max_rows: int = 30_000
+    max_rows: int = 18_000
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
