@@ -30,6 +30,8 @@ LENGTHS = (1, 2, 3, 4)
 #: Presence rows multiplied at once.
 ROWS = 64
 UNKNOWN = "und"
+#: Rows that may be broadcast.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -129,8 +131,10 @@ def train(documents: DataFrame, held_out: tuple[int, int] | None = (3, 1),
     if held_out:
         known = known.filter(crc_fold("id", held_out[0]) != held_out[1])
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    each = settings.max_rows / max(counts.count(), 1)
-    sample = (known.join(counts, "lang")
+    languages = counts.count()
+    each = settings.max_rows / max(languages, 1)
+    # a text is only shuffled for a table of languages that is too large to send around
+    sample = (known.join(F.broadcast(counts) if languages <= FEW else counts, "lang")
               .filter(hash_share(F.col("id")) < each / F.col("n")).select("lang", "text"))
     return fit_once(sample, lambda t: fit(*(
         ([], []) if t is None else (t.column("text").to_pylist(), t.column("lang").to_pylist())),
