@@ -28,7 +28,7 @@ from backhaul.llm.batches import map_text
 MARK = "▁"
 PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Parts up to this length are remembered, so many at a time.
-REMEMBER_CHARS, REMEMBER_PARTS = 48, 400_000
+REMEMBER_CHARS, REMEMBER_PARTS = 48, 250_000
 NEVER = float("-inf")
 #: What an uncovered character costs beyond the worst piece, as the library has it.
 UNKNOWN_PENALTY = 10.0
