@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from backhaul.functions import metrics as m
 from backhaul.operators.facts import categorised, returned_only
-from backhaul.plans.totals import grand_total
+from backhaul.plans.totals import total_of_few
 
 # Margin bands in report order.
 MARGIN_BANDS = ("Negative Margin", "Zero Margin", "Low Margin (0–10)", "Mid Margin (10–50)",
@@ -84,7 +84,7 @@ def margin_bands(order_returns: DataFrame) -> DataFrame:
     report_order = F.array_position(F.array(*map(F.lit, MARGIN_BANDS)), F.col("margin_band"))
     return (bands
             .select("margin_band", "return_count",
-                    m.percent(F.col("return_count"), grand_total(bands, "return_count"))
+                    m.percent(F.col("return_count"), total_of_few("return_count"))
                     .alias("pct_of_returns"),
                     "revenue_loss", "margin_loss", "shipping_loss", "total_economic_loss",
                     "avg_order_value")

@@ -7,13 +7,18 @@ from backhaul.functions import metrics as m
 from backhaul.functions import segments
 from backhaul.operators.load import RETURNED
 from backhaul.plans.global_order import with_tile
-from backhaul.plans.totals import grand_total
+from backhaul.plans.shared import stored
+from backhaul.plans.totals import total_of_few
 
 TILES = 5
 
 
 def _classify(customers: DataFrame, min_orders: int, buckets: int | None) -> DataFrame:
-    """Adds both segments; the quintile is taken over customers with enough orders."""
+    """Adds both segments; the quintile is taken over customers with enough orders.
+
+    The summary per customer is stored; the quintile reads that and not the orders again.
+    """
+    customers = stored(customers, "customers")
     population = customers.filter(F.col("total_orders") >= min_orders)
     tiled = with_tile(customers, population, "return_loss", "customer_id", TILES, "_tile",
                       buckets)
@@ -79,7 +84,7 @@ def segment_summary(impact: DataFrame) -> DataFrame:
         "behavior_segment", "customers",
         m.percent(F.col("_rates"), F.col("_rated")).alias("avg_return_rate_pct"),
         "total_revenue", "return_loss",
-        m.percent(F.col("return_loss"), grand_total(segments_, "return_loss"))
+        m.percent(F.col("return_loss"), total_of_few("return_loss"))
          .alias("loss_share_pct"),
         F.round(m.quotient(F.col("return_loss"), F.col("customers")), 2)
          .alias("avg_loss_per_customer"),

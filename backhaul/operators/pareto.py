@@ -6,13 +6,18 @@ from pyspark.sql import functions as F
 from backhaul.functions import metrics as m
 from backhaul.operators.products import product_summary
 from backhaul.plans.global_order import with_global_order
+from backhaul.plans.shared import stored
 from backhaul.plans.totals import grand_total
 
 
 def pareto_loss(facts: DataFrame, buckets: int | None = None) -> DataFrame:
-    losses = (product_summary(facts)
-              .select("product_id", "category", F.col("return_loss").alias("total_loss"))
-              .filter(F.col("total_loss") > 0))
+    """Products with a loss and the loss accumulated from the largest down.
+
+    The summary per product is stored; ordering reads that and not the facts again.
+    """
+    losses = stored(product_summary(facts)
+                    .select("product_id", "category", F.col("return_loss").alias("total_loss"))
+                    .filter(F.col("total_loss") > 0), "product-losses")
     running = with_global_order(losses, "total_loss", "product_id",
                                 running_total="cumulative_loss", buckets=buckets)
     return (running.withColumn("_all", grand_total(losses, "total_loss"))

@@ -7,6 +7,7 @@ from backhaul.functions import metrics as m
 from backhaul.functions import segments
 from backhaul.operators.facts import categorised
 from backhaul.plans.global_order import with_global_order
+from backhaul.plans.shared import stored
 from backhaul.plans.totals import grand_total
 
 
@@ -69,10 +70,13 @@ def product_leakage_rank(facts: DataFrame, min_orders: int = 3, k: int = 10) ->
 
 
 def product_loss_share(order_returns: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Every product's loss, its global rank and its share of the total loss in percent."""
-    losses = (order_returns.groupBy("product_id")
-              .agg(F.sum(F.when(F.col("returned"), F.col("total_amount")).otherwise(F.lit(0)))
-                   .alias("return_loss")))
+    """Every product's loss, its global rank and its share of the total loss in percent.
+
+    The loss per product is stored; ordering reads that and not the orders again.
+    """
+    losses = stored(order_returns.groupBy("product_id")
+                    .agg(F.sum(F.when(F.col("returned"), F.col("total_amount"))
+                               .otherwise(F.lit(0))).alias("return_loss")), "product-losses")
     ranked = with_global_order(losses, "return_loss", "product_id", rank="loss_rank",
                                buckets=buckets)
     return (ranked.withColumn("total_loss", grand_total(losses, "return_loss"))

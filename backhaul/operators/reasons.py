@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from backhaul.functions import metrics as m
 from backhaul.functions import segments
 from backhaul.operators.facts import categorised, returned_only
-from backhaul.plans.totals import grand_total
+from backhaul.plans.totals import total_of_few
 
 # The team and step recommended for each known reason.
 ACTIONS = {
@@ -44,10 +44,10 @@ def reason_summary(order_returns: DataFrame) -> DataFrame:
                     m.mean("total_amount").alias("avg_order_value")))
     return reasons.select(
         "return_reason", "return_count",
-        m.percent(F.col("return_count"), grand_total(reasons, "return_count"))
+        m.percent(F.col("return_count"), total_of_few("return_count"))
          .alias("pct_of_returns"),
         "return_loss",
-        m.percent(F.col("return_loss"), grand_total(reasons, "return_loss")).alias("pct_of_loss"),
+        m.percent(F.col("return_loss"), total_of_few("return_loss")).alias("pct_of_loss"),
         "avg_order_value",
     )
 
@@ -98,9 +98,9 @@ def moderate_reason_crosstab(order_returns: DataFrame, min_orders: int = 3,
                .filter(F.col("behavior_segment") == segment))
     return reasons.select(
         "return_reason", "return_count", "return_loss",
-        m.percent(F.col("return_count"), grand_total(reasons, "return_count"))
+        m.percent(F.col("return_count"), total_of_few("return_count"))
          .alias("pct_of_returns"),
-        m.percent(F.col("return_loss"), grand_total(reasons, "return_loss")).alias("pct_of_loss"),
+        m.percent(F.col("return_loss"), total_of_few("return_loss")).alias("pct_of_loss"),
     )
 
 

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLES_PER_BUCKET = 32
-MAX_BUCKETS = 4096
+#: Rows that one task should order.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def position(value: str, key: str) -> Column:
@@ -26,10 +27,14 @@ def position(value: str, key: str) -> Column:
 
 
 def bucket_count(df: DataFrame, buckets: int | None = None) -> int:
-    """A power of two near the number of shuffle partitions."""
-    wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """A power of two: enough for all tasks, and for buckets of ROWS_PER_BUCKET.
+
+    Counts ``df``, which is cheap for the stored tables this is meant for.
+    """
+    wanted = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                            -(-df.count() // ROWS_PER_BUCKET))
     count = 1
-    while count < min(wanted, MAX_BUCKETS):
+    while count < wanted:
         count *= 2
     return count
 
@@ -117,17 +122,18 @@ def _rank_offsets(bucketed: DataFrame, value: str) -> DataFrame:
     """``_offsets`` plus the first value of each bucket and the rank of that value.
 
     A run of equal values can begin in an earlier bucket and cover several. It begins in the
-    first bucket that ends with its value, at that bucket's end less the equal rows there.
+    first bucket that ends with its value, at that bucket's end less the equal rows there. Those
+    are counted in a second pass once the ends are known: both passes shuffle a row per task
+    and bucket.
     """
-    order = position(value, "_bucket")
-    per_value = (bucketed.groupBy("_bucket", value)
-                 .agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"))
-                 .withColumn("_entry", F.struct(F.col(value).alias("value"), "_rows")))
-    first, last = F.min_by("_entry", order), F.max_by("_entry", order)
-    totals = per_value.groupBy("_bucket").agg(
-        F.sum("_rows").alias("_rows"), F.sum("_sum").alias("_sum"),
-        first["value"].alias("_top"), last["value"].alias("_bottom"),
-        last["_rows"].alias("_bottom_rows"))
+    ends = bucketed.groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_sum"),
+        F.max(value).alias("_top"),
+        F.when(F.count(value) == F.count(F.lit(1)), F.min(value)).alias("_bottom"))
+    equal = (bucketed.join(F.broadcast(ends.select("_bucket", "_bottom")), "_bucket")
+             .filter(F.col(value).eqNullSafe(F.col("_bottom")))
+             .groupBy("_bucket").agg(F.count(F.lit(1)).alias("_bottom_rows")))
+    totals = ends.join(equal, "_bucket")
     in_order = Window.orderBy("_bucket")
     run_start = (F.min(F.col("_rows_ahead") + F.col("_rows") - F.col("_bottom_rows") + 1)
                  .over(Window.partitionBy("_bottom")))

@@ -3,7 +3,7 @@
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -18,3 +18,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         place = tempfile.mkdtemp(prefix="backhaul-")
     return f"{place.rstrip('/')}/backhaul-{purpose}-{uuid4().hex}"
+
+
+def stored(rows: DataFrame, purpose: str) -> DataFrame:
+    """``rows``, written now and read back, for results that are read more than once."""
+    folder = shared_folder(rows.sparkSession, purpose)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
