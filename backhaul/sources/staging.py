@@ -7,16 +7,45 @@ from pyspark.sql import types as T
 from backhaul.schemas import INGEST_SEQ, STAGING
 
 
+MALFORMED = "_malformed"
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = STAGING,
-             sequence: str | None = None) -> DataFrame:
+             sequence: str | None = None, multi_line: bool = False) -> DataFrame:
     """Wide CSV with a header that matches ``schema``; a field that does not parse is NULL.
 
     ``sequence`` names the column that holds the load order. Without one the order is taken
     from the files: path, start of the split, then row order within the split. Spark may
     schedule splits in any order, so a running id alone would not follow the file.
+
+    Quoted fields with line breaks need ``multi_line``, which reads each file in one task.
     """
-    rows = spark.read.schema(schema).csv(path, header=True, enforceSchema=False,
-                                         mode="PERMISSIVE")
+    return _read(spark, path, schema, sequence, multi_line)
+
+
+def split_csv(spark: SparkSession, path: str, schema: T.StructType = STAGING,
+              sequence: str | None = None, multi_line: bool = False
+              ) -> tuple[DataFrame, DataFrame]:
+    """``read_csv`` without the malformed records, and those: the file and the record as text.
+
+    A record is malformed if it has too few or too many fields, or a field that is not of its
+    column's type. All columns are parsed to see that, whichever are used.
+    """
+    wider = T.StructType([*schema.fields, T.StructField(MALFORMED, T.StringType())])
+    rows = _read(spark, path, wider, sequence, multi_line, columnNameOfCorruptRecord=MALFORMED)
+    # always true, but it needs every column: Spark only parses what is used
+    rows = rows.filter(F.length(F.concat_ws("", *[F.col(f.name).cast("string")
+                                                  for f in schema])) >= 0)
+    broken = F.col(MALFORMED).isNotNull()
+    return (rows.filter(~broken).drop(MALFORMED),
+            rows.filter(broken).select(F.input_file_name().alias("file"),
+                                       F.col(MALFORMED).alias("record"), schema.names[0]))
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, sequence: str | None,
+          multi_line: bool, **options) -> DataFrame:
+    rows = (spark.read.schema(schema).options(mode="PERMISSIVE", multiLine=multi_line, **options)
+            .csv(path, header=True, enforceSchema=False))
     if sequence:
         return rows.withColumnRenamed(sequence, INGEST_SEQ)
     return rows.select(
