@@ -101,7 +101,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(df: np.ndarray, n: int) -> np.ndarray:
-    return np.log(1 + n / (1 + df))
+    return np.log(1 + max(n, 1) / (1 + df))
 
 
 _GAMMA: np.ndarray | None = None
