@@ -1,15 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-A first pass counts, for every word n-gram of the test items, the documents it occurs in. Each
-stretch of an item then keeps its rarest n-grams as seeds, so every part of every item stays
-findable, however common its words are. A second pass finds the seeds in the documents; where
-some of an item's seeds lie, a local alignment of the item's words with the passage there scores
-exact, edited and paraphrased copies alike. The score is that of the best alignment as a share
-of the score of the whole item.
+"""Benchmark decontamination: seeds of word pairs, then Smith-Waterman alignment.
+
+The seeds of an item are all its pairs of words that are adjacent or have one word between them;
+a document holds a seed where the two words stand in it just so. An alignment of score s with m
+matches has 2m - s mismatches and gaps, at most half as many places where two of them come between
+neighbouring matches, and so at least s/2 - 1 seeds at different words of the document, within
+3n - s words for an item of n words. Where that many seeds of an item lie so near each other, and
+only there, a local alignment of the item's words with the passage scores exact, edited and
+paraphrased copies alike: no alignment that reaches the score asked for is lost, however the words
+are edited and however common they are. The score is that of the best alignment as a share of the
+score of the whole item.
 
 Test items are broadcast in slices of at most ``SLICE_WORDS`` words; a larger test set takes
-more passes. Null texts have no words. Items with fewer words than a seed match nothing. Items and
-documents that repeat are reported each.
+more passes. Null texts have no words. Items with fewer than ``SHORTEST`` words match nothing. Items
+and documents that repeat are reported each.
 """
 
 from __future__ import annotations
@@ -25,69 +28,79 @@ from pyspark.sql import types as T
 from backhaul.llm import words as w
 from backhaul.llm.batches import filter_text, id_and_text, map_text
 
-SEED = (1, 2)
-#: Of so many adjacent n-grams of an item, so many are seeds.
-STRETCH, SEEDS = 8, 3
+#: Steps from the first word of a seed to its second.
+STEPS = (1, 2)
+SHORTEST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 SLICE_WORDS = 4_000_000
 #: Cells of one row of a batch of alignments.
 CELLS = 200_000
 FILTER_BITS = 20
+#: Seeds found that are held at once, if not all of one text.
+FOUND = 1 << 20
+
+
+def pairs_at(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the pairs of words STEPS apart, whatever the step, the text of each, and where."""
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    first = w.mix(words, 5) * np.uint64(w.BASE)
+    fits = [np.flatnonzero(owner[:-k] == owner[k:]) for k in STEPS]
+    at = np.concatenate(fits)
+    return (np.concatenate([w.mix(first[f] + words[f + k]) for f, k in zip(fits, STEPS, strict=True)]),
+            owner[at], at)
 
 
 @dataclass
 class Items:
-    """Words of test items, and their n-grams with item and place."""
+    """Words of test items, and their distinct seeds with the item."""
 
     words: np.ndarray
     offsets: np.ndarray
     grams: np.ndarray
     item: np.ndarray
-    at: np.ndarray
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Items:
         words, offsets = w.word_hashes(texts)
-        grams, item, at = w.ngrams_at(words, offsets, SEED)
-        return cls(words, offsets, grams, item, at - offsets[item])
-
-    def rarest(self, counts: dict[int, int]) -> Items:
-        """Only the seeds: of each stretch the n-grams in the fewest documents."""
-        df = np.array([counts.get(int(g), 0) for g in self.grams.view(np.int64)], np.int64)
-        keep = np.zeros(len(df), bool)
-        for i in np.unique(self.item):
-            own = np.flatnonzero(self.item == i)
-            for at in range(max(1, len(own) - STRETCH + 1)):
-                stretch = own[at:at + STRETCH]
-                keep[stretch[np.argsort(df[stretch], kind="stable")[:SEEDS]]] = True
-        return Items(self.words, self.offsets, self.grams[keep], self.item[keep], self.at[keep])
+        grams, item, _ = pairs_at(words, offsets)
+        long = np.diff(offsets)[item] >= SHORTEST
+        grams, item = grams[long], item[long]
+        order = np.lexsort((item, grams))
+        grams, item = grams[order], item[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])
+        return cls(words, offsets, grams[new], item[new])
 
 
 class Lookup:
     """Finds which of many hashes are among the seeds."""
 
     def __init__(self, items: Items):
-        self.order = np.argsort(items.grams, kind="stable")
-        self.grams = items.grams[self.order]
-        self.distinct = np.unique(self.grams)
+        self.item = items.item
+        self.distinct, first = np.unique(items.grams, return_index=True)
+        self.bounds = np.append(first, len(items.grams))
         self.mask = np.uint64((1 << FILTER_BITS) - 1)
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self.distinct & self.mask] = True
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Indices of the members."""
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the members, and their numbers among the distinct seeds."""
         maybe = np.flatnonzero(self.filter[h & self.mask])
         place = np.searchsorted(self.distinct, h[maybe])
         place = np.minimum(place, len(self.distinct) - 1)
-        return maybe[self.distinct[place] == h[maybe]]
+        same = self.distinct[place] == h[maybe]
+        return maybe[same], place[same]
 
-    def entries(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All seeds equal to each member: index into ``h``, and into the items' seeds."""
-        low, high = np.searchsorted(self.grams, h), np.searchsorted(self.grams, h, "right")
-        n = high - low
-        of = np.repeat(np.arange(len(h)), n)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + low[of]
-        return of, self.order[k]
+    def counts(self, place: np.ndarray) -> np.ndarray:
+        """How many items have each seed."""
+        return self.bounds[place + 1] - self.bounds[place]
+
+    def entries(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All items with each seed: index into ``place``, and the item."""
+        n = self.counts(place)
+        of = np.repeat(np.arange(len(place)), n)
+        k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + self.bounds[place][of]
+        return of, self.item[k]
 
 
 def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,30 +131,60 @@ def align(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return best, end
 
 
-def passages(items: Items, item: np.ndarray, place: np.ndarray, at: np.ndarray, size: int):
-    """Where in a document of ``size`` words to align: (item, first, last+1, seeds found).
+def passages(item: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray,
+             need: np.ndarray, reach: np.ndarray, words: np.ndarray) -> list[tuple]:
+    """Where in the documents to align: (document, item, first, last+1, seeds found).
 
-    ``item``, ``place`` (in the item) and ``at`` (in the document) are of the seeds found.
+    ``item``, ``doc`` and ``at`` (in the document) are of the seeds found. By item, ``size`` is its
+    number of words, ``need`` that of seeds in an alignment and ``reach`` that of words in one; by
+    document, ``words`` is its number of words.
     """
-    order = np.lexsort((at, item))
-    item, place, at = item[order], place[order], at[order]
-    length = np.diff(items.offsets)[item]
+    order = np.lexsort((at, doc, item))
+    item, doc, at = item[order], doc[order], at[order]
+    new = np.ones(len(item), bool)
+    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])
+    item, doc, at = item[new], doc[new], at[new]
+    start = np.arange(len(item))
+    upto = start + need[item] - 1
+    last = np.minimum(upto, len(item) - 1)
+    near = np.flatnonzero((upto == last) & (item[last] == item) & (doc[last] == doc)
+                          & (at[last] - at < reach[item]))
+    edge = np.zeros(len(item) + 1, np.int64)
+    np.add.at(edge, near, 1)
+    np.add.at(edge, upto[near] + 1, -1)
+    inside = np.flatnonzero(np.cumsum(edge[:-1]))
+    if not len(inside):
+        return []
+    item, doc, at = item[inside], doc[inside], at[inside]
     new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (at[1:] - at[:-1] > length[1:])
+    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > size[item[1:]])
     first = np.flatnonzero(new)
-    low = np.minimum.reduceat(at - place, first)
-    high = np.maximum.reduceat(at - place, first) + length[first]
     seeds = np.diff(np.append(first, len(item)))
-    margin = length[first] // 4
-    return list(zip(item[first].tolist(), np.maximum(low - margin, 0).tolist(),
-                    np.minimum(high + margin, size).tolist(), seeds.tolist(), strict=True))
+    last = first + seeds - 1
+    item, doc = item[first], doc[first]
+    # an alignment with a seed there cannot leave these bounds
+    low = np.maximum(at[first] - reach[item] + 1, 0)
+    high = np.minimum(at[last] + reach[item], words[doc])
+    return list(zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), seeds.tolist(),
+                    strict=True))
+
+
+def apart(rows: list[tuple]) -> list[tuple]:
+    """Of rows (text, item, start, end, score, seeds) that overlap in a text, the best."""
+    kept: dict[tuple, list] = {}
+    for row in sorted(rows, key=lambda r: (-r[4], r)):
+        others = kept.setdefault(row[:2], [])
+        if all(row[2] >= o[3] or row[3] <= o[2] for o in others):
+            others.append(row)
+    return [r for others in kept.values() for r in others]
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                  min_words: int = 8, id_column: str = "doc_id", text_column: str = "text",
                  item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """One row per document, test item and passage aligned: ids, ``score``, ``n_seeds`` and the
-    words ``start`` to ``end`` (exclusive) of the document.
+    """One row per document, test item and passage aligned: ids, ``score``, ``n_seeds`` (words of
+    the document at which a seed begins) and the words ``start`` to ``end`` (exclusive) of the
+    document.
 
     Reported are alignments of ``threshold`` of the item's score or more, worth at least
     ``min_words`` equal words, or all of a shorter item.
@@ -154,7 +197,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
         T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     result = documents.sparkSession.createDataFrame([], schema)
     for tests in slices(benchmark, item_column, item_text_column):
-        seeds = seeds_of(docs, tests, "text")
+        seeds = documents.sparkSession.sparkContext.broadcast(Items.of([t.text for t in tests]))
         ids = [t.id for t in tests]
 
         def search(seeds=seeds, ids=ids):
@@ -177,7 +220,7 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: f
     """The documents, with all their columns, in which ``contaminated`` finds nothing."""
     kept = documents
     for tests in slices(benchmark, item_column, item_text_column):
-        seeds = seeds_of(documents.select(F.col(text_column).alias("text")), tests, "text")
+        seeds = documents.sparkSession.sparkContext.broadcast(Items.of([t.text for t in tests]))
 
         def search(seeds=seeds):
             find = Search(seeds.value, threshold, min_words)
@@ -203,54 +246,44 @@ def slices(benchmark: DataFrame, item_column: str, item_text_column: str):
             yield part
 
 
-def seeds_of(docs: DataFrame, tests: list, text: str):
-    """Broadcast of the items with their seeds, rare in ``docs``."""
-    items = Items.of([t.text for t in tests])
-    everything = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count():
-        lookup = Lookup(everything.value)
-
-        def work(piece):
-            h, owner, _ = w.ngrams_at(*w.word_hashes(piece.column(text).to_pylist()), SEED)
-            at = lookup.hits(h)
-            pairs = np.unique(np.stack([h[at], owner[at].astype(np.uint64)]), axis=1)
-            grams, n = np.unique(pairs[0], return_counts=True)
-            return [pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))]
-        return work
-
-    # as many rows as the items have n-grams, whatever the corpus
-    counts = map_text(docs.select(text), text, T.StructType([
-        T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())]), count) \
-        .groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return docs.sparkSession.sparkContext.broadcast(items.rarest({r.gram: r.n for r in counts}))
-
-
 class Search:
     """Finds (text, item, start, end, score, seeds) in lists of texts."""
 
     def __init__(self, items: Items, threshold: float, min_words: int):
-        self.items, self.threshold, self.min_words = items, threshold, min_words
+        self.items = items
         self.lookup = Lookup(items)
         self.sizes = np.diff(items.offsets)
+        full = MATCH * self.sizes
+        self.least = np.maximum(np.ceil(threshold * full - 1e-9).astype(np.int64),
+                                np.minimum(MATCH * min_words, full))
+        # what an alignment of that score has at least, and how far it can reach
+        self.need = np.maximum((self.least + 1) // 2 - 1, 1)
+        self.reach = 3 * self.sizes - self.least
 
     def __call__(self, texts: list[str | None]) -> list[tuple]:
-        items = self.items
         words, offsets = w.word_hashes(texts)
-        h, owner, at = w.ngrams_at(words, offsets, SEED)
-        member = self.lookup.hits(h)
-        of, entry = self.lookup.entries(h[member])
-        doc = owner[member][of]
-        place = at[member][of] - offsets[doc]
+        h, owner, at = pairs_at(words, offsets)
+        member, seed = self.lookup.hits(h)
+        order = np.argsort(owner[member], kind="stable")
+        member, seed = member[order], seed[order]
+        doc, at = owner[member], at[member] - offsets[owner[member]]
         if not len(doc):
             return []
-        jobs = []
+        # whole documents at a time, of so many seeds together
+        block = np.cumsum(self.lookup.counts(seed)) // FOUND
         cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        cut = cut[np.append(True, np.diff(block[cut]) > 0)]
+        jobs = []
         for a, b in zip(cut, np.append(cut[1:], len(doc)), strict=True):
-            e = entry[a:b]
-            jobs += [(int(doc[a]), *p) for p in
-                     passages(items, items.item[e], items.at[e], place[a:b],
-                              int(offsets[doc[a] + 1] - offsets[doc[a]]))]
+            of, item = self.lookup.entries(seed[a:b])
+            of += a
+            few = int(doc[b - 1] - doc[a] + 1)
+            if few * len(self.sizes) <= FOUND:
+                group = (doc[of] - doc[a]) * len(self.sizes) + item
+                enough = np.bincount(group)[group] >= self.need[item]
+                of, item = of[enough], item[enough]
+            jobs += passages(item, doc[of], at[of], self.sizes, self.need, self.reach,
+                             np.diff(offsets))
         jobs.sort(key=lambda j: j[3] - j[2])
         rows, at = [], 0
         while at < len(jobs):
@@ -259,16 +292,16 @@ class Search:
                 upto += 1
             rows += self.report(jobs[at:upto], words, offsets)
             at = upto
-        return rows
+        return apart(rows)
 
     def report(self, jobs, words, offsets) -> list[tuple]:
         own = self.items
         left = [own.words[own.offsets[j[1]]:own.offsets[j[1] + 1]] for j in jobs]
         right = [words[offsets[j[0]] + j[2]:offsets[j[0]] + j[3]] for j in jobs]
         best, end = align(left, right)
-        full = MATCH * self.sizes[[j[1] for j in jobs]]
-        good = np.flatnonzero((best >= self.threshold * full)
-                              & (best >= np.minimum(MATCH * self.min_words, full)))
+        which = [j[1] for j in jobs]
+        full = MATCH * self.sizes[which]
+        good = np.flatnonzero(best >= self.least[which])
         if not len(good):
             return []
         # read backward from its end, the same alignment ends where it begins

@@ -98,3 +98,47 @@ def test_empty(spark, docs):
     assert dc.contaminated(docs([(1, item)]), items(spark, [])).count() == 0
     assert dc.contaminated(docs([]), items(spark, [(1, item)])).count() == 0
     assert dc.remove_contaminated(docs([(1, item)]), items(spark, [(2, "a")])).count() == 1
+
+
+def edited(rng, words, share):
+    """The words with about ``share`` of them replaced, dropped or followed by another."""
+    out = []
+    for word in words:
+        kind = rng.choice(["replace", "drop", "add"]) if rng.random() < share else "keep"
+        out += {"keep": [word], "replace": ["new"], "drop": [], "add": [word, "new"]}[kind]
+    return out
+
+
+def test_edited_copies_against_all_pairs():
+    rng = random.Random(9)
+    tests = [[f"v{rng.randrange(300)}" for _ in range(rng.randint(15, 59))] for _ in range(40)]
+    texts = []
+    for own in tests:
+        for share in (0.10, 0.15, 0.20, 0.25, 0.4):
+            around = [f"v{rng.randrange(300)}" for _ in range(60)]
+            texts.append(around[:30] + edited(rng, own, share) + around[30:])
+    found = dc.Search(dc.Items.of([" ".join(t) for t in tests]), 0.5, 8)(
+        [" ".join(t) for t in texts])
+    expected = {}
+    for i, text in enumerate(texts):
+        for k in {i // 5, (i // 5 + 7) % 40}:
+            score = plain_smith_waterman(tests[k], text)
+            if score >= max(len(tests[k]), 16):
+                expected[i, k] = score / (dc.MATCH * len(tests[k]))
+    got = {(r[0], r[1]): r[4] for r in found}
+    assert {k: got.get(k) for k in expected} == expected
+    assert len(expected) > 150
+
+
+def test_every_few_words_replaced(spark, docs):
+    twenty = [f"a{i}" for i in range(20)]
+    forty = [f"b{i}" for i in range(40)]
+    third = [f"c{i}" for i in range(30)]
+    spaced = [w for k, v in enumerate(third) for w in ((v, "more") if k % 2 else (v,))]
+    copies = [(1, " ".join("x" if i in (2, 9, 16) else v for i, v in enumerate(twenty))),
+              (2, " ".join("x" if i % 8 == 7 else v for i, v in enumerate(forty))),
+              (3, " ".join(forty)), (4, " ".join(spaced))]
+    tests = [(1, " ".join(twenty)), (2, " ".join(forty)), (3, " ".join(third))]
+    got = dc.contaminated(docs(copies), items(spark, tests)).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2), (4, 3)}
+    assert {r.doc_id: r.score for r in got}[1] == 0.775
