@@ -4,7 +4,15 @@ Built of DataFrame functions only. A line that speaks of licences is compared wi
 template; so is the whole text of a file that has such a line. Words outside the templates'
 vocabulary count together as one further dimension, as if no two were alike, so prose around a
 licence lowers the cosine. A file is itself a licence file if its name says so, if its whole text is close to a template, or
-if most of its words stand in licence lines. A file without a licence of its own takes that of
+if most of its words stand in licence lines.
+
+A second step reads the files that so far have no licence: their words without regard to line
+ends and comment marks, against the notices, SPDX lines, headers and licence files of
+``license_texts``. Where a wording's phrase stands, as many words around it as the wording has are
+compared with it, so other words of the line or the file do not count. Of equal cosines the longer
+wording decides. ``duckdb_sql`` states the first step and the inheritance only.
+
+A file without a licence of its own takes that of
 the nearest directory above it that has a licence file.
 
 The best cosine decides, ties go to the alphabetically first licence. Null or empty texts have no
@@ -17,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from backhaul.llm.license_texts import wordings
 from backhaul.llm.scratch import Scratch
 
 # Licence identifiers with the customary wording of their notices.
@@ -51,6 +60,8 @@ TEMPLATES = [
 ]
 #: A line or file without any of these (in lower case) speaks of no licence.
 CUES = ["licen", "copyright", "spdx", "redistribut", "permission is hereby"]
+#: Further ones of the second step.
+MORE_CUES = ["gpl", "creative commons", "public domain", "provided 'as-is'"]
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([._-][^/]*)?$"
 #: Stands for all words outside the templates.
 OTHER = "*"
@@ -60,10 +71,10 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def has_cue(text: Column) -> Column:
+def has_cue(text: Column, cues: list[str] = CUES) -> Column:
     low = F.lower(text)
-    found = F.contains(low, F.lit(CUES[0]))
-    for cue in CUES[1:]:
+    found = F.contains(low, F.lit(cues[0]))
+    for cue in cues[1:]:
         found = found | F.contains(low, F.lit(cue))
     return found
 
@@ -110,11 +121,78 @@ def best_template(units: DataFrame, unit: list[str], weights: DataFrame, idf: Da
                     (-F.col("best.rank")).alias("score")))
 
 
+def wording_terms(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The wordings by phrase, and one row with idf by word."""
+    given = wordings()
+    rows = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"),
+                 F.lit("|".join(phrases)).alias("phrases"), F.lit(only).alias("only_file"))
+        for name, phrases, text, only in given])))
+    rows = (rows.withColumn("words", terms(F.col("text")))
+            .withColumn("phrases", F.split("phrases", r"\|"))
+            .withColumn("phrase", F.element_at("phrases", 1))
+            .withColumn("plain", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+            # the words before the phrase
+            .withColumn("before", F.size(terms(F.expr(
+                "substring_index(plain, concat(' ', phrase, ' '), 1)"))))
+            .withColumn("n", F.size("words")).withColumn("words", F.array_distinct("words")))
+    n = float(len(given))
+    idf = (rows.select(F.explode("words").alias("term")).groupBy("term")
+           .agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
+           .agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf")))
+    return rows.select("license", "phrase", "phrases", "before", "n", "words", "only_file"), idf
+
+
+def best_wording(files: DataFrame, given: DataFrame, idf: DataFrame, threshold: float,
+                 file_share: float) -> DataFrame:
+    """``file``, ``path``, ``license``, ``score`` and ``is_file`` of files that hold a wording."""
+    widest = given.agg(F.max("before").alias("most_before"), F.max("n").alias("most"))
+    # tables of a fixed size
+    phrases = F.broadcast(given.select("phrase").distinct().crossJoin(widest))
+    here = (files.select("file", "path", terms(F.col("text")).alias("own"))
+            .withColumn("plain", F.concat(F.lit(" "), F.array_join("own", " "), F.lit(" ")))
+            .join(phrases, F.expr("contains(plain, concat(' ', phrase, ' '))"))
+            .withColumn("first", F.split("phrase", " "))
+            .withColumn("total", F.size("own"))
+            .withColumn("places", F.expr(
+                "filter(sequence(1, total), i -> own[i - 1] = first[0]"
+                " AND slice(own, i, size(first)) = first)"))
+            .select("file", "path", "phrase", "total", F.expr(
+                "inline(transform(places, i -> struct(least(i - 1, most_before) AS lead, "
+                "slice(own, greatest(i - most_before, 1), most_before + most) AS around)))")))
+    weight = "coalesce(idf[x], log({n} + 1D) + 1)"
+    unknown = weight.format(n=float(len(wordings())))
+
+    def squares(words: str) -> str:
+        return f"aggregate({words}, 0D, (s, x) -> s + {unknown} * {unknown})"
+
+    scored = (here.join(F.broadcast(given), "phrase").crossJoin(F.broadcast(idf))
+              .withColumn("cut", F.expr("slice(around, greatest(lead - before, 0) + 1, "
+                                        "n - greatest(before - lead, 0))"))
+              .withColumn("text", F.concat(F.lit(" "), F.array_join("cut", " "), F.lit(" ")))
+              .filter("forall(phrases, p -> contains(text, concat(' ', p, ' ')))")
+              .withColumn("cut", F.array_distinct("cut"))
+              .withColumn("score", F.expr(
+                  f"round({squares('array_intersect(cut, words)')} / "
+                  f"sqrt({squares('cut')} * {squares('words')}), 6)"))
+              .filter(F.col("score") >= threshold))
+    best = scored.groupBy("file").agg(
+        F.min(F.struct((-F.col("score")).alias("rank"), (-F.col("n")).alias("shorter"), "license",
+                       "path")).alias("best"),
+        F.max(F.col("only_file") | (F.col("n") >= file_share * F.col("total"))).alias("most"))
+    return best.select("file", "best.path", "best.license", (-F.col("best.rank")).alias("score"),
+                       (F.col("most") | F.coalesce(F.col("best.path").rlike(LICENCE_FILE), F.lit(False)))
+                       .alias("is_file"))
+
+
 def scan(rows: DataFrame, threshold: float = 0.75, file_share: float = 0.5,
          id_column: str = "doc_id", path_column: str = "path", text_column: str = "text",
          templates=None) -> DataFrame:
     """Per row: the id and path, ``license``, ``score`` and ``origin`` (header, file, inherited),
-    and the ``license_dir`` it was inherited from; nulls where there is none."""
+    and the ``license_dir`` it was inherited from; nulls where there is none.
+
+    Given ``templates`` are all that is looked for.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "licenses")
     weights, idf = (scratch.keep(t.coalesce(1)) for t in template_terms(spark, templates))
@@ -153,6 +231,13 @@ def scan(rows: DataFrame, threshold: float = 0.75, file_share: float = 0.5,
                        | F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False)))
                       .alias("is_file"))
               .filter("license IS NOT NULL"))
+    if templates is None:
+        given, words = (scratch.keep(t.coalesce(1)) for t in wording_terms(spark))
+        silent = scratch.keep(files.filter(has_cue(F.col("text"), CUES + MORE_CUES))
+                              .dropDuplicates(["file"])
+                              .join(judged.select("file"), "file", "left_anti"))
+        judged = scratch.keep(judged.unionByName(
+            best_wording(silent, given, words, threshold, file_share)))
     own = scratch.keep(judged.groupBy("file").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), "license")).alias("best"),
         F.max("is_file").alias("is_file")))

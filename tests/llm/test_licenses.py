@@ -83,3 +83,64 @@ def test_no_python_in_the_plan(spark, capsys):
     frame = spark.createDataFrame([(1, "a", "Released under the MIT License.", *"xxxx")], SCHEMA)
     licenses.scan(frame).explain()
     assert not re.search("Python|Arrow|Pandas", capsys.readouterr().out)
+
+
+def wrapped(text, mark, width):
+    import textwrap
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+GPL3 = ("This program is free software: you can redistribute it and/or modify it under the terms of the "
+        "GNU General Public License as published by the Free Software Foundation, either version 3 of "
+        "the License, or (at your option) any later version. This program is distributed in the hope "
+        "that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for "
+        "more details.")
+MIT = ("MIT License\n\nCopyright (c) 2019 Jane Doe\n\nPermission is hereby granted, free of charge, to any "
+       "person obtaining a copy\nof this software and associated documentation files (the \"Software\"), "
+       "to deal\nin the Software without restriction, including without limitation the rights\nto use, "
+       "copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to "
+       "permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+       "\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or "
+       "substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF "
+       "ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY")
+BSD = ("Copyright 2011 The Foo Authors. All rights reserved.\n\nRedistribution and use in source and binary "
+       "forms, with or without\nmodification, are permitted provided that the following conditions\nare "
+       "met:\n\n   * Redistributions of source code must retain the above copyright\nnotice, this list of "
+       "conditions and the following disclaimer.\n   * Redistributions in binary form must reproduce the "
+       "above\ncopyright notice, this list of conditions and the following disclaimer\nin the "
+       "documentation and/or other materials provided with the\ndistribution.\n")
+BSD3 = ("   * Neither the name of Foo Inc. nor the names of its\ncontributors may be used to endorse or "
+        "promote products derived from\nthis software without specific prior written permission.\n")
+AS_IS = ("\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS\n\"AS IS\" AND ANY EXPRESS OR "
+         "IMPLIED WARRANTIES, INCLUDING, BUT NOT\nLIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY "
+         "AND FITNESS FOR\nA PARTICULAR PURPOSE ARE DISCLAIMED.")
+GPL_FILE = ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"
+            " Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted "
+            "to copy and distribute verbatim copies\n of this license document, but changing it is not "
+            "allowed.\n\n                            Preamble\n\n" + "free software words follow here " * 400)
+
+
+def test_ordinary_headers_files_and_spdx_lines(spark):
+    code = "\n" + "\n".join(f"int value{i} = call{i}(argument{i});" for i in range(200))
+    wanted = {
+        "// SPDX-License-Identifier: MIT" + code: ("MIT", "header"),
+        "# SPDX-License-Identifier: Apache-2.0" + code: ("Apache-2.0", "header"),
+        "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code: ("GPL-2.0", "header"),
+        wrapped(GPL3, " * ", 72) + code: ("GPL-3.0", "header"),
+        wrapped(GPL3.replace("version 3", "version 2"), "# ", 60) + code: ("GPL-2.0", "header"),
+        wrapped(GPL3.replace("GNU", "GNU Affero"), "// ", 72) + code: ("AGPL-3.0", "header"),
+        wrapped(MIT, "// ", 66) + code: ("MIT", "header"),
+        MIT: ("MIT", "file"),
+        BSD + AS_IS: ("BSD-2-Clause", "file"),
+        BSD + BSD3 + AS_IS: ("BSD-3-Clause", "file"),
+        GPL_FILE: ("GPL-3.0", "file"),
+        "This project is released under the MIT License, see LICENSE for details" + code:
+            ("MIT", "header"),
+        "the manual is licensed under the Foo License, or so the old man said" + code: (None, None),
+        "Copyright 2020 Jane Doe. All rights reserved." + code: (None, None),
+        "GNU General Public License, said she, is a long name" + code: (None, None),
+    }
+    rows = [(i, f"d{i}/LICENSE" if t == MIT else f"d{i}/x.txt", t) for i, t in enumerate(wanted)]
+    got = {r.doc_id: (r.license, r.origin) for r in run(spark, rows)}
+    assert [got[i] for i in range(len(rows))] == list(wanted.values())
