@@ -1,10 +1,12 @@
 """Secret scan: fixed patterns, and a lexer of assignments that propagates constants.
 
 The lexer reads a text as source or configuration code: ``name = "literal"``, ``name: literal``,
-``"name": "literal"``, ``NAME=literal``, ``name => 'literal'``, with literals joined by ``+`` or
-``.`` and names that stand for an earlier literal. A pair is a secret if its target name sounds
-sensitive and the literal looks like a credential. Through a chain of names the literal itself is
-reported, where it was written.
+``"name": "literal"``, ``NAME=literal``, ``name => 'literal'``, ``name: type = "literal"``,
+``name["name"] = "literal"``, ``name += "literal"``, with literals that have a prefix or three quotes,
+literals and names joined by ``+`` or ``.``, and names that stand for an earlier value. A pair is a
+secret if its target name sounds sensitive and the whole value looks like a credential. Through a
+chain of names the literals themselves are reported, where they were written; a name of which
+nothing is known adds nothing.
 
 Spans count code points, the end is exclusive. A null text is scanned as an empty one. Ids are
 only carried along: null and repeated ids give a row each.
@@ -32,13 +34,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_VALUE, ACCESS_LENGTH = 8, 16
 
-PAIR = re.compile(
-    r"""(?<![\w.$-])(["'`]?)(?P<name>[A-Za-z_$][\w.$-]*+)\1[ \t]*+(?::=|=>|=(?!=)|:(?!/))[ \t]*+
-        (?P<value>
-          (?:"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`\n]*+`)
-          (?:[ \t]*+[+.][ \t]*+(?:"[^"\\\n]*+"|'[^'\\\n]*+'))*+
-        | [^\s"'`,;()\[\]{}<>]++ )""", re.VERBOSE | re.ASCII)
-QUOTED = re.compile(r"""(["'`])((?:\\.|(?!\1).)*+)\1""")
+TARGET = re.compile(
+    r"""(?<![\w.$-])(["'`]?)(?P<name>[A-Za-z_$][\w.$-]*+)\1
+        (?P<keys>(?:[ \t]*+\[[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w.$]*+)[ \t]*+\])*+)[ \t]*+
+        (?: :(?![/:=])[ \t]*+(?P<type>
+              [&*\[]*+(?:'\w++[ \t]++)?+(?:(?:const|static|dyn|mut|unsigned|readonly)[ \t]++)*+
+              (?P<last>[A-Za-z_](?:[\w.]|::)*+)(?:[<\[;][^\n="'`:]*+)?+[*&?\]]*+
+              (?:[ \t]*+\|[ \t]*+[A-Za-z_][\w.]*+(?:\[\])?+)*+)
+            (?: [ \t]++=(?![=>]) | =(?=[ \t]*+(?:[A-Za-z@$]{1,2})?+["'`]) )
+          | (?P<more>\+=) | :=|=>|=(?!=)|:(?!/) )
+        [ \t]*+(?:\([ \t]*+(?:\r?\n[ \t]*+)?+(?=[A-Za-z@$]{0,2}["'`]))?+""", re.VERBOSE | re.ASCII)
+TRIPLE = re.compile(r"""(?:[A-Za-z]{1,2}|[@$]{1,2})?+(?P<quote>\"{3}|'{3})(?P<value>(?:[^\\]|\\.)*?)(?P=quote)""",
+                    re.ASCII | re.DOTALL)
+QUOTED = re.compile(
+    r"""(?:[A-Za-z]{1,2}|[@$]{1,2})?+(?P<quote>["'`])
+        (?P<value>(?:(?<=")[^"\\\n]*+(?:\\.[^"\\\n]*+)*+|(?<=')[^'\\\n]*+(?:\\.[^'\\\n]*+)*+
+                    |(?<=`)[^`\n]*+))(?P=quote)""", re.VERBOSE | re.ASCII)
+NAME = re.compile(r"[A-Za-z_$][\w$]*+(?:[.-]++[\w$]++)*+(?![\w(\[])", re.ASCII)
+JOIN = re.compile(r"[ \t]*+(?:(?:\r?\n[ \t]*+)?+\+(?![+=])[ \t]*+(?:\r?\n[ \t]*+)?+|\.[ \t]*+)")
+BARE = re.compile(r"""[^\s"'`,;()\[\]{}<>]++""")
+CHAINED = re.compile(r"[ \t]*+=(?![=>])")
+KEY = re.compile(r"""\[[ \t]*+["']([^"'\n]*+)["'][ \t]*+\]\Z""")
 REFERENCE = re.compile(r"\$?\{?([A-Za-z_$][\w.$-]*)\}?\Z", re.ASCII)
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -55,6 +71,8 @@ WEAKEN = {"public", "length", "len", "size", "count", "type", "name", "url", "ur
 PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|-+|changeme|example.*|your.*|placeholder|todo|none"
                          r"|null|true|false|undefined|redacted|dummy.*|sample.*|<.*>|\{\{.*\}\})\Z")
 THRESHOLD = 0.5
+#: Of a value joined from more literals in different places, the last so many are followed.
+PARTS = 64
 
 
 class Span(NamedTuple):
@@ -101,31 +119,117 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.6 if kinds < 2 else 1.0)
 
 
+class Part(NamedTuple):
+    """Literals that stand side by side."""
+
+    start: int
+    end: int
+    value: str
+    #: Where the value stands; the quotes of a single literal are no part of the secret.
+    value_start: int
+    value_end: int
+
+
+class Values:
+    """Reads values of one text, with the names assigned so far."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.constants: dict[str, list[Part]] = {}
+        # kinds of three quotes of which no pair is left
+        self.unclosed: set[str] = set()
+
+    def literal(self, at: int) -> Part | None:
+        text = self.text
+        for k in range(at, min(at + 3, len(text))):
+            if text[k] in "\"'`":
+                break
+        else:
+            return None
+        m = None
+        quote = text[k:k + 3]
+        if quote in ('"' * 3, "'" * 3) and quote not in self.unclosed:
+            m = TRIPLE.match(text, at)
+            if not m:
+                self.unclosed.add(quote)
+        m = m or QUOTED.match(text, at)
+        return m and Part(at, m.end(), m["value"], *m.span("value"))
+
+    def chain(self, at: int) -> tuple[list[tuple[Part, bool]], int] | None:
+        """Parts with whether a name stands for them, and the end; None without a literal or a
+        known name."""
+        parts: list[tuple[Part, bool]] = []
+        run: list[Part] = []
+        sure, end = False, at
+
+        def close() -> None:
+            if len(run) > 1:
+                run[:] = [Part(run[0].start, run[-1].end, "".join(p.value for p in run),
+                               run[0].start, run[-1].end)]
+            parts.extend((p, False) for p in run)
+            run.clear()
+
+        while True:
+            if part := self.literal(at):
+                run.append(part)
+                sure, end = True, part.end
+            elif m := NAME.match(self.text, at):
+                close()
+                known = self.constants.get(m[0])
+                parts += [(p, True) for p in known or ()]
+                sure = sure or known is not None
+                end = m.end()
+            else:
+                break
+            if not (join := JOIN.match(self.text, end)):
+                break
+            at = join.end()
+        close()
+        return (parts, end) if sure else None
+
+    def value(self, at: int) -> tuple[list[tuple[Part, bool]], int] | None:
+        """What an assignment's value stands for, and where it ends."""
+        found = self.chain(at)
+        bare = BARE.match(self.text, at)
+        if found and (not bare or found[1] >= bare.end()):
+            return found
+        if not bare:
+            return None
+        if (ref := REFERENCE.match(bare[0])) and ref[1] in self.constants:
+            return [(p, True) for p in self.constants[ref[1]]], bare.end()
+        raw = bare[0].rstrip(".:")
+        return [(Part(at, at + len(raw), raw, at, at + len(raw)), False)], bare.end()
+
+
 def assigned_spans(text: str) -> list[Span]:
     """Secrets found as literals of sensitive names, also through other names."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[int, int, str, int]] = {}
-    found = set()
-    for m in PAIR.finditer(text):
-        start, end = m.span("value")
-        raw = m["value"]
-        if raw[0] in "\"'`":
-            quoted = QUOTED.findall(raw)
-            # the quotes of a single literal are no part of the secret
-            literal = (start, end, "".join(q[1] for q in quoted), int(len(quoted) == 1))
-            known = False
-        elif (ref := REFERENCE.match(raw)) and ref[1] in constants:
-            literal, known = constants[ref[1]], True
-        else:
-            raw = raw.rstrip(".:")
-            literal, known = (start, start + len(raw), raw, 0), False
-        constants[m["name"]] = literal
-        score = name_score(m["name"])
-        if score and score * literal_score(literal[2]) >= THRESHOLD:
-            quote = literal[3]
-            found.add(Span(literal[0], 4 if known else 3, literal[1], literal[0] + quote,
-                           literal[1] - quote))
+    values, found, at = Values(text), set(), 0
+    while m := TARGET.search(text, at):
+        at = m.end()
+        if not (read := values.value(at)):
+            continue
+        parts, end = read
+        if not parts or parts[-1][1] or text[parts[-1][0].start] not in "\"'`":
+            # a = b = "literal": the next target
+            if CHAINED.match(text, end):
+                continue
+        at = max(end, at)
+        name = key[1] if (key := KEY.search(m["keys"])) else m["name"]
+        if m["more"]:
+            parts = [(p, True) for p in values.constants.get(m["name"], ())] + parts
+        parts = parts[-PARTS:]
+        if not m["keys"]:
+            values.constants[m["name"]] = [p for p, _ in parts]
+        score = name_score(name)
+        if m["last"]:
+            # "remark: name = value" reads like a type
+            score = max(score, name_score(m["last"]))
+            values.constants[m["last"]] = [p for p, _ in parts]
+        if score and score * literal_score("".join(p.value for p, _ in parts)) >= THRESHOLD:
+            found |= {Span(p.start, 4 if known else 3, p.end, p.value_start, p.value_end)
+                      for p, known in parts}
     return sorted(found)
 
 

@@ -81,3 +81,47 @@ def test_rows(spark, docs):
     assert masked.columns == docs(rows).columns
     assert [r.text for r in masked.collect()][2] == "token: [SECRET]"
     assert secrets.find_secrets(docs([])).count() == 0
+
+
+FORMS = [
+    ('api_key: str = "sk-Live9Zx71Lm02Vb"', ["sk-Live9Zx71Lm02Vb"]),
+    ('let token: String = "sk-Live9Zx71Lm02Vb";', ["sk-Live9Zx71Lm02Vb"]),
+    ("password: Optional[str] = 'sk-Live9Zx71Lm02Vb'", ["sk-Live9Zx71Lm02Vb"]),
+    ("const SECRET: &'static str = \"sk-Live9Zx71Lm02Vb\";", ["sk-Live9Zx71Lm02Vb"]),
+    ('def f(token: str="sk-Live9Zx71Lm02Vb"):', ["sk-Live9Zx71Lm02Vb"]),
+    ('os.environ["API_KEY"] = "sk-Live9Zx71Lm02Vb"', ["sk-Live9Zx71Lm02Vb"]),
+    ("cfg['db']['password'] = 'sk-Live9Zx71Lm02Vb'", ["sk-Live9Zx71Lm02Vb"]),
+    ('char password[] = "sk-Live9Zx71Lm02Vb";', ["sk-Live9Zx71Lm02Vb"]),
+    ('client_secret = b"sk-Live9Zx71Lm02Vb"', ["sk-Live9Zx71Lm02Vb"]),
+    ('db_passphrase = rb\'sk-Live9Zx71Lm02Vb\'', ["sk-Live9Zx71Lm02Vb"]),
+    ('db_password = """sk-Live9Zx71Lm02Vb"""', ["sk-Live9Zx71Lm02Vb"]),
+    ("db_password = '''sk-Live\n9Zx71Lm02Vb'''", []),  # two lines are no credential
+    ('PREFIX = "Zq8!"\ndb_password = PREFIX + "Tr0ub4dorXk29"', ["Zq8!", "Tr0ub4dorXk29"]),
+    ('db_password = prefix + "Tr0ub4dorXk29"', ["Tr0ub4dorXk29"]),
+    ('A = "Tr0ub4"\nB = A + "dorXk29"\nx.client_secret = B', ["Tr0ub4", "dorXk29"]),
+    ('TAIL = "dorXk29"\ndb_passphrase = "Tr0ub4" + TAIL', ["Tr0ub4", "dorXk29"]),
+    ('client_secret = "Tr0ub4dor"\nclient_secret += "Xk29Zx71"', ["Tr0ub4dor", "Xk29Zx71"]),
+    ('a = client_secret = "sk-Live9Zx71Lm02Vb"', ["sk-Live9Zx71Lm02Vb"]),
+    ('note: client_secret = "sk-Live9Zx71Lm02Vb"', ["sk-Live9Zx71Lm02Vb"]),
+    ('client_secret: c2VjcmV0dG9rZW4xMjM=', ["c2VjcmV0dG9rZW4xMjM="]),
+    ('client_secret=ab1+Cd2/eF3+Gh4', ["ab1+Cd2/eF3+Gh4"]),
+    ('token: String = None', []),
+]
+
+
+@pytest.mark.parametrize("text,wanted", FORMS)
+def test_forms_of_assignment(text, wanted):
+    _, spans = secrets.scan(text)
+    base = secrets.base_spans(text)
+    found = [text[s.value_start:s.value_end] for s in spans if s not in base]
+    assert sorted(set(found)) == sorted(wanted)
+    masked = secrets.mask(text)
+    assert not any(w in masked for w in wanted)
+
+
+def test_long_code_takes_linear_time():
+    for text in ('a="""\\' * 50_000, "a: b = " * 50_000, 'x["a"]' * 50_000, 'a = "b" + ' * 50_000,
+                 "a: b[" * 50_000, "a += b\n" * 50_000, "a = b + c + " * 30_000, 'a = b"' * 50_000,
+                 "a=('" * 50_000, "a:&" * 80_000, "a: b | " * 50_000,
+                 'a = ' + '"b" + ' * 50_000, 'a += "b"\n' * 30_000, 'a = "b"\n' + "a = a + a\n" * 20_000):
+        secrets.scan(text)
