@@ -32,6 +32,8 @@ from backhaul.llm.batches import filter_text, id_and_text, map_text
 STEPS = (1, 2)
 SHORTEST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: So many equal words are reported however long the item is.
+ENOUGH_WORDS = 50
 SLICE_WORDS = 4_000_000
 #: Cells of one row of a batch of alignments.
 CELLS = 200_000
@@ -181,13 +183,15 @@ def apart(rows: list[tuple]) -> list[tuple]:
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                  min_words: int = 8, id_column: str = "doc_id", text_column: str = "text",
-                 item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+                 item_column: str = "item_id", item_text_column: str = "text",
+                 enough_words: int = ENOUGH_WORDS) -> DataFrame:
     """One row per document, test item and passage aligned: ids, ``score``, ``n_seeds`` (words of
     the document at which a seed begins) and the words ``start`` to ``end`` (exclusive) of the
     document.
 
-    Reported are alignments of ``threshold`` of the item's score or more, worth at least
-    ``min_words`` equal words, or all of a shorter item.
+    Reported are alignments of ``threshold`` of the item's score or more, or worth at least
+    ``enough_words`` equal words; of the former those worth at least ``min_words`` equal words, or
+    all of a shorter item.
     """
     docs = id_and_text(documents, id_column, text_column)
     schema = T.StructType([
@@ -201,7 +205,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
         ids = [t.id for t in tests]
 
         def search(seeds=seeds, ids=ids):
-            find = Search(seeds.value, threshold, min_words)
+            find = Search(seeds.value, threshold, min_words, enough_words)
 
             def work(piece):
                 rows = sorted(find(piece.column("text").to_pylist()))
@@ -216,14 +220,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
                         min_words: int = 8, text_column: str = "text",
-                        item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+                        item_column: str = "item_id", item_text_column: str = "text",
+                        enough_words: int = ENOUGH_WORDS) -> DataFrame:
     """The documents, with all their columns, in which ``contaminated`` finds nothing."""
     kept = documents
     for tests in slices(benchmark, item_column, item_text_column):
         seeds = documents.sparkSession.sparkContext.broadcast(Items.of([t.text for t in tests]))
 
         def search(seeds=seeds):
-            find = Search(seeds.value, threshold, min_words)
+            find = Search(seeds.value, threshold, min_words, enough_words)
 
             def clean(texts):
                 found = {r[0] for r in find(texts)}
@@ -249,13 +254,16 @@ def slices(benchmark: DataFrame, item_column: str, item_text_column: str):
 class Search:
     """Finds (text, item, start, end, score, seeds) in lists of texts."""
 
-    def __init__(self, items: Items, threshold: float, min_words: int):
+    def __init__(self, items: Items, threshold: float, min_words: int,
+                 enough_words: int = ENOUGH_WORDS):
         self.items = items
         self.lookup = Lookup(items)
         self.sizes = np.diff(items.offsets)
         full = MATCH * self.sizes
-        self.least = np.maximum(np.ceil(threshold * full - 1e-9).astype(np.int64),
-                                np.minimum(MATCH * min_words, full))
+        self.least = np.minimum(
+            np.maximum(np.ceil(threshold * full - 1e-9).astype(np.int64),
+                       np.minimum(MATCH * min_words, full)),
+            MATCH * enough_words)
         # what an alignment of that score has at least, and how far it can reach
         self.need = np.maximum((self.least + 1) // 2 - 1, 1)
         self.reach = 3 * self.sizes - self.least

@@ -142,3 +142,13 @@ def test_every_few_words_replaced(spark, docs):
     got = dc.contaminated(docs(copies), items(spark, tests)).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (2, 2), (3, 2), (4, 3)}
     assert {r.doc_id: r.score for r in got}[1] == 0.775
+
+
+def test_long_passage_of_a_longer_item(spark, docs):
+    item = [f"a{i}" for i in range(200)]
+    around = [f"b{i}" for i in range(40)]
+    rows = [(1, " ".join(around + item[60:150] + around)), (2, " ".join(around + item[60:100]))]
+    got = dc.contaminated(docs(rows), items(spark, [(1, " ".join(item))])).collect()
+    assert [(r.doc_id, r.score, r.start, r.end) for r in got] == [(1, 0.45, 40, 130)]
+    kept = dc.remove_contaminated(docs(rows), items(spark, [(1, " ".join(item))])).collect()
+    assert [r.doc_id for r in kept] == [2]
