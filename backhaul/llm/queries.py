@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import decontaminate, langid, licenses, minhash, ordinal, secrets, sentencepiece, suffix, toxicity, vectors
+from backhaul.llm import (decontaminate, langid, licenses, merkle, minhash, ordinal, secrets,
+                          sentencepiece, suffix, toxicity, vectors)
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -97,6 +98,10 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
                                       table(spark, directory, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
+    return merkle.manifest(table(spark, directory, "documents"), merkle.tampered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -109,8 +114,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_decontaminate": op10_decontaminate,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": licenses.duckdb_sql("documents", OP5_PATH)}
+    return {"op5_license_scan": licenses.duckdb_sql("documents", OP5_PATH),
+            "op13_merkle_manifest": merkle.duckdb_sql("documents")}

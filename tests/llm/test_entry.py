@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.abspath(entry.__file__))
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
     numbers = [int(n[2:].split("_")[0]) for n in names if n[2].isdigit()]
-    assert sorted(numbers) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(numbers) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_license_query_against_duckdb(spark):
