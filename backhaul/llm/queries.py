@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import (decontaminate, langid, licenses, merkle, minhash, ordinal, secrets,
-                          sentencepiece, suffix, toxicity, vectors)
+from backhaul.llm import (decontaminate, dialogues, langid, licenses, merkle, minhash, ordinal,
+                          secrets, sentencepiece, suffix, toxicity, vectors)
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -98,6 +98,23 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
                                       table(spark, directory, "benchmark"))
 
 
+def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
+    conversations = table(spark, directory, "conversations")
+    repaired = dialogues.repair(dialogues.damaged(conversations))
+
+    def of(rows: DataFrame) -> Column:
+        return everyone["conv_id"].eqNullSafe(rows["conv_id"])
+
+    everyone = conversations.select("conv_id").distinct()
+    digests = dialogues.digests(repaired.turns)
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (everyone.join(repaired.audits, of(repaired.audits), "left")
+            .join(digests, of(digests), "left")
+            .select(everyone["conv_id"], *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+                    F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")))
+
+
 def op13_merkle_manifest(spark: SparkSession, directory: str) -> DataFrame:
     return merkle.manifest(table(spark, directory, "documents"), merkle.tampered())
 
@@ -114,10 +131,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_decontaminate": op10_decontaminate,
+        "op12_conversation_repair": op12_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_license_scan": licenses.duckdb_sql("documents", OP5_PATH),
+            "op12_conversation_repair": dialogues.duckdb_sql("conversations",
+                                                             merkle.crc32_sql("code")),
             "op13_merkle_manifest": merkle.duckdb_sql("documents")}
