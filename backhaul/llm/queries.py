@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.llm import (decontaminate, dialogues, langid, licenses, merkle, minhash, ordinal,
-                          secrets, sentencepiece, suffix, toxicity, vectors)
+from backhaul.llm import (decontaminate, dialogues, langid, licenses, merkle, minhash, mixing,
+                          ordinal, secrets, sentencepiece, suffix, toxicity, vectors)
 from backhaul.llm.batches import crc_fold
 
 #: Model file of the registered queries; operators take any.
@@ -98,6 +98,11 @@ def op10_decontaminate(spark: SparkSession, directory: str) -> DataFrame:
                                       table(spark, directory, "benchmark"))
 
 
+def op11_source_mixing(spark: SparkSession, directory: str) -> DataFrame:
+    return mixing.mix(table(spark, directory, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op12_conversation_repair(spark: SparkSession, directory: str) -> DataFrame:
     conversations = table(spark, directory, "conversations")
     repaired = dialogues.repair(dialogues.damaged(conversations))
@@ -131,6 +136,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_language": op9_language,
         "op10_decontaminate": op10_decontaminate,
+        "op11_source_mixing": op11_source_mixing,
         "op12_conversation_repair": op12_conversation_repair,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
