@@ -16,8 +16,12 @@ PIECE_CHARS = 1 << 20
 
 
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` whose ``text`` has about PIECE_CHARS bytes each."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+    """Row ranges of ``batch`` whose ``text``, or list of as many items, has about PIECE_CHARS
+    bytes each."""
+    column = batch.column(text)
+    sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else (
+        pc.binary_length(column))
+    sizes = pc.fill_null(sizes, 0).to_numpy()
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > PIECE_CHARS:

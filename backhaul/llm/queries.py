@@ -33,8 +33,7 @@ def op1_secret_scan(spark: SparkSession, directory: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, directory: str) -> DataFrame:
     model = sentencepiece.read_model(TOKENIZER)
     documents = table(spark, directory, "documents").select("doc_id", "text")
-    encoded = sentencepiece.encode(documents, model)
-    return sentencepiece.decode(encoded, model).select(
+    return sentencepiece.encode(documents, model, decoded="decoded").select(
         "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))

@@ -133,13 +133,28 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode(rows: DataFrame, model: bytes, text_column: str = "text", into: str = "token_ids"
-           ) -> DataFrame:
-    """``rows`` with the ids as column ``into``, in place of one that has that name."""
-    rows = rows.drop(into)
+def _lists(ids: list[list[int] | None]) -> pa.ListArray:
+    """Lists of ids as one Arrow array, without a Python object per id in it."""
+    flat = np.concatenate([np.asarray(x or [], np.int32) for x in ids])
+    ends = np.cumsum([0, *(len(x or []) for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(
+        pa.array(ends), pa.array(flat),
+        mask=pa.array([x is None for x in ids]) if None in ids else None)
+
+
+def encode(rows: DataFrame, model: bytes, text_column: str = "text", into: str = "token_ids",
+           decoded: str | None = None) -> DataFrame:
+    """``rows`` with the ids as column ``into``, in place of one that has that name.
+
+    With ``decoded`` the ids are decoded again, into a column of that name. One Python worker a
+    core does both, on pieces of bounded size.
+    """
+    rows = rows.drop(into, *filter(None, [decoded]))
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields,
                            T.StructField(into, T.ArrayType(T.IntegerType()))])
+    if decoded:
+        schema = schema.add(decoded, T.StringType())
 
     def start():
         pieces = _pieces(shared.value)
@@ -147,12 +162,11 @@ def encode(rows: DataFrame, model: bytes, text_column: str = "text", into: str =
         def work(piece):
             ids = [None if t is None else pieces.encode(t)
                    for t in piece.column(text_column).to_pylist()]
-            flat = np.concatenate([np.asarray(x or [], np.int32) for x in ids])
-            ends = np.cumsum([0, *(len(x or []) for x in ids)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(ends), pa.array(flat),
-                mask=pa.array([x is None for x in ids]) if None in ids else None)
-            return [*piece.columns, lists]
+            columns = [*piece.columns, _lists(ids)]
+            if decoded:
+                columns.append(pa.array([None if x is None else pieces.decode(x) for x in ids],
+                                        pa.string()))
+            return columns
         return work
 
     return map_text(rows, text_column, schema, start)
@@ -165,13 +179,14 @@ def decode(rows: DataFrame, model: bytes, ids_column: str = "token_ids",
     shared = rows.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())])
 
-    def run(batches):
+    def start():
         pieces = _pieces(shared.value)
-        for batch in batches:
-            column = batch.column(ids_column)
-            texts = [pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist())
-                     if x.is_valid and len(x) else "" if x.is_valid else None for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             names=[*batch.schema.names, into])
-
-    return rows.mapInArrow(run, schema)
+
+        def work(piece):
+            texts = [None if not x.is_valid else
+                     pieces.decode(x.values.to_numpy(zero_copy_only=False).tolist())
+                     if len(x) else "" for x in piece.column(ids_column)]
+            return [*piece.columns, pa.array(texts, pa.string())]
+        return work
+
+    return map_text(rows, ids_column, schema, start)

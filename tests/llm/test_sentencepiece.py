@@ -79,3 +79,11 @@ def test_rows(docs):
     assert got[0].token_ids is None and got[1].token_ids == []
     assert out.columns.count("token_ids") == 1
     assert sp.encode(docs([]), MODEL).count() == 0
+
+
+def test_one_python_stage(spark, docs, capsys):
+    rows = [(1, None), (2, ""), (3, "a  b"), (None, "漢字 ▁ x")]
+    both = sp.encode(docs(rows), MODEL, decoded="decoded")
+    assert [r.decoded for r in both.collect()] == [t for _, t in rows]
+    both.explain()
+    assert capsys.readouterr().out.count("MapInArrow") == 1
