@@ -40,14 +40,16 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text, with whether they decode to that text."""
+    """Token ids in place of the text, with whether they decode to that text.
+
+    ``token_ids``, ``n_tokens`` and ``round_trip`` replace columns of those names.
+    """
     model = sentencepiece.read_model(TOKENIZER)
-    decoded = sentencepiece.decode(sentencepiece.encode(docs, model), model)
-    names = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip",
-                                                  "decoded")]
+    names = [c for c in docs.columns if c not in ("text", "token_ids", "n_tokens", "round_trip")]
+    decoded = sentencepiece.encode(docs, model, decoded="_decoded")
     return decoded.select(
         *names, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+        F.col("_decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 STAGES = [
