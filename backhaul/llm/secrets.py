@@ -71,8 +71,8 @@ WEAKEN = {"public", "length", "len", "size", "count", "type", "name", "url", "ur
 PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|-+|changeme|example.*|your.*|placeholder|todo|none"
                          r"|null|true|false|undefined|redacted|dummy.*|sample.*|<.*>|\{\{.*\}\})\Z")
 THRESHOLD = 0.5
-#: Of a value joined from more literals in different places, the last so many are followed.
-PARTS = 64
+#: Longer values are judged by their ends and their characters, not as one string.
+WHOLE = 256
 
 
 class Span(NamedTuple):
@@ -110,13 +110,7 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """How much a literal looks like a credential: long enough, varied, no sentence."""
-    n = len(value)
-    if n < 6 or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum(any(test(c) for c in value) for test in (str.islower, str.isupper, str.isdigit)) \
-        + (not value.isalnum())
-    return min(1.0, entropy / 4) * (0.6 if kinds < 2 else 1.0)
+    return Value.of(Part(0, 0, value, 0, 0)).score()
 
 
 class Part(NamedTuple):
@@ -130,12 +124,75 @@ class Part(NamedTuple):
     value_end: int
 
 
+class Value:
+    """What a name stands for: literals and earlier values, and what the score needs of them.
+
+    Values refer to values, so joining costs the same however much was joined before.
+    """
+
+    __slots__ = ("members", "n", "counts", "head", "tail")
+
+    def __init__(self, members: tuple, n: int, counts: Counter, head: str, tail: str):
+        self.members, self.n, self.counts, self.head, self.tail = members, n, counts, head, tail
+
+    @classmethod
+    def of(cls, part: Part) -> Value:
+        text = part.value
+        return cls((part,), len(text), Counter(text), text[:WHOLE], text[-WHOLE:])
+
+    @classmethod
+    def joined(cls, values: list[Value]) -> Value:
+        if len(values) == 1:
+            return values[0]
+        counts: Counter = Counter()
+        head = tail = ""
+        for v in values:
+            counts.update(v.counts)
+            head = head if len(head) == WHOLE else (head + v.head)[:WHOLE]
+            tail = v.tail if v.n >= WHOLE else (tail + v.tail)[-WHOLE:]
+        return cls(tuple(values), sum(v.n for v in values), counts, head, tail)
+
+    def placeholder(self) -> bool:
+        if self.n <= WHOLE:
+            return bool(PLACEHOLDER.match(self.head))
+        # a longer one is a run of one sign, or told by its ends
+        ends = self.head + self.tail
+        return bool(PLACEHOLDER.match(ends)) and (
+            len(self.counts) > 2 or len({c.lower() for c in self.counts}) == 1)
+
+    def score(self) -> float:
+        n, counts = self.n, self.counts
+        if n < 6 or any(c.isspace() for c in counts) or self.placeholder():
+            return 0.0
+        entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
+        kinds = sum(any(test(c) for c in counts)
+                    for test in (str.islower, str.isupper, str.isdigit))
+        kinds += any(not c.isalnum() for c in counts)
+        return min(1.0, entropy / 4) * (0.6 if kinds < 2 else 1.0)
+
+
+def parts_of(values: list[Value]) -> list[Part]:
+    """Every literal that the values stand for, once."""
+    found, seen = [], set()
+    while values:
+        value = values.pop()
+        if id(value) in seen:
+            continue
+        seen.add(id(value))
+        for member in value.members:
+            if isinstance(member, Part):
+                found.append(member)
+            else:
+                values.append(member)
+    return found
+
+
 class Values:
     """Reads values of one text, with the names assigned so far."""
 
     def __init__(self, text: str):
         self.text = text
-        self.constants: dict[str, list[Part]] = {}
+        self.constants: dict[str, Value] = {}
         # kinds of three quotes of which no pair is left
         self.unclosed: set[str] = set()
 
@@ -155,10 +212,10 @@ class Values:
         m = m or QUOTED.match(text, at)
         return m and Part(at, m.end(), m["value"], *m.span("value"))
 
-    def chain(self, at: int) -> tuple[list[tuple[Part, bool]], int] | None:
-        """Parts with whether a name stands for them, and the end; None without a literal or a
+    def chain(self, at: int) -> tuple[list[tuple[Value, bool]], int] | None:
+        """Values with whether a name stands for them, and the end; None without a literal or a
         known name."""
-        parts: list[tuple[Part, bool]] = []
+        parts: list[tuple[Value, bool]] = []
         run: list[Part] = []
         sure, end = False, at
 
@@ -166,7 +223,7 @@ class Values:
             if len(run) > 1:
                 run[:] = [Part(run[0].start, run[-1].end, "".join(p.value for p in run),
                                run[0].start, run[-1].end)]
-            parts.extend((p, False) for p in run)
+            parts.extend((Value.of(p), False) for p in run)
             run.clear()
 
         while True:
@@ -176,7 +233,7 @@ class Values:
             elif m := NAME.match(self.text, at):
                 close()
                 known = self.constants.get(m[0])
-                parts += [(p, True) for p in known or ()]
+                parts += [(known, True)] if known else []
                 sure = sure or known is not None
                 end = m.end()
             else:
@@ -187,7 +244,7 @@ class Values:
         close()
         return (parts, end) if sure else None
 
-    def value(self, at: int) -> tuple[list[tuple[Part, bool]], int] | None:
+    def value(self, at: int) -> tuple[list[tuple[Value, bool]], int] | None:
         """What an assignment's value stands for, and where it ends."""
         found = self.chain(at)
         bare = BARE.match(self.text, at)
@@ -196,9 +253,9 @@ class Values:
         if not bare:
             return None
         if (ref := REFERENCE.match(bare[0])) and ref[1] in self.constants:
-            return [(p, True) for p in self.constants[ref[1]]], bare.end()
+            return [(self.constants[ref[1]], True)], bare.end()
         raw = bare[0].rstrip(".:")
-        return [(Part(at, at + len(raw), raw, at, at + len(raw)), False)], bare.end()
+        return [(Value.of(Part(at, at + len(raw), raw, at, at + len(raw))), False)], bare.end()
 
 
 def assigned_spans(text: str) -> list[Span]:
@@ -206,30 +263,34 @@ def assigned_spans(text: str) -> list[Span]:
     if "=" not in text and ":" not in text:
         return []
     values, found, at = Values(text), set(), 0
+    through_names: list[Value] = []
     while m := TARGET.search(text, at):
         at = m.end()
         if not (read := values.value(at)):
             continue
         parts, end = read
-        if not parts or parts[-1][1] or text[parts[-1][0].start] not in "\"'`":
+        if not parts or parts[-1][1] or text[parts[-1][0].members[0].start] not in "\"'`":
             # a = b = "literal": the next target
             if CHAINED.match(text, end):
                 continue
         at = max(end, at)
         name = key[1] if (key := KEY.search(m["keys"])) else m["name"]
-        if m["more"]:
-            parts = [(p, True) for p in values.constants.get(m["name"], ())] + parts
-        parts = parts[-PARTS:]
+        if m["more"] and (before := values.constants.get(m["name"])):
+            parts = [(before, True), *parts]
+        whole = Value.joined([v for v, _ in parts])
         if not m["keys"]:
-            values.constants[m["name"]] = [p for p, _ in parts]
+            values.constants[m["name"]] = whole
         score = name_score(name)
         if m["last"]:
             # "remark: name = value" reads like a type
             score = max(score, name_score(m["last"]))
-            values.constants[m["last"]] = [p for p, _ in parts]
-        if score and score * literal_score("".join(p.value for p, _ in parts)) >= THRESHOLD:
-            found |= {Span(p.start, 4 if known else 3, p.end, p.value_start, p.value_end)
-                      for p, known in parts}
+            values.constants[m["last"]] = whole
+        if score and score * whole.score() >= THRESHOLD:
+            through_names += [v for v, known in parts if known]
+            found |= {Span(p.start, 3, p.end, p.value_start, p.value_end)
+                      for v, known in parts if not known for p in v.members}
+    found |= {Span(p.start, 4, p.end, p.value_start, p.value_end)
+              for p in parts_of(through_names)}
     return sorted(found)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -125,3 +126,27 @@ def test_long_code_takes_linear_time():
                  "a=('" * 50_000, "a:&" * 80_000, "a: b | " * 50_000,
                  'a = ' + '"b" + ' * 50_000, 'a += "b"\n' * 30_000, 'a = "b"\n' + "a = a + a\n" * 20_000):
         secrets.scan(text)
+
+
+def test_a_value_joined_from_many_names_is_masked_whole():
+    names = [f"part{i}" for i in range(300)]
+    code = "\n".join(f'{n} = "Zx9{i:03d}qK"' for i, n in enumerate(names))
+    code += "\napi_token = " + " + ".join(names) + "\n"
+    found = secrets.scan(code)[1]
+    assert sum(s.rank == 4 for s in found) == 300
+    masked = secrets.mask(code)
+    assert "Zx9" not in masked and masked.count("[SECRET]") == 300
+
+
+def test_values_that_grow_take_linear_time():
+    started = time.time()
+    code = "".join(f'api_token += "aB3{i}xY"\nother = api_token\n' for i in range(20_000))
+    found = secrets.scan('api_token = "Q1w2e3r4"\n' + code)[1]
+    assert len({s.start for s in found if s.rank >= 3}) == 20_001
+    assert time.time() - started < 20
+
+
+@pytest.mark.parametrize("value", ["x" * 600, "*" * 300, "example" + "aB3" * 200,
+                                   "<" + "aB3" * 200 + ">", "aB 3" * 100])
+def test_long_placeholders_are_no_secrets(value):
+    assert secrets.literal_score(value) == 0 and secrets.literal_score("aB3$" * 100) > 0.4
