@@ -43,7 +43,8 @@ class Settings:
 
 
 def _letters() -> np.ndarray:
-    return w.alphanumeric() & ~np.isin(np.arange(0x110000), np.arange(48, 58))
+    """For each code point, whether Unicode has it as a letter; numerals of any script are none."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def presence(texts: list[str | None], out: np.ndarray) -> np.ndarray:

@@ -55,6 +55,8 @@ def test_nothing_to_read(docs):
     got = {r.doc_id: (r.lang_pred, r.score) for r in li.predict(docs(rows), model).collect()}
     assert got[50] == got[51] == got[52] == ("und", 0.0)
     assert got[53][0] == got[None][0] == "aa"
+    signs = [(i, t) for i, t in enumerate(["٣٤٥", "²", "Ⅳ", "½ ①", "५", "\u0301", "_"])]
+    assert {r.lang_pred for r in li.predict(docs(signs), model).collect()} == {"und"}
 
 
 def test_without_training_rows(docs):
