@@ -303,10 +303,19 @@ def digest(text: str):
 def deduplicate(rows: DataFrame, threshold: float = 0.8, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
     """The rows, with all their columns, of the documents that ``near_duplicates`` keeps."""
+    of, at = unused("id", rows), unused("digest", rows)
     dropped = (components(rows, threshold, id_column, text_column).filter("NOT kept")
-               .select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct())
-    return rows.join(dropped, (F.col(id_column) == F.col("_id"))
-                     & (digest(text_column) == F.col("_digest")), "left_anti")
+               .select(F.col("id").alias(of), F.col("digest").alias(at)).distinct())
+    return rows.join(dropped, (F.col(id_column) == F.col(of))
+                     & (digest(text_column) == F.col(at)), "left_anti")
+
+
+def unused(name: str, rows: DataFrame) -> str:
+    """``name`` with underscores in front, so many that no column is called that."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def components(rows: DataFrame, threshold: float, id_column: str, text_column: str) -> DataFrame:

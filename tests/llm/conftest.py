@@ -4,7 +4,7 @@ from pyspark.sql import types as T
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns a user's table may have besides; operators must not trip over their names.
 CLASHES = ["id", "key", "row", "score", "root", "node", "token_ids", "component_id", "kept",
-           "license", "digest", "label"]
+           "license", "digest", "label", "_id", "_digest"]
 
 
 @pytest.fixture(scope="session")
