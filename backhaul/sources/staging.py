@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from backhaul.schemas import INGEST_SEQ, STAGING
-
+from backhaul.sources.records import read_records
 
 MALFORMED = "_malformed"
 
@@ -18,7 +18,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = STAGING,
     from the files: path, start of the split, then row order within the split. Spark may
     schedule splits in any order, so a running id alone would not follow the file.
 
-    Quoted fields with line breaks need ``multi_line``, which reads each file in one task.
+    Quoted fields with line breaks need ``multi_line``, which reads the files twice.
     """
     return _read(spark, path, schema, sequence, multi_line)
 
@@ -37,25 +37,44 @@ def split_csv(spark: SparkSession, path: str, schema: T.StructType = STAGING,
     rows = rows.filter(F.length(F.concat_ws("", *[F.col(f.name).cast("string")
                                                   for f in schema])) >= 0)
     broken = F.col(MALFORMED).isNotNull()
+    file = F.col(f"{INGEST_SEQ}.file") if not sequence else F.input_file_name()
     return (rows.filter(~broken).drop(MALFORMED),
-            rows.filter(broken).select(F.input_file_name().alias("file"),
-                                       F.col(MALFORMED).alias("record"), schema.names[0]))
+            rows.filter(broken).select(file.alias("file"), F.col(MALFORMED).alias("record"),
+                                       schema.names[0]))
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, sequence: str | None,
           multi_line: bool, **options) -> DataFrame:
-    rows = (spark.read.schema(schema).options(mode="PERMISSIVE", multiLine=multi_line, **options)
-            .csv(path, header=True, enforceSchema=False))
+    if multi_line:
+        rows = _parsed(read_records(spark, path), schema, options)
+    else:
+        rows = (spark.read.schema(schema).options(mode="PERMISSIVE", **options)
+                .csv(path, header=True, enforceSchema=False)
+                .select("*", F.struct(
+                    F.col("_metadata.file_path").alias("file"),
+                    F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("row")).alias(INGEST_SEQ)))
     if sequence:
-        return rows.withColumnRenamed(sequence, INGEST_SEQ)
-    return rows.select(
-        "*",
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias(INGEST_SEQ),
-    )
+        return rows.drop(INGEST_SEQ).withColumnRenamed(sequence, INGEST_SEQ)
+    return rows
+
+
+def _parsed(records: DataFrame, schema: T.StructType, options: dict) -> DataFrame:
+    """Records as rows; the first of each file has to name the columns."""
+    names = [f.name for f in schema if f.name != options.get("columnNameOfCorruptRecord")]
+    first = (F.col("split") == 0) & (F.col("row") == F.col("first_row"))
+    header = F.lit(",".join(names))
+    starts = (records.filter("split = 0").groupBy(F.col("file").alias("of"))
+              .agg(F.min("row").alias("first_row")))
+    checked = (records.join(starts, F.col("file") == F.col("of"), "left")
+               .filter(~F.coalesce(first, F.lit(False))
+                       | F.assert_true(F.regexp_replace("record", '["\\r]', "") == header,
+                                       F.lit(f"the header is not {','.join(names)}")).isNotNull())
+               .filter("record <> ''"))
+    parsed = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                        {"mode": "PERMISSIVE", "escape": '"', **options})
+    return checked.select(parsed.alias("parsed"), F.struct("file", "split", "row").alias(INGEST_SEQ)
+                          ).select("parsed.*", INGEST_SEQ)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
