@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +20,12 @@ from pyspark.sql import types as T
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from backhaul import Warehouse  # noqa: E402
-from backhaul.operators import (categories, cohorts, constraints, customers, economics,  # noqa: E402
-                                fanout, impact, load, marts, pareto, products, quality, reasons,
-                                revenue, risk, trend)
+from backhaul import versions  # noqa: E402
+from backhaul.operators import (categories, cohorts, constraints, customers, dictionary,  # noqa: E402
+                                economics, fanout, impact, load, marts, pareto, products, quality,
+                                reasons, revenue, risk, trend)
 from backhaul.plans.shared import shared_folder  # noqa: E402
-from backhaul.schemas import INGEST_SEQ  # noqa: E402
+from backhaul.schemas import INGEST_SEQ, STAGING  # noqa: E402
 from backhaul.sources import star  # noqa: E402
 from backhaul.streaming import jobs  # noqa: E402
 
@@ -121,6 +123,54 @@ def _reloaded(w: Warehouse) -> DataFrame:
         for name in ("staging", "customers", "products", "returns", "order_facts")])
 
 
+def _versioned(w: Warehouse) -> DataFrame:
+    """Two versions, the second with other amounts in the last month: which version holds each
+    part, and the revenue that readers of either version see."""
+    spark = w.staging.sparkSession
+    day = load.parse_date("order_date")
+
+    def twice(folder: str) -> None:
+        versions.refresh(w.staging, folder)
+        last = w.order_facts.agg(F.trunc(F.max("order_date"), "month").alias("month")).scalar()
+        changed = F.when(F.trunc(day, "month") == last, F.col("total_amount") + 1)
+        versions.refresh(w.staging.withColumn(
+            "total_amount", F.coalesce(changed, "total_amount").cast("decimal(12,2)")), folder)
+
+    folder = _once(w, "versions", twice)
+    parts = versions.manifest(spark, folder).select("table_name", "part", "version", "row_count")
+    for version in (1, 2):
+        revenue_then = (versions.read_table(spark, folder, "order_facts", version)
+                        .groupBy("part").agg(F.sum("total_amount").alias(f"revenue_{version}"))
+                        .withColumn("table_name", F.lit("order_facts")))
+        parts = parts.join(revenue_then, ["table_name", "part"], "left")
+    return parts
+
+
+def _csv_warehouse(w: Warehouse) -> Warehouse:
+    """Loaded from files: the staging rows as wide CSV in load order, with quotes and line breaks,
+    and a record with an unreadable number after each row of quantity 13."""
+    def store(folder: str) -> None:
+        order = ["order_id", INGEST_SEQ, "broken"]
+        texts = [F.col(f.name).cast("string").alias(f.name) for f in STAGING]
+        rows = (w.staging.withColumn("broken", F.explode(
+                    F.when(F.col("quantity") == 13, F.array(F.lit(False), F.lit(True)))
+                    .otherwise(F.array(F.lit(False)))))
+                .repartitionByRange(*order).sortWithinPartitions(*order)
+                .select("broken", *texts))
+        (rows.withColumn("quantity", F.when(F.col("broken"), "many").otherwise(F.col("quantity")))
+         .withColumn("order_id", F.when(F.col("broken"), F.concat("order_id", F.lit("-broken")))
+                     .otherwise(F.col("order_id")))
+         .withColumn("return_reason", F.regexp_replace("return_reason", "Not as ", "Not as\n"))
+         .withColumn("payment_method", F.regexp_replace("payment_method", "URGENT", '"URGENT"'))
+         .drop("broken").write.csv(f"{folder}/files", header=True, escape='"'))
+        Warehouse.load_csv(w.staging.sparkSession, f"{folder}/files", f"{folder}/tables")
+
+    spark = w.staging.sparkSession
+    tables = _once(w, "csv", store) + "/tables"
+    return replace(Warehouse.read(spark, tables),
+                   malformed=spark.read.parquet(f"{tables}/malformed"))
+
+
 def _stream(w: Warehouse, table: str, rows: DataFrame, day: Column) -> DataFrame:
     """The table as a stream of files in the order of its quarters."""
     folder = _once(w, f"arrivals-{table}", lambda f: jobs.store_arrivals(rows, day, f))
@@ -182,6 +232,12 @@ OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {
        for name in names},
     "load_quarantine": _quarantine,
     "reload": _reloaded,
+    "versioned_refresh": _versioned,
+    "staging_csv": lambda w: _csv_warehouse(w).staging.drop(INGEST_SEQ),
+    "csv_dq_report": lambda w: quality.dq_report(_csv_warehouse(w)),
+    "schema_report": lambda w: dictionary.schema_report({
+        "staging": w.staging, "customers": w.customers, "products": w.products,
+        "orders": w.orders, "returns": w.returns}),
 
     "total_revenue": lambda w: revenue.total_revenue(w.orders),
     "return_loss": lambda w: revenue.return_loss(w.order_returns),

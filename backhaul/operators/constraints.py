@@ -5,54 +5,11 @@ rows of all four tables aside, parents before children, and ``require_valid`` fa
 way a rejected insert would.
 """
 
-from collections.abc import Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class RowRule:
-    """A rule that one row can break by itself."""
-
-    kind: str
-    column: str
-
-    @property
-    def name(self) -> str:
-        return f"{self.kind} {self.column}"
-
-    def broken(self) -> Column:
-        """True or False, never NULL: like SQL, a CHECK accepts NULL."""
-        value = F.col(self.column)
-        if self.kind == "NOT NULL":
-            return value.isNull()
-        return F.coalesce(CHECKS[self.column](value), F.lit(False))
-
-
-# What each CHECK forbids.
-CHECKS = {
-    "discount": lambda value: (value < 0) | (value > 1),
-    "quantity": lambda value: value <= 0,
-}
-
-
-def _rules(not_null: Sequence[str], checks: Sequence[str] = ()) -> list[RowRule]:
-    return ([RowRule("NOT NULL", c) for c in not_null] + [RowRule("CHECK", c) for c in checks])
-
-
-ROW_RULES = {
-    "customers": _rules(["customer_id"]),
-    "products": _rules(["product_id", "category", "price", "discount"], ["discount"]),
-    "orders": _rules(["order_id", "customer_id", "product_id", "order_date", "quantity",
-                      "total_amount"], ["quantity"]),
-    "returns": _rules(["return_id", "order_id"]),
-}
-UNIQUE = {"customers": ["customer_id"], "products": ["product_id"], "orders": ["order_id"],
-          "returns": ["return_id", "order_id"]}
-FOREIGN_KEYS = [("orders", "customer_id", "customers"), ("orders", "product_id", "products"),
-                ("returns", "order_id", "orders")]
+from backhaul.operators.audit import audit, violation
+from backhaul.operators.rules import FOREIGN_KEYS, ROW_RULES, UNIQUE
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
@@ -72,44 +29,22 @@ def repeated_keys(rows: DataFrame, key: str) -> DataFrame:
             .filter(F.col("copies") > 1))
 
 
-def _row_rule_report(table: str, rows: DataFrame) -> DataFrame:
-    """All row rules of a table in one pass."""
-    rules = ROW_RULES[table]
-    counted = rows.agg(F.array(*[
-        F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.column).alias("column_name"),
-                 F.count_if(rule.broken()).alias("violations"))
-        for rule in rules
-    ]).alias("rules"))
-    return counted.select(F.lit(table).alias("table_name"), F.inline("rules"))
-
-
-def _labelled(table: str, kind: str, column: str, count: DataFrame) -> DataFrame:
-    return count.select(F.lit(table).alias("table_name"), F.lit(kind).alias("kind"),
-                        F.lit(column).alias("column_name"), "violations")
-
-
 def constraint_report(customers: DataFrame, products: DataFrame, orders: DataFrame,
                       returns: DataFrame) -> DataFrame:
     """One row per constraint: table_name, kind, column_name, violations.
 
-    UNIQUE counts repeated non-NULL values, FOREIGN KEY non-NULL values without a parent.
+    UNIQUE counts repeated non-NULL values, FOREIGN KEY non-NULL values without a parent. All are
+    counted in one pass over the tables.
     """
-    tables = {"customers": customers, "products": products, "orders": orders,
-              "returns": returns}
-    parts = [_row_rule_report(name, rows) for name, rows in tables.items()]
-    for name, keys in UNIQUE.items():
-        for key in keys:
-            known = tables[name].filter(F.col(key).isNotNull())
-            repeated = repeated_keys(known, key).agg(F.count(F.lit(1)).alias("violations"))
-            parts.append(_labelled(name, "UNIQUE", key, repeated))
-    for child, key, parent in FOREIGN_KEYS:
-        known = tables[child].filter(F.col(key).isNotNull())
-        lost = orphan_count(known, tables[parent], key, "violations")
-        parts.append(_labelled(child, "FOREIGN KEY", key, lost))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    constraints = [(table, rule.kind, rule.column) for table, rules in ROW_RULES.items()
+                   for rule in rules]
+    constraints += [(table, "UNIQUE", c) for table, columns in UNIQUE.items() for c in columns]
+    constraints += [(child, "FOREIGN KEY", c) for child, c, _ in FOREIGN_KEYS]
+    return audit(customers, products, orders, returns).select(F.inline(F.array(*[
+        F.struct(F.lit(table).alias("table_name"), F.lit(kind).alias("kind"),
+                 F.lit(c).alias("column_name"),
+                 F.col(f"`{violation(table, kind, c)}`").alias("violations"))
+        for table, kind, c in constraints])))
 
 
 def split_valid(table: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:

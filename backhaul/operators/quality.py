@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backhaul.functions import metrics as m
+from backhaul.operators.audit import DATES, LATE, audit
 from backhaul.operators.constraints import orphan_count, repeated_keys
 from backhaul.operators.load import orders_dedup, unparsed_dates
 from backhaul.schemas import INGEST_SEQ
@@ -26,13 +27,14 @@ class Check:
     name: str
     metrics: tuple[str, ...]
     measure: Callable[[Warehouse], DataFrame]
-    passes: Callable[[], Column] | None = None
+    passes: Callable[[Callable[[str], Column]], Column] | None = None
     failure: str = ""
 
-    def verdict(self) -> Column:
+    def verdict(self, metric: Callable[[str], Column] = F.col) -> Column:
+        """PASS, INFO or the text of the failure; ``metric`` gives a metric's column."""
         if self.passes is None:
             return F.lit(INFO)
-        return F.when(self.passes(), F.lit(PASS)).otherwise(F.lit(self.failure))
+        return F.when(self.passes(metric), F.lit(PASS)).otherwise(F.lit(self.failure))
 
     def run(self, warehouse: Warehouse) -> DataFrame:
         measured = self.measure(warehouse)
@@ -94,24 +96,36 @@ def _category_conflicts(w: Warehouse) -> DataFrame:
     )
 
 
-def _is_zero(*columns: str) -> Callable[[], Column]:
-    def condition() -> Column:
+def _malformed_count(w: Warehouse) -> Column:
+    """Records of the source files that could not be read; none where there were no files."""
+    if w.malformed is None:
+        return F.lit(0).cast("long")
+    return w.malformed.agg(F.count(F.lit(1)).alias("n")).scalar()
+
+
+def _malformed(w: Warehouse) -> DataFrame:
+    return w.staging.sparkSession.range(1).select(
+        _malformed_count(w).alias("malformed_record_count"))
+
+
+def _is_zero(*columns: str) -> Callable[[Callable[[str], Column]], Column]:
+    def condition(metric: Callable[[str], Column]) -> Column:
         result = F.lit(True)
         for column in columns:
-            result = result & (F.col(column) == 0)
+            result = result & (metric(column) == 0)
         return result
     return condition
 
 
-def _same_revenue() -> Column:
-    return F.col("difference") <= F.lit("0.01").cast("decimal(4,2)")
+def _same_revenue(metric: Callable[[str], Column]) -> Column:
+    return metric("difference") <= F.lit("0.01").cast("decimal(4,2)")
 
 
 # Check texts and limits.
 CHECKS = {
     "dq_01": Check(
         "row count reconciliation", ("staging_unique_orders", "orders_count"), _profile,
-        lambda: F.col("orders_count") <= F.col("staging_unique_orders"),
+        lambda of: of("orders_count") <= of("staging_unique_orders"),
         "FAIL — more orders loaded than unique staging rows"),
     "dq_02": Check(
         "duplicate orders", ("duplicate_order_count",),
@@ -151,7 +165,7 @@ CHECKS = {
         "FAIL — delivered_date is earlier than order_date on some rows"),
     "dq_09": Check(
         "return rate range", ("return_rate_pct",), _return_rate,
-        lambda: F.col("_rate").between(0.01, 0.30),
+        lambda of: of("_rate").between(0.01, 0.30),
         "FAIL — return rate is outside expected range (1%–30%)"),
     "dq_10": Check(
         "discount range", ("invalid_discount_count",),
@@ -168,28 +182,66 @@ CHECKS = {
     "dq_unparsed_dates": Check(
         "date texts that are not dates",
         ("unparsed_order_date", "unparsed_delivered_date", "unparsed_request_date"), _profile),
+    "dq_malformed": Check(
+        "malformed records", ("malformed_record_count",), _malformed,
+        _is_zero("malformed_record_count"), "FAIL — source files hold records that cannot be read"),
 }
 
 
+def _from_audit(check_id: str) -> dict[str, Column]:
+    """A check's metrics as expressions over the row of ``audit``."""
+    def of(name: str) -> Column:
+        return F.col(f"`{name}`")
+
+    def if_any(name: str) -> Column:
+        # like the sum over an empty table
+        return F.when(of("orders_count") > 0, of(f"orders NOT NULL {name}"))
+
+    revenue = of("first_revenue") if check_id == "dq_03_dedup" else of("staging_revenue")
+    conflicts = of("conflicting_products")
+    known = {
+        "staging_unique_orders": of("staging_unique_orders"), "orders_count": of("orders_count"),
+        "duplicate_order_count": of("duplicate_order_count"), "staging_revenue": revenue,
+        "orders_revenue": of("orders_revenue"),
+        "difference": F.abs(revenue - of("orders_revenue")),
+        "orphaned_return_count": of("returns orphans order_id"),
+        "orphaned_customer_count": of("orders orphans customer_id"),
+        "orphaned_product_count": of("orders orphans product_id"),
+        **{f"missing_{c}": if_any(c) for c in ("customer_id", "product_id", "order_date")},
+        "invalid_delivery_date_count": of(f"orders {LATE}"),
+        "return_rate_pct": F.round(
+            m.quotient(of("joined_returns"), of("joined_orders")) * 100.0, 2),
+        "_rate": m.quotient(of("joined_returns"), of("joined_orders")),
+        "invalid_discount_count": of("products CHECK discount"),
+        "products_with_category_conflicts": conflicts,
+        "pct_of_all_products": m.percent(conflicts, of("staging_products")),
+        "null_amount_count": of("orders NOT NULL total_amount"),
+        **{f"unparsed_{c}": of(f"staging DATE {c}") for c in DATES},
+        "malformed_record_count": of("malformed_record_count"),
+    }
+    return {name: known[name] for name in (*CHECKS[check_id].metrics, "_rate")}
+
+
 def dq_report(warehouse: Warehouse) -> DataFrame:
     """All checks in long form: check_id, check_name, check_result, metric, value.
 
-    Informational checks have the result ``INFO``. Checks that read the profile share it.
+    Informational checks have the result ``INFO``. One pass over the tables gives everything.
     """
-    groups: dict[Callable, list[str]] = {}
+    w = warehouse
+    measured = audit(w.customers, w.products, w.orders, w.returns, w.staging).withColumn(
+        "malformed_record_count", _malformed_count(w))
+    # a struct per check, as two checks report a revenue of the same name
+    measured = measured.select(*[
+        F.struct(*[value.alias(name) for name, value in _from_audit(check_id).items()])
+        .alias(check_id) for check_id in CHECKS])
+    lines = []
     for check_id, check in CHECKS.items():
-        groups.setdefault(check.measure, []).append(check_id)
-    parts = []
-    for measure, check_ids in groups.items():
-        lines = [
-            F.struct(F.lit(check_id).alias("check_id"),
-                     F.lit(CHECKS[check_id].name).alias("check_name"),
-                     CHECKS[check_id].verdict().alias("check_result"),
-                     F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
-            for check_id in check_ids for metric in CHECKS[check_id].metrics
-        ]
-        parts.append(measure(warehouse).select(F.inline(F.array(*lines))))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+        def metric(name: str, check_id=check_id) -> Column:
+            return F.col(f"{check_id}.{name}")
+
+        lines += [
+            F.struct(F.lit(check_id).alias("check_id"), F.lit(check.name).alias("check_name"),
+                     check.verdict(metric).alias("check_result"), F.lit(name).alias("metric"),
+                     metric(name).cast("double").alias("value"))
+            for name in check.metrics]
+    return measured.select(F.inline(F.array(*lines)))

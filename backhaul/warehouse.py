@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,13 +11,15 @@ from backhaul.operators import constraints
 from backhaul.operators import facts as f
 from backhaul.operators import load
 from backhaul.schemas import ORDERS, RETURNS
+from backhaul.sources import staging as source
 
 
 @dataclass(frozen=True)
 class Warehouse:
     """``order_returns`` is orders with the return attached, ``order_facts`` adds the category.
 
-    ``path`` is where the tables are stored, if they are.
+    ``path`` is where the tables are stored, if they are; ``malformed`` the records of the source
+    files that could not be read, if the tables come from files.
     """
 
     staging: DataFrame
@@ -28,6 +30,7 @@ class Warehouse:
     order_returns: DataFrame
     order_facts: DataFrame
     path: str | None = None
+    malformed: DataFrame | None = None
 
     @classmethod
     def from_tables(cls, staging: DataFrame, customers: DataFrame, products: DataFrame,
@@ -86,6 +89,16 @@ class Warehouse:
          .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/order_facts"))
         return cls.read(spark, path)
 
+    @classmethod
+    def load_csv(cls, spark: SparkSession, files: str, path: str, mode: str = "audit",
+                 multi_line: bool = True) -> Warehouse:
+        """``load`` from wide CSV files. Malformed records go to ``path``/malformed, as text with
+        their file; the checks count them."""
+        rows, broken = source.split_csv(spark, files, multi_line=multi_line)
+        broken.select("file", "record").write.mode("overwrite").parquet(f"{path}/malformed")
+        loaded = cls.load(rows, path, mode)
+        return replace(loaded, malformed=spark.read.parquet(f"{path}/malformed"))
+
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> Warehouse:
         """Tables written by ``load``."""

@@ -282,6 +282,7 @@ FAIL = {
     "dq_09": "FAIL — return rate is outside expected range (1%–30%)",
     "dq_10": "FAIL — products have discount values outside [0, 1]",
     "dq_null_amount": "FAIL — null order amounts exist in orders table",
+    "dq_malformed": "FAIL — source files hold records that cannot be read",
 }
 
 
@@ -340,6 +341,8 @@ CHECKS = {
         f"count(*) FILTER (trim({c}) <> '' AND try_strptime({c}, '%d/%m/%Y') IS NULL) "
         f"AS unparsed_{c}" for c in ("order_date", "delivered_date", "request_date"))
         + " FROM stg",
+    # the star tables are no files whose records could be malformed
+    "dq_malformed": _count_check("dq_malformed", "malformed_record_count", "FROM stg WHERE false"),
 }
 
 CHECK_METRICS = {
@@ -358,6 +361,7 @@ CHECK_METRICS = {
     "dq_null_amount": ["null_amount_count"],
     "dq_unparsed_dates": ["unparsed_order_date", "unparsed_delivered_date",
                           "unparsed_request_date"],
+    "dq_malformed": ["malformed_record_count"],
 }
 CHECK_NAMES = {
     "dq_01": "row count reconciliation", "dq_02": "duplicate orders",
@@ -368,11 +372,12 @@ CHECK_NAMES = {
     "dq_09": "return rate range", "dq_10": "discount range", "dq_11": "category conflicts",
     "dq_null_amount": "orders without amount",
     "dq_unparsed_dates": "date texts that are not dates",
+    "dq_malformed": "malformed records",
 }
 
 
-def _report() -> str:
-    ctes = ",\n".join(f"c_{check} AS ({body})" for check, body in CHECKS.items())
+def _report(**changed: str) -> str:
+    ctes = ",\n".join(f"c_{check} AS ({body})" for check, body in {**CHECKS, **changed}.items())
     rows = []
     for check, metrics in CHECK_METRICS.items():
         result = "'INFO'" if check in ("dq_11", "dq_unparsed_dates") else "check_result"
@@ -411,6 +416,41 @@ def _violations() -> str:
         f"count(*) AS violations {source}" for table, kind, column, source in rows))
 
 
+# Declared columns by table; a * marks what must not be null.
+DECLARED = {
+    "staging": ("stg", "order_id:string customer_id:string product_id:string category:string "
+                "price:decimal(12,2) discount:decimal(4,2) customer_age:int "
+                "customer_gender:string order_date:string delivered_date:string quantity:int "
+                "payment_method:string region:string total_amount:decimal(12,2) "
+                "shipping_cost:decimal(12,2) profit_margin:decimal(12,2) returned:string "
+                "request_date:string return_reason:string"),
+    "customers": ("cust", "*customer_id:string customer_age:int customer_gender:string"),
+    "products": ("prod", "*product_id:string *category:string *price:decimal(12,2) "
+                 "*discount:decimal(4,2)"),
+    "orders": ("ord", "*order_id:string *customer_id:string *product_id:string "
+               "*order_date:date delivered_date:date *quantity:int payment_method:string "
+               "region:string *total_amount:decimal(12,2) shipping_cost:decimal(12,2) "
+               "profit_margin:decimal(12,2)"),
+    "returns": ("(SELECT md5(order_id) AS return_id, * FROM ret)",
+                "*return_id:string *order_id:string request_date:date return_reason:string"),
+}
+
+
+def _declared_columns() -> str:
+    rows = []
+    for table, (source, columns) in DECLARED.items():
+        for i, column in enumerate(columns.split()):
+            name, kind = column.lstrip("*").split(":")
+            rows.append(f"""SELECT '{table}' AS table_name, '{name}' AS column_name,
+              {i + 1}::BIGINT AS position, '{kind}' AS data_type,
+              {'false' if column[0] == '*' else 'true'} AS nullable, true AS as_declared,
+              count(*) FILTER ({name} IS NULL) AS null_count,
+              {f'count(*) FILTER ({name} IS NULL)' if column[0] == '*' else '0::BIGINT'}
+                AS violations
+              FROM {source}""")
+    return "\nUNION ALL\n".join(rows)
+
+
 def _layers() -> str:
     return _tables("\nUNION ALL\n".join(
         f"SELECT '{name}' AS layer, CAST(sum(n) AS BIGINT) AS row_count, "
@@ -771,6 +811,26 @@ def twins() -> dict[str, str]:
     sql["load_quarantine"] = t(f"""
       SELECT table_name, coalesce(broken, 'kept') AS rule, count(*) AS row_count
       FROM ({_enforced()}) GROUP BY ALL""")
+    sql["csv_dq_report"] = _report(dq_malformed=_count_check(
+        "dq_malformed", "malformed_record_count", "FROM stg WHERE quantity = 13"))
+    sql["staging_csv"] = t(f"""SELECT * REPLACE (
+        replace(return_reason, 'Not as ', 'Not as' || chr(10)) AS return_reason,
+        replace(payment_method, 'URGENT', '"URGENT"') AS payment_method)
+      FROM (SELECT {STAGING_COLUMNS} FROM stg)""")
+    sql["schema_report"] = t(_declared_columns())
+    sql["versioned_refresh"] = t("""
+      SELECT 'staging' AS table_name, 'all' AS part, 2::BIGINT AS version, count(*) AS row_count,
+             NULL::DOUBLE AS revenue_1, NULL::DOUBLE AS revenue_2 FROM stg
+      UNION ALL SELECT 'customers', 'all', 1, count(*), NULL, NULL FROM cust
+      UNION ALL SELECT 'products', 'all', 1, count(*), NULL, NULL FROM prod
+      UNION ALL SELECT 'returns', coalesce(strftime(request_date, '%Y-%m'), 'undated'), 1,
+             count(*), NULL, NULL FROM ret GROUP BY ALL
+      UNION ALL SELECT 'order_facts', part, CASE WHEN part = last THEN 2 ELSE 1 END, count(*),
+             sum(total_amount)::DOUBLE,
+             sum(total_amount + CASE WHEN part = last THEN 1 ELSE 0 END)::DOUBLE
+      FROM (SELECT coalesce(strftime(order_date, '%Y-%m'), 'undated') AS part, total_amount,
+                   (SELECT strftime(max(order_date), '%Y-%m') FROM ord) AS last FROM ord)
+      GROUP BY part, last""")
     sql["reload"] = t("""
       SELECT 'staging' AS table_name, count(*) AS row_count FROM stg
       UNION ALL SELECT 'customers', count(*) FROM cust
