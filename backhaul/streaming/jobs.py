@@ -1,12 +1,13 @@
 """Return indicators over arriving files, as Structured Streaming jobs.
 
 Event time is the order date (or request date) at midnight UTC. A backlog is stored first in the
-order of its quarters (``store_arrivals``), so no row is ever more than a quarter behind the newest
+order of its quarters (``store_arrivals``), so no dated row is ever more than a quarter behind the newest
 one before it. The jobs wait DELAY for late rows, which is more, so the result does not depend on
 how the files are cut into batches. A run that nevertheless drops a row for being late fails.
-Results in append mode appear once the watermark has passed them.
+Results in append mode appear once the watermark has passed them; ``end_arrivals`` makes it pass all.
 """
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,31 +25,47 @@ STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 PROGRESS_KEPT = "spark.sql.streaming.numRecentProgressUpdates"
 #: Longer than a quarter; half a day more, as all event times are midnights.
 DELAY = "93 days 12 hours"
+#: Folders of arrivals: rows without a date come first, the end of a stream last.
+UNDATED, ENDED = "0000", "9999"
+#: The date of the row that ends a stream.
+END = dt.date(3000, 1, 1)
 
 
 def store_arrivals(rows: DataFrame, day: Column, path: str) -> str:
-    """Stores dated rows so that files are ordered by quarter; returns the folder to stream.
+    """Stores rows so that files are ordered by quarter; returns the folder to stream.
 
-    One pass splits the rows by quarter, then each quarter is written in turn: a file source
-    reads older files first. Rows without a date have no place in time; they are stored under
-    ``path``/undated.
+    One pass splits the rows by quarter, then each quarter is written in turn, in files of the
+    session's advisory size: a file source reads older files first. Rows without a date have no
+    place in time; they come first.
     """
     spark = rows.sparkSession
     quarter = F.concat(F.year(day), F.lit("-"), F.quarter(day))
     split = f"{path}/split"
-    (rows.withColumn("_quarter", F.coalesce(quarter, F.lit("undated")))
+    (rows.withColumn("_quarter", F.coalesce(quarter, F.lit(UNDATED)))
      .hint("rebalance", "_quarter")
      .write.partitionBy("_quarter").parquet(split))
     schema = T.StructType([*rows.schema.fields, T.StructField("_quarter", T.StringType())])
     stored = spark.read.schema(schema).parquet(split)
     # one row per quarter, whatever the number of rows
     for found in sorted(r["_quarter"] for r in stored.select("_quarter").distinct().collect()):
-        folder = f"{path}/undated" if found == "undated" else f"{path}/arrivals/{found}"
-        (stored.filter(F.col("_quarter") == found).drop("_quarter").coalesce(4)
-         .write.parquet(folder))
+        (stored.filter(F.col("_quarter") == found).drop("_quarter").hint("rebalance")
+         .write.parquet(f"{path}/arrivals/{found}"))
     return f"{path}/arrivals/*"
 
 
+def end_arrivals(spark: SparkSession, schema: T.StructType, path: str, **end: object) -> None:
+    """One more file, with a row so late that everything before it is finished.
+
+    ``end`` gives its date and what a job asks not to be null (a join its key), all its other
+    columns are null; it is itself never emitted, as nothing comes after it. Jobs that are run
+    again then bring out the windows and orders still open. A stream that has ended takes no more
+    rows.
+    """
+    row = tuple(end.get(f.name) for f in schema)
+    loose = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    spark.createDataFrame([row], loose).write.parquet(f"{path}/arrivals/{ENDED}")
+
+
 def read_files(spark: SparkSession, path: str, schema: T.StructType,
                files_per_batch: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; new files are picked up as they arrive."""
@@ -62,24 +79,33 @@ def _midnight(date: Column) -> Column:
     return date.cast("timestamp")
 
 
-def dedup(staging: DataFrame, delay: str = DELAY) -> DataFrame:
-    """The first row in load order of each order id and order date, as the batch load keeps it.
+def dedup(staging: DataFrame, delay: str = DELAY, undated_as: str = "1970-01-01") -> DataFrame:
+    """The first row in load order of each order id, as the batch load keeps it.
 
-    A row appears once the watermark has passed its date; until then an earlier one may come.
+    Copies of an order may have different dates: all that lie within ``delay`` of each other are
+    one group, and the row appears once the watermark has passed the last of them by ``delay``.
+    Rows without a date count as of ``undated_as``, the time before the stream; they have to come
+    first.
     """
     first = F.min_by(F.struct(*staging.columns), F.col(INGEST_SEQ))
-    return (staging.withColumn("event_time", _midnight(parse_date("order_date")))
+    day = F.coalesce(parse_date("order_date"), F.lit(undated_as).cast("date"))
+    return (staging.withColumn("event_time", _midnight(day))
             .withWatermark("event_time", delay)
-            .groupBy("event_time", "order_id").agg(first.alias("first"))
+            .groupBy(F.session_window("event_time", delay), "order_id")
+            .agg(first.alias("first"))
             .select("first.*"))
 
 
 def loss_kpi(orders: DataFrame, width: str = "30 days", slide: str | None = None,
              delay: str = DELAY, by: tuple[str, ...] = ()) -> DataFrame:
-    """Orders, returns, gross, loss, net and return rate per window of order time."""
+    """Orders, returns, gross, loss, net and return rate per window of order time.
+
+    An order without a date is in no window; ``dq_report`` counts those.
+    """
     windows = F.window("event_time", width, slide) if slide else F.window("event_time", width)
     gross = F.sum("total_amount")
-    return (orders.withColumn("event_time", _midnight(F.col("order_date")))
+    return (orders.filter(F.col("order_date").isNotNull())
+            .withColumn("event_time", _midnight(F.col("order_date")))
             .withWatermark("event_time", delay)
             .groupBy(windows, *by)
             .agg(m.order_count().alias("total_orders"),
@@ -99,8 +125,11 @@ def order_returns(orders: DataFrame, returns: DataFrame, within: str = "90 days"
     """Orders with the return requested up to ``within`` after the order, if any.
 
     An order without one is emitted when the watermark shows that none can follow; its state
-    is dropped then, so state is bounded by ``within`` plus ``delay``.
+    is dropped then, so state is bounded by ``within`` plus ``delay``. Orders and requests
+    without a date cannot be placed and are left out, as ``dq_report`` says.
     """
+    orders = orders.filter(F.col("order_date").isNotNull())
+    returns = returns.filter(F.col("request_date").isNotNull())
     placed = (orders.select("order_id", "customer_id", "total_amount",
                             _midnight(F.col("order_date")).alias("order_time"))
               .withWatermark("order_time", delay))

@@ -771,11 +771,21 @@ def twins() -> dict[str, str]:
                   {rate(LOSS, 'sum(total_amount)')} AS loss_rate
                 FROM (SELECT *, strftime(order_date, '%Y-%m') AS month FROM fact)
                 GROUP BY GROUPING SETS ((month, category, product_id), (month, category)))"""),
-        "stream_dedup": t(f"""SELECT {STAGING_COLUMNS} FROM (
-            SELECT *, row_number() OVER (PARTITION BY order_id, order_date
-                                         ORDER BY s1, s2, s3, s4, s5) AS place FROM stg)
-          WHERE place = 1 AND CAST(try_strptime(order_date, '%d/%m/%Y') AS DATE)
-            < (SELECT max(order_date) FROM ord) - 93"""),
+        "stream_dedup": t(f"SELECT {STAGING_COLUMNS} FROM dedup"),
+        "stream_loss_kpi_ended": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
+            CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
+            count(order_id) AS total_orders, {RETURNS} AS returned_orders,
+            {dbl('sum(total_amount)')} AS total_revenue, {dbl(LOSS)} AS return_loss,
+            {dbl(f'sum(total_amount) - {LOSS}')} AS net_revenue,
+            {rate(RETURNS, 'count(order_id)')} AS return_rate
+          FROM windowed WHERE order_date IS NOT NULL GROUP BY window_start""", KPI_WINDOWS),
+        "stream_order_returns_ended": t(f"""SELECT o.order_id, o.customer_id,
+            {dbl('o.total_amount')} AS total_amount, CAST(o.order_date AS VARCHAR) AS order_date,
+            CAST(r.request_date AS VARCHAR) AS request_date, r.return_reason,
+            r.order_id IS NOT NULL AS returned
+          FROM ord o LEFT JOIN ret r ON o.order_id = r.order_id
+            AND r.request_date BETWEEN o.order_date AND o.order_date + 90
+          WHERE o.order_date IS NOT NULL"""),
         "stream_loss_kpi": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
             CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
             count(order_id) AS total_orders, {RETURNS} AS returned_orders,

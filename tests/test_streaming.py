@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from backhaul.operators import load
 from backhaul.streaming import jobs
 
 
@@ -15,18 +16,78 @@ def stream(spark, folder, schema):
 
 
 def test_dedup_keeps_the_first_row_in_load_order(spark, make, tmp_path):
+    undated = make.staging(dict(order_id="D", order_date="no date", ingest_seq=7),
+                           dict(order_id="E", order_date=None, ingest_seq=8))
     first = make.staging(dict(order_id="A", total_amount=1, ingest_seq=5),
                          dict(order_id="B", total_amount=2))
     later = make.staging(dict(order_id="A", total_amount=9, ingest_seq=1),
-                         dict(order_id="C", order_date="20/9/2023", total_amount=3),
-                         dict(order_id="D", order_date="no date"))
-    put(first, tmp_path / "in", "1")
-    put(later, tmp_path / "in", "2")
+                         dict(order_id="C", order_date="20/12/2023", total_amount=3))
+    for name, rows in zip("123", (undated, first, later)):
+        put(rows, tmp_path / "in", name)
     out = jobs.run_to_parquet(
         jobs.dedup(stream(spark, tmp_path / "in", first.schema)), str(tmp_path / "out"))
     assert out.columns == first.columns
     rows = {r["order_id"]: int(r["total_amount"]) for r in out.collect()}
-    assert rows == {"A": 9, "B": 2}  # September is still open, an undated row has no place
+    assert rows == {"A": 9, "B": 2, "D": 10, "E": 10}  # December is still open
+
+
+def test_dedup_of_an_order_with_two_dates(spark, make, tmp_path):
+    """As in the batch load: one row per order id, the first in load order, whatever the dates."""
+    rows = make.staging(dict(order_id="A", order_date="1/3/2023", total_amount=1, ingest_seq=2),
+                        dict(order_id="A", order_date="5/5/2023", total_amount=2, ingest_seq=1),
+                        dict(order_id="B", order_date="1/1/2023", total_amount=3, ingest_seq=1),
+                        dict(order_id="B", order_date="1/2/2023", total_amount=4, ingest_seq=2))
+    path = str(tmp_path / "in")
+    jobs.store_arrivals(rows, load.parse_date("order_date"), path)
+    job = jobs.dedup(jobs.read_files(spark, f"{path}/arrivals/*", rows.schema, 1))
+    jobs.run_to_parquet(job, str(tmp_path / "out"))
+    jobs.end_arrivals(spark, rows.schema, path, order_date="1/1/3000")
+    got = jobs.run_to_parquet(job, str(tmp_path / "out"))
+    expected = load.orders_dedup(rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert {r["order_id"]: int(r["total_amount"]) for r in got.collect()} == {"A": 2, "B": 3}
+
+
+def test_the_end_brings_out_everything(spark, make, tmp_path):
+    days = [dt.date(2022, 1, 1) + dt.timedelta(days=(i * 37) % 900) for i in range(200)]
+    facts = make.facts(*[dict(order_date=str(d), returned=i % 3 == 0,
+                              request_date=str(d + dt.timedelta(days=i % 120)))
+                         for i, d in enumerate(days)])
+    returns = facts.filter("returned").select("order_id", "request_date", "return_reason")
+    a, b = str(tmp_path / "facts"), str(tmp_path / "returns")
+    jobs.store_arrivals(facts, F.col("order_date"), a)
+    jobs.store_arrivals(returns, F.col("request_date"), b)
+    orders = jobs.read_files(spark, f"{a}/arrivals/*", facts.schema, 2)
+    back = jobs.read_files(spark, f"{b}/arrivals/*", returns.schema, 2)
+    kpi, joined = jobs.loss_kpi(orders), jobs.order_returns(orders, back)
+    before = jobs.run_to_parquet(kpi, str(tmp_path / "kpi")).agg(F.sum("total_orders")).first()[0]
+    jobs.run_to_parquet(joined, str(tmp_path / "joined"))
+    jobs.end_arrivals(spark, facts.schema, a, order_date=jobs.END)
+    jobs.end_arrivals(spark, returns.schema, b, request_date=jobs.END, order_id="the end")
+    total = jobs.run_to_parquet(kpi, str(tmp_path / "kpi")).agg(
+        F.sum("total_orders"), F.sum("returned_orders"), F.sum("total_revenue"),
+        F.sum("return_loss")).first()
+    assert before < 200 and tuple(total) == (200, 67, 2000, 670)
+    rows = jobs.run_to_parquet(joined, str(tmp_path / "joined")).collect()
+    assert len({r["order_id"] for r in rows}) == len(rows) == 200
+    assert sum(r["returned"] for r in rows) == sum(i % 3 == 0 and i % 120 <= 90
+                                                   for i in range(200))
+
+
+def test_files_of_a_quarter_follow_its_size(spark, make, tmp_path):
+    rows = spark.range(0, 40_000).select(
+        F.col("id").cast("string").alias("order_id"),
+        F.when(F.col("id") % 10 == 0, F.lit("2023-05-01")).otherwise("2023-01-01").cast("date")
+        .alias("order_date"), F.sha2(F.col("id").cast("string"), 256).alias("filler"))
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        jobs.store_arrivals(rows, F.col("order_date"), str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = {q: len(list((tmp_path / "arrivals" / q).glob("*.parquet")))
+             for q in ("2023-1", "2023-2")}
+    assert files["2023-1"] > 2 * files["2023-2"]
 
 
 def test_results_do_not_depend_on_the_batch_cut(spark, make, tmp_path):
