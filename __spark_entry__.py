@@ -246,7 +246,8 @@ def _stream_order_returns_ended(w: Warehouse) -> DataFrame:
 
 
 def _stream_category_spike(w: Warehouse) -> DataFrame:
-    return (jobs.category_spikes(_facts_stream(w), _folder(w, "stream-spikes"))
+    return (jobs.run_to_parquet(jobs.category_spikes(_facts_stream(w)),
+                                _folder(w, "stream-spikes"))
             .select(F.to_date("window_start").alias("window_start"),
                     F.to_date("window_end").alias("window_end"), "category", "total_orders",
                     "returned_orders", "total_revenue", "return_loss", "net_revenue",

@@ -10,9 +10,11 @@ Results in append mode appear once the watermark has passed them; ``end_arrivals
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from backhaul.functions import metrics as m
 from backhaul.operators.load import parse_date
@@ -145,59 +147,54 @@ def order_returns(orders: DataFrame, returns: DataFrame, within: str = "90 days"
                     "return_reason", F.col("returned_id").isNotNull().alias("returned")))
 
 
-def score_spikes(history: DataFrame, trailing: int = 6, factor: float = 1.5) -> DataFrame:
-    """Marks windows whose return rate exceeds ``factor`` times the trailing baseline.
+class TrailingWindows(StatefulProcessor):
+    """Gives each finished window of a category the totals of the ``trailing`` ones before it.
 
-    The baseline is the pooled return rate of the category's ``trailing`` earlier windows;
-    a category's first window has none and is never a spike.
+    The state of a category is a list of that many pairs, however long the stream runs.
     """
-    earlier = (Window.partitionBy("category").orderBy("window_start")
-               .rowsBetween(-trailing, -1))
-    baseline = m.quotient(F.sum("returned_orders").over(earlier),
-                          F.sum("total_orders").over(earlier))
-    current = m.quotient(F.col("returned_orders"), F.col("total_orders"))
-    return (history.withColumn("_baseline", baseline)
-            .withColumn("baseline_rate", F.round("_baseline", 4))
-            .withColumn("spike", F.coalesce(current > F.lit(factor) * F.col("_baseline"),
-                                            F.lit(False)))
-            .drop("_baseline"))
 
+    def __init__(self, trailing: int):
+        self.trailing = trailing
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getListState("seen", "returned_orders long, total_orders long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # windows of one width finish in their order; within a batch they come in any
+        batch = pd.concat(rows).sort_values("window_start", ignore_index=True)
+        seen = [(int(r), int(t)) for r, t in self.seen.get()]
+        before = []
+        for returned, total in zip(batch["returned_orders"], batch["total_orders"]):
+            before.append((sum(r for r, _ in seen), sum(t for _, t in seen)))
+            seen = [*seen, (int(returned), int(total))][-self.trailing:]
+        self.seen.put(seen)
+        yield batch.assign(earlier_returned=[r for r, _ in before],
+                           earlier_orders=[t for _, t in before])
 
-def category_spikes(facts: DataFrame, path: str, width: str = "30 days", delay: str = DELAY,
+    def close(self) -> None:
+        pass
+
+
+def category_spikes(facts: DataFrame, width: str = "30 days", delay: str = DELAY,
                     trailing: int = 6, factor: float = 1.5) -> DataFrame:
-    """Scores every finished category window against those before it; returns all scored.
+    """Finished windows of each category, as a stream, marked where the return rate exceeds
+    ``factor`` times the trailing baseline.
 
-    Scored windows go to ``path/alerts``, one folder per micro-batch, so a repeated batch
-    replaces its own output. Each batch also stores the last ``trailing`` windows of every
-    category, and reads only those that the batch before it stored.
+    The baseline is the pooled return rate of the category's ``trailing`` earlier windows that had
+    orders; a category's first window has none and is never a spike. Two stateful operators follow
+    each other: open windows, and per category the totals of its last finished ones.
     """
     known = facts.filter(F.col("category").isNotNull())
     finished = loss_kpi(known, width, delay=delay, by=("category",))
-    spark = facts.sparkSession
-    seen = T.StructType([*finished.schema.fields, T.StructField("now", T.BooleanType())])
-    newest = Window.partitionBy("category").orderBy(F.desc("window_start"))
-
-    def score(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        known = batch.withColumn("now", F.lit(True))
-        if batch_id:
-            known = known.unionByName(session.read.schema(seen)
-                                      .parquet(f"{path}/tail/{batch_id - 1}")
-                                      .withColumn("now", F.lit(False)))
-        known = known.persist()
-        try:
-            (score_spikes(known, trailing, factor).filter("now").drop("now")
-             .write.mode("overwrite").parquet(f"{path}/alerts/batch_id={batch_id}"))
-            (known.withColumn("_place", F.row_number().over(newest))
-             .filter(F.col("_place") <= trailing).drop("_place")
-             .write.mode("overwrite").parquet(f"{path}/tail/{batch_id}"))
-        finally:
-            known.unpersist()
-
-    _run(finished, path, lambda writer: writer.foreachBatch(score).start())
-    scored = T.StructType([*finished.schema.fields, T.StructField("baseline_rate", T.DoubleType()),
-                           T.StructField("spike", T.BooleanType())])
-    return spark.read.schema(scored).parquet(f"{path}/alerts").drop("batch_id")
+    counted = T.StructType([*finished.schema.fields, T.StructField("earlier_returned", T.LongType()),
+                            T.StructField("earlier_orders", T.LongType())])
+    scored = finished.groupBy("category").transformWithStateInPandas(
+        TrailingWindows(trailing), counted, "append", "None")
+    baseline = m.quotient(F.col("earlier_returned"), F.col("earlier_orders"))
+    current = m.quotient(F.col("returned_orders"), F.col("total_orders"))
+    return (scored.withColumn("baseline_rate", F.round(baseline, 4))
+            .withColumn("spike", F.coalesce(current > F.lit(factor) * baseline, F.lit(False)))
+            .drop("earlier_returned", "earlier_orders"))
 
 
 class LateRows(RuntimeError):

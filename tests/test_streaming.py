@@ -108,7 +108,7 @@ def test_results_do_not_depend_on_the_batch_cut(spark, make, tmp_path):
         results.append([sorted(map(str, rows.collect())) for rows in (
             jobs.run_to_parquet(jobs.loss_kpi(orders), f"{out}/kpi"),
             jobs.run_to_parquet(jobs.order_returns(orders, back), f"{out}/returns"),
-            jobs.category_spikes(orders, f"{out}/spikes"))])
+            jobs.run_to_parquet(jobs.category_spikes(orders), f"{out}/spikes"))])
     assert results[0] == results[1] == results[2] and all(results[0])
 
 
@@ -181,8 +181,8 @@ def test_category_spike(spark, make, tmp_path):
     put(first, tmp_path / "in", "1")
     put(second, tmp_path / "in", "2")
     out = str(tmp_path / "out")
-    scored = jobs.category_spikes(stream(spark, tmp_path / "in", first.schema), out,
-                                  delay="7 days")
+    scored = jobs.run_to_parquet(jobs.category_spikes(
+        stream(spark, tmp_path / "in", first.schema), delay="7 days"), out)
     alerts = {r["window_start"].month: r for r in
               scored.withColumn("window_start", F.date_add("window_start", 15)).collect()}
     spikes = [r["window_end"] for r in alerts.values() if r["spike"]]
@@ -190,3 +190,21 @@ def test_category_spike(spark, make, tmp_path):
     april = next(r for r in alerts.values() if r["spike"])
     assert april["return_rate"] == 0.5 and april["baseline_rate"] == 0.2333
     assert min(alerts.values(), key=lambda r: r["window_end"])["baseline_rate"] is None
+
+
+def test_category_spikes_after_a_restart(spark, make, tmp_path):
+    """Stopped after each file and started again from the checkpoint: the same windows."""
+    days = [dt.date(2022, 1, 3) + dt.timedelta(days=i * 3) for i in range(250)]
+    rows = [dict(order_id=f"O{i}", order_date=str(d), returned=i % (3 + i // 100) == 0,
+                 product_id=f"P{i % 3}", category="XYZ"[i % 3]) for i, d in enumerate(days)]
+    parts = [make.facts(*rows[i:i + 50]) for i in range(0, 250, 50)]
+    for i, part in enumerate(parts):
+        put(part, tmp_path / "once", str(i))
+        put(part, tmp_path / "again", str(i))
+        again = jobs.run_to_parquet(jobs.category_spikes(
+            stream(spark, tmp_path / "again", part.schema)), str(tmp_path / "out-again"))
+    once = jobs.run_to_parquet(jobs.category_spikes(
+        stream(spark, tmp_path / "once", parts[0].schema)), str(tmp_path / "out-once"))
+    got = sorted(map(str, again.collect()))
+    assert got == sorted(map(str, once.collect())) and len(got) > 40
+    assert again.filter("baseline_rate IS NULL").count() == 3 and again.filter("spike").count()
