@@ -27,7 +27,7 @@ from backhaul.operators import (categories, cohorts, constraints, customers, dic
 from backhaul.plans.shared import shared_folder  # noqa: E402
 from backhaul.schemas import INGEST_SEQ, STAGING  # noqa: E402
 from backhaul.sources import star  # noqa: E402
-from backhaul.streaming import jobs  # noqa: E402
+from backhaul.streaming import chain, jobs  # noqa: E402
 
 try:
     from backhaul.llm import queries as llm  # noqa: E402
@@ -245,6 +245,19 @@ def _stream_order_returns_ended(w: Warehouse) -> DataFrame:
                  {"request_date": jobs.END, "order_id": "the end"})))
 
 
+def _stream_chain(w: Warehouse) -> DataFrame:
+    """From raw order and return rows to finished windows, in one query."""
+    end = jobs.END.strftime("%d/%m/%Y")
+    increments = _ended(
+        w, "chain", chain.loss_increments,
+        orders=(w.staging, load.parse_date("order_date"),
+                {"order_date": end, "order_id": "the end"}),
+        returns=(w.staging.filter(F.col("returned") == load.RETURNED),
+                 load.parse_date("request_date"),
+                 {"request_date": end, "order_id": "the end", "returned": load.RETURNED}))
+    return _windows(chain.merged(increments))
+
+
 def _stream_category_spike(w: Warehouse) -> DataFrame:
     return (jobs.run_to_parquet(jobs.category_spikes(_facts_stream(w)),
                                 _folder(w, "stream-spikes"))
@@ -357,6 +370,7 @@ OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "stream_category_spike": _stream_category_spike,
     "stream_loss_kpi_ended": _stream_loss_kpi_ended,
     "stream_order_returns_ended": _stream_order_returns_ended,
+    "stream_chain": _stream_chain,
 
     "dq_report": quality.dq_report,
     **{name: check.run for name, check in quality.CHECKS.items()},

@@ -475,6 +475,26 @@ finished AS (
         (SELECT max(order_date) FROM ord) - INTERVAL 93 DAY
 )"""
 
+# A stream can only hold copies of a return together that lie within its delay of each other.
+RETURN_GROUPS = """asked AS (
+  SELECT *, CAST(try_strptime(request_date, '%d/%m/%Y') AS DATE) AS day
+  FROM stg WHERE returned = 'Yes'
+),
+apart AS (
+  SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY order_id ORDER BY day) > 93
+                 THEN 1 ELSE 0 END AS step
+  FROM asked
+),
+grouped AS (
+  SELECT *, sum(step) OVER (PARTITION BY order_id ORDER BY day) AS part FROM apart
+),
+groups AS (
+  SELECT order_id, day AS request_date FROM (
+    SELECT *, row_number() OVER (PARTITION BY order_id, part ORDER BY s1, s2, s3, s4, s5) AS copy
+    FROM grouped)
+  WHERE copy = 1
+)"""
+
 SPIKES = f"""per_window AS (
   SELECT window_start, category, count(order_id) AS total_orders, {RETURNS} AS returned_orders,
          sum(total_amount) AS revenue, {LOSS} AS loss
@@ -779,6 +799,19 @@ def twins() -> dict[str, str]:
             {dbl(f'sum(total_amount) - {LOSS}')} AS net_revenue,
             {rate(RETURNS, 'count(order_id)')} AS return_rate
           FROM windowed WHERE order_date IS NOT NULL GROUP BY window_start""", KPI_WINDOWS),
+        "stream_chain": t(f"""SELECT CAST(window_start AS VARCHAR) AS window_start,
+            CAST(CAST(window_start + INTERVAL 30 DAY AS DATE) AS VARCHAR) AS window_end,
+            count(order_id) AS total_orders, {RETURNS} AS returned_orders,
+            {dbl('sum(total_amount)')} AS total_revenue, {dbl(LOSS)} AS return_loss,
+            {dbl(f'sum(total_amount) - {LOSS}')} AS net_revenue,
+            {rate(RETURNS, 'count(order_id)')} AS return_rate
+          FROM (SELECT o.order_id, o.total_amount, r.order_id IS NOT NULL AS returned,
+                  CAST(time_bucket(INTERVAL 30 DAY, o.order_date, DATE '1970-01-01') AS DATE)
+                    AS window_start
+                FROM ord o LEFT JOIN groups r ON o.order_id = r.order_id
+                  AND r.request_date BETWEEN o.order_date AND o.order_date + 90
+                WHERE o.order_date IS NOT NULL)
+          GROUP BY window_start""", RETURN_GROUPS),
         "stream_order_returns_ended": t(f"""SELECT o.order_id, o.customer_id,
             {dbl('o.total_amount')} AS total_amount, CAST(o.order_date AS VARCHAR) AS order_date,
             CAST(r.request_date AS VARCHAR) AS request_date, r.return_reason,

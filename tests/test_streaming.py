@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from backhaul.operators import load
-from backhaul.streaming import jobs
+from backhaul.streaming import chain, jobs
 
 
 def put(df, folder, name):
@@ -208,3 +208,53 @@ def test_category_spikes_after_a_restart(spark, make, tmp_path):
     got = sorted(map(str, again.collect()))
     assert got == sorted(map(str, once.collect())) and len(got) > 40
     assert again.filter("baseline_rate IS NULL").count() == 3 and again.filter("spike").count()
+
+
+def test_chain_of_raw_rows_equals_the_batch_for_any_cut(spark, make, tmp_path):
+    def text(day):
+        return f"{day.day}/{day.month}/{day.year}"
+
+    rows, day = [], dt.date(2022, 1, 1)
+    for i in range(150):
+        day = dt.date(2022, 1, 1) + dt.timedelta(days=(i * 37) % 900)
+        asked = day + dt.timedelta(days=(i * 7) % 130 - 10)
+        row = dict(order_id=f"O{i}", order_date=text(day), total_amount=i,
+                   returned="Yes" if i % 3 == 0 else "No", request_date=text(asked))
+        rows.append({**row, "ingest_seq": 2 * i})
+        if i % 4 == 0:
+            # a copy with other dates and another amount, loaded before or after
+            rows.append({**row, "order_date": text(day + dt.timedelta(days=i % 60)),
+                         "request_date": text(asked - dt.timedelta(days=i % 50)),
+                         "total_amount": 1000 + i, "returned": "Yes" if i % 8 else "No",
+                         "ingest_seq": 2 * i + (1 if i % 12 else -1)})
+    rows.append(dict(order_id="undated", order_date="soon", ingest_seq=9999))
+    staging = make.staging(*rows)
+    returned = staging.filter("returned = 'Yes'")
+    orders, returns = load.orders_clean(staging), load.returns_clean(staging)
+    limit = ((F.col("request_date") >= F.col("order_date"))
+             & (F.col("request_date") <= F.date_add("order_date", 90)))
+    batch = (orders.join(returns.withColumnRenamed("order_id", "r"),
+                         (F.col("order_id") == F.col("r")) & limit, "left")
+             .filter("order_date IS NOT NULL")
+             .withColumn("window_start",
+                         F.window(F.col("order_date").cast("timestamp"), "30 days")["start"])
+             .groupBy("window_start")
+             .agg(F.count("order_id"), F.count("r"), F.sum("total_amount"),
+                  F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("total_amount"))),
+                             F.lit(0))))
+    expected = sorted(tuple(map(str, r)) for r in batch.collect())
+    for cut in (1, 3, None):
+        a, b = str(tmp_path / f"orders-{cut}"), str(tmp_path / f"returns-{cut}")
+        jobs.store_arrivals(staging, load.parse_date("order_date"), a)
+        jobs.store_arrivals(returned, load.parse_date("request_date"), b)
+        job = chain.loss_increments(*[jobs.read_files(spark, f"{x}/arrivals/*", staging.schema, cut)
+                                      for x in (a, b)])
+        out = str(tmp_path / f"out-{cut}")
+        jobs.run_to_parquet(job, out)
+        jobs.end_arrivals(spark, staging.schema, a, order_date="1/1/3000", order_id="end")
+        jobs.end_arrivals(spark, staging.schema, b, request_date="1/1/3000", order_id="end",
+                          returned="Yes")
+        got = chain.merged(jobs.run_to_parquet(job, out)).select(
+            "window_start", "total_orders", "returned_orders", "total_revenue", "return_loss")
+        assert [tuple(r) for r in sorted(tuple(map(str, r)) for r in got.collect())] == [
+            (w, n, k, str(g), str(x)) for w, n, k, g, x in expected]
