@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from backhaul import Warehouse  # noqa: E402
-from backhaul import versions  # noqa: E402
+from backhaul import clustered, versions  # noqa: E402
 from backhaul.operators import (categories, cohorts, constraints, customers, dictionary,  # noqa: E402
                                 economics, fanout, impact, load, marts, pareto, products, quality,
                                 reasons, revenue, risk, trend)
@@ -146,6 +146,12 @@ def _versioned(w: Warehouse) -> DataFrame:
     return parts
 
 
+def _clustered_facts(w: Warehouse) -> DataFrame:
+    """The facts of a load into buckets, whose joins need no exchange."""
+    return clustered.load_clustered(w.staging, _folder(w, "clustered")).order_facts.filter(
+        "category IS NOT NULL")
+
+
 def _csv_warehouse(w: Warehouse) -> Warehouse:
     """Loaded from files: the staging rows as wide CSV in load order, with quotes and line breaks,
     and a record with an unreadable number after each row of quantity 13."""
@@ -299,6 +305,7 @@ OPERATORS: dict[str, Callable[[Warehouse], DataFrame]] = {
     "load_quarantine": _quarantine,
     "reload": _reloaded,
     "versioned_refresh": _versioned,
+    "clustered_facts": _clustered_facts,
     "staging_csv": lambda w: _csv_warehouse(w).staging.drop(INGEST_SEQ),
     "csv_dq_report": lambda w: quality.dq_report(_csv_warehouse(w)),
     "schema_report": lambda w: dictionary.schema_report({

@@ -854,6 +854,7 @@ def twins() -> dict[str, str]:
     sql["load_quarantine"] = t(f"""
       SELECT table_name, coalesce(broken, 'kept') AS rule, count(*) AS row_count
       FROM ({_enforced()}) GROUP BY ALL""")
+    sql["clustered_facts"] = sql["order_facts"]
     sql["csv_dq_report"] = _report(dq_malformed=_count_check(
         "dq_malformed", "malformed_record_count", "FROM stg WHERE quantity = 13"))
     sql["staging_csv"] = t(f"""SELECT * REPLACE (
