@@ -25,6 +25,16 @@ def test_alignment_against_the_plain_recurrence():
         assert s == plain_smith_waterman(a, b) == plain_smith_waterman(a, b[:e])
 
 
+def search(tests, corpus=()):
+    items = dc.Items.of(tests)
+    counts = np.zeros(len(items.distinct), np.int64)
+    for text in corpus:
+        words, offsets = dc.w.word_hashes([text])
+        _, pair = dc.Lookup(items.distinct).hits(dc.pairs_at(words, offsets)[0])
+        counts += np.bincount(pair, minlength=len(counts))
+    return dc.Search(items, counts, 0.5, 8)
+
+
 def items(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "item_id long, text string, id string")
 
@@ -117,8 +127,7 @@ def test_edited_copies_against_all_pairs():
         for share in (0.10, 0.15, 0.20, 0.25, 0.4):
             around = [f"v{rng.randrange(300)}" for _ in range(60)]
             texts.append(around[:30] + edited(rng, own, share) + around[30:])
-    found = dc.Search(dc.Items.of([" ".join(t) for t in tests]), 0.5, 8)(
-        [" ".join(t) for t in texts])
+    found = search([" ".join(t) for t in tests])([" ".join(t) for t in texts])
     expected = {}
     for i, text in enumerate(texts):
         for k in {i // 5, (i // 5 + 7) % 40}:
@@ -152,3 +161,73 @@ def test_long_passage_of_a_longer_item(spark, docs):
     assert [(r.doc_id, r.score, r.start, r.end) for r in got] == [(1, 0.45, 40, 130)]
     kept = dc.remove_contaminated(docs(rows), items(spark, [(1, " ".join(item))])).collect()
     assert [r.doc_id for r in kept] == [2]
+
+
+def test_pairs_are_counted_over_all_documents(docs):
+    tests = dc.Items.of(["a b c d", "c d e", None])
+    rows = [(1, "a b a b"), (2, "x a b c d"), (3, None), (4, "c d")]
+    counts = dc.pair_counts(docs(rows), tests)
+    words, offsets = dc.w.word_hashes(["a b", "c d", "a x b", "d e"])
+    _, pair = dc.Lookup(tests.distinct).hits(dc.pairs_at(words, offsets)[0])
+    found = dict(zip(pair.tolist(), counts[pair].tolist()))
+    # "a b" next to each other or with one word between
+    assert list(found.values())[:2] == [3, 2] and counts.sum() == sum(
+        len(dc.Lookup(tests.distinct).hits(dc.pairs_at(*dc.w.word_hashes([t]))[0])[0])
+        for _, t in rows)
+
+
+def zipf(rng, vocabulary=20_000):
+    """Words as frequent as one over their rank."""
+    p = 1 / np.arange(1, vocabulary + 1)
+    p /= p.sum()
+    return lambda n: [f"z{k}" for k in rng.choice(vocabulary, n, p=p)]
+
+
+def test_common_words_start_nothing_and_lose_nothing():
+    """Seeds leave the frequent pairs out, yet every edited copy that reaches the score is found,
+    whichever words were edited."""
+    prose = zipf(np.random.default_rng(5), 300)
+    sizes = np.random.default_rng(6).integers(15, 59, 150)
+    tests = [prose(int(n)) for n in sizes]
+    corpus = [" ".join(prose(400)) for _ in range(100)]
+    plain = random.Random(2)
+    for k, own in enumerate(tests):
+        corpus.append(" ".join(prose(60) + edited(plain, own, (0, 0.1, 0.2, 0.3)[k % 4])
+                               + prose(60)))
+    find = search([" ".join(t) for t in tests], corpus)
+    other = search([" ".join(t) for t in tests])
+    words, offsets = dc.w.word_hashes(corpus)
+    _, pair = find.lookup.hits(dc.pairs_at(words, offsets)[0])
+    # seeds chosen by corpus counts begin far fewer searches than others would
+    assert np.diff(find.seed_bounds)[pair].sum() < 0.7 * np.diff(other.seed_bounds)[pair].sum()
+    got = {(r[0], r[1]): r[4] for r in find(corpus)}
+    for i, own in enumerate(tests, 100):
+        score = plain_smith_waterman(own, corpus[i].split())
+        if score >= max(len(own), 2 * min(8, len(own))):
+            assert got[i, i - 100] == score / (2 * len(own))
+    assert len(got) >= 100
+
+
+def test_cost_of_a_larger_benchmark():
+    """Fifty times the items cost far less than fifty times the time."""
+    import time
+
+    prose = zipf(np.random.default_rng(8))
+    corpus = [" ".join(prose(400)) for _ in range(100)]
+    took = {}
+    for n in (600, 30_000):
+        find = search([" ".join(prose(40)) for _ in range(n)], corpus)
+        find(corpus)
+        start = time.process_time()
+        for _ in range(3):
+            find(corpus)
+        took[n] = time.process_time() - start
+    assert took[30_000] < 25 * took[600], took
+
+
+def test_one_long_text_of_common_words():
+    prose = zipf(np.random.default_rng(4))
+    text = prose(100_000)
+    tests = [" ".join(prose(40)) for _ in range(6000)] + [" ".join(text[50_000:50_040])]
+    got = search(tests, [" ".join(text)])([" ".join(text)])
+    assert any(r[1] == 6000 and r[2] <= 50_000 and r[3] >= 50_040 for r in got)
