@@ -9,8 +9,8 @@ if most of its words stand in licence lines.
 A second step reads the files that so far have no licence: their words without regard to line
 ends and comment marks, against the notices, SPDX lines, headers and licence files of
 ``license_texts``. Where a wording's phrase stands, as many words around it as the wording has are
-compared with it, so other words of the line or the file do not count. Of equal cosines the longer
-wording decides. ``duckdb_sql`` states the first step and the inheritance only.
+compared with it by TF-IDF cosine, so other words of the line or the file do not count. Of equal
+cosines the longer wording decides. ``duckdb_sql`` states both steps and the inheritance.
 
 A file without a licence of its own takes that of
 the nearest directory above it that has a licence file.
@@ -135,12 +135,14 @@ def wording_terms(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
             # the words before the phrase
             .withColumn("before", F.size(terms(F.expr(
                 "substring_index(plain, concat(' ', phrase, ' '), 1)"))))
-            .withColumn("n", F.size("words")).withColumn("words", F.array_distinct("words")))
+            .withColumn("n", F.size("words")).withColumnRenamed("words", "bag")
+            .withColumn("words", F.array_distinct("bag")))
     n = float(len(given))
     idf = (rows.select(F.explode("words").alias("term")).groupBy("term")
            .agg((F.log((1 + n) / (1 + F.count("*"))) + 1).alias("idf"))
            .agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf")))
-    return rows.select("license", "phrase", "phrases", "before", "n", "words", "only_file"), idf
+    return rows.select("license", "phrase", "phrases", "before", "n", "bag", "words",
+                       "only_file"), idf
 
 
 def best_wording(files: DataFrame, given: DataFrame, idf: DataFrame, threshold: float,
@@ -163,18 +165,23 @@ def best_wording(files: DataFrame, given: DataFrame, idf: DataFrame, threshold:
     weight = "coalesce(idf[x], log({n} + 1D) + 1)"
     unknown = weight.format(n=float(len(wordings())))
 
-    def squares(words: str) -> str:
-        return f"aggregate({words}, 0D, (s, x) -> s + {unknown} * {unknown})"
+    def count(bag: str) -> str:
+        return f"size(filter({bag}, y -> y = x))"
+
+    def product(words: str, a: str, b: str) -> str:
+        """Sum over words of the weights, counts times idf, in two bags."""
+        return (f"aggregate({words}, 0D, (s, x) -> s + {count(a)} * {count(b)} * {unknown} "
+                f"* {unknown})")
 
     scored = (here.join(F.broadcast(given), "phrase").crossJoin(F.broadcast(idf))
               .withColumn("cut", F.expr("slice(around, greatest(lead - before, 0) + 1, "
                                         "n - greatest(before - lead, 0))"))
               .withColumn("text", F.concat(F.lit(" "), F.array_join("cut", " "), F.lit(" ")))
               .filter("forall(phrases, p -> contains(text, concat(' ', p, ' ')))")
-              .withColumn("cut", F.array_distinct("cut"))
+              .withColumn("seen", F.array_distinct("cut"))
               .withColumn("score", F.expr(
-                  f"round({squares('array_intersect(cut, words)')} / "
-                  f"sqrt({squares('cut')} * {squares('words')}), 6)"))
+                  f"round({product('array_intersect(seen, words)', 'cut', 'bag')} / "
+                  f"sqrt({product('seen', 'cut', 'cut')} * {product('words', 'bag', 'bag')}), 6)"))
               .filter(F.col("score") >= threshold))
     best = scored.groupBy("file").agg(
         F.min(F.struct((-F.col("score")).alias("rank"), (-F.col("n")).alias("shorter"), "license",
@@ -292,6 +299,60 @@ def duckdb_sql(documents: str, path_sql: str, threshold: float = 0.75, file_shar
                               FROM {units}) t LEFT JOIN idf i USING (term) GROUP BY ALL)) k
                 JOIN weights USING (term) GROUP BY ALL)) WHERE place = 1)"""
 
+    rows = ", ".join("({}, '{}', '{}', '{}', {})".format(
+        i, name, text.replace("'", "''"), "|".join(phrases), only)
+        for i, (name, phrases, text, only) in enumerate(wordings()))
+    more = " OR ".join(f"contains(lower(text), '{c}')".replace("'as-is'", "''as-is''")
+                       for c in CUES + MORE_CUES)
+    unknown = f"(ln({float(len(wordings()))} + 1) + 1)"
+    second = f"""given AS (
+      SELECT w, license, phrases[1] AS phrase, phrases, bag, len(bag) AS n, only_file,
+             len(regexp_extract_all(split_part(' ' || array_to_string(bag, ' ') || ' ',
+                                               ' ' || phrases[1] || ' ', 1), '[a-z0-9]+')) AS before
+      FROM (SELECT w, license, string_split(phrases, '|') AS phrases, only_file,
+                   regexp_extract_all(lower(text), '[a-z0-9]+') AS bag
+            FROM (VALUES {rows}) v(w, license, text, phrases, only_file))),
+    bags AS (SELECT w, term, count(*) AS tf FROM (SELECT w, unnest(bag) AS term FROM given)
+             GROUP BY ALL),
+    rarity AS (SELECT term, ln((1 + (SELECT count(*) FROM given)::DOUBLE) / (1 + count(*))) + 1 AS idf
+               FROM bags GROUP BY term),
+    wide AS (SELECT max(before) AS most_before, max(n) AS most FROM given),
+    silent AS (SELECT doc_id, path, own, len(own) AS total,
+                      ' ' || array_to_string(own, ' ') || ' ' AS plain
+               FROM (SELECT doc_id, path, regexp_extract_all(lower(text), '[a-z0-9]+') AS own
+                     FROM files WHERE {more})
+               WHERE doc_id NOT IN (SELECT doc_id FROM judged)),
+    places AS (SELECT doc_id, path, own, total, w, license, phrases, n, before, only_file,
+                      unnest(list_filter(range(1, total + 1), lambda i:
+                             own[i:i + len(string_split(phrase, ' ')) - 1]
+                               = string_split(phrase, ' '))) AS i
+               FROM silent JOIN given ON contains(plain, ' ' || phrase || ' ')),
+    cuts AS (SELECT *, row_number() OVER () AS c,
+                    own[first:least(first + n - greatest(before - lead, 0) - 1,
+                                    base + most_before + most - 1)] AS cut
+             FROM (SELECT *, base + greatest(lead - before, 0) AS first
+                   FROM (SELECT *, greatest(i - most_before, 1) AS base,
+                                least(i - 1, most_before) AS lead FROM places, wide))),
+    fits AS (SELECT * FROM cuts WHERE len(list_filter(phrases, lambda p: NOT contains(
+               ' ' || array_to_string(cut, ' ') || ' ', ' ' || p || ' '))) = 0),
+    cut_bags AS (SELECT c, w, term, count(*) AS tf
+                 FROM (SELECT c, w, unnest(cut) AS term FROM fits) GROUP BY ALL),
+    cosines AS (
+      SELECT a.c, round(sum(a.tf * coalesce(b.tf, 0) * coalesce(idf, {unknown}) ** 2)
+                        / sqrt(sum((a.tf * coalesce(idf, {unknown})) ** 2)
+                               * any_value(m.square)), 6) AS score
+      FROM cut_bags a LEFT JOIN bags b ON b.w = a.w AND b.term = a.term
+      LEFT JOIN rarity r ON r.term = a.term
+      JOIN (SELECT w, sum((tf * idf) ** 2) AS square FROM bags JOIN rarity USING (term)
+            GROUP BY w) m ON m.w = a.w
+      GROUP BY a.c),
+    worded AS (
+      SELECT doc_id, path, license, score,
+             bool_or(only_file OR n >= {file_share} * total) OVER (PARTITION BY doc_id)
+               OR coalesce(regexp_matches(lower(path), '{name}'), false) AS is_file
+      FROM fits JOIN cosines USING (c) WHERE score >= {threshold}
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, n DESC, license) = 1),"""
+
     return f"""
     WITH tpl(template, license, text) AS (VALUES {values}),
     tf AS (SELECT template, license, term, count(*) AS tf FROM (
@@ -313,7 +374,7 @@ def duckdb_sql(documents: str, path_sql: str, threshold: float = 0.75, file_shar
                   SELECT doc_id, line, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n
                   FROM lines) USING (doc_id, line)
                 WHERE score >= {threshold} GROUP BY doc_id),
-    own AS (SELECT s.doc_id, s.path,
+    judged AS (SELECT s.doc_id, s.path,
                    CASE WHEN w.score >= {threshold} THEN w.license ELSE h.license END AS license,
                    CASE WHEN w.score >= {threshold} THEN w.score ELSE h.score END AS score,
                    coalesce(w.score >= {threshold}, false)
@@ -322,6 +383,8 @@ def duckdb_sql(documents: str, path_sql: str, threshold: float = 0.75, file_shar
             FROM speaking s LEFT JOIN {best("speaking", "doc_id")} w ON w.doc_id = s.doc_id
             LEFT JOIN headers h ON h.doc_id = s.doc_id
             WHERE CASE WHEN w.score >= {threshold} THEN w.license ELSE h.license END IS NOT NULL),
+    {second}
+    own AS (FROM judged UNION ALL FROM worded),
     granting AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS up,
                         arg_min(license, (-score, license)) AS license, max(score) AS score
                  FROM own WHERE is_file GROUP BY 1),

@@ -2,9 +2,10 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 
-
 from backhaul.llm import licenses
 
 SCHEMA = (
@@ -142,5 +143,15 @@ def test_ordinary_headers_files_and_spdx_lines(spark):
         "GNU General Public License, said she, is a long name" + code: (None, None),
     }
     rows = [(i, f"d{i}/LICENSE" if t == MIT else f"d{i}/x.txt", t) for i, t in enumerate(wanted)]
-    got = {r.doc_id: (r.license, r.origin) for r in run(spark, rows)}
+    found = run(spark, rows)
+    got = {r.doc_id: (r.license, r.origin) for r in found}
     assert [got[i] for i in range(len(rows))] == list(wanted.values())
+    # the second step decides most of these; its SQL says the same, to the score
+    texts = pd.DataFrame(rows, columns=["doc_id", "path", "text"])
+    db = duckdb.connect()
+    db.register("texts", texts)
+    sql = db.execute(licenses.duckdb_sql("texts", "path")).fetchall()
+    columns = [c[0] for c in db.description]
+    assert sorted(tuple(r[c] for c in columns) for r in found) == sorted(sql)
+    first_step = [r for r in run(spark, rows, templates=licenses.TEMPLATES) if r.license]
+    assert len(first_step) < len([r for r in found if r.license])
