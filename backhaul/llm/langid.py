@@ -7,7 +7,8 @@ a product with the landmarks' presence vectors, those are multiplied with A once
 scored by products of their presence matrix with the result, batch by batch.
 
 Texts without a letter, and null ones, get ``und`` with score 0, as does everything without any
-training row. Ties go to the alphabetically first language.
+training row. Ties go to the alphabetically first language. Rows that repeat are predicted each.
+Texts of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ the nearest directory above it that has a licence file.
 
 The best cosine decides, ties go to the alphabetically first licence. Null or empty texts have no
 licence of their own, null paths inherit nothing. Null ids are carried along. Rows that repeat an
-id, path and text are judged each, with the same result.
+id, path and text are judged each, with the same result. Texts of any length are read whole. An empty
+table gives no rows.
 """
 
 from __future__ import annotations

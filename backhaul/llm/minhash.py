@@ -13,7 +13,8 @@ similarities and only a spanning forest is returned. So the components are those
 pairs, but a large group of copies mostly costs a few comparisons each.
 
 Texts without a word, null texts and null ids link with nothing. Rows that repeat an id and a text
-count as one document.
+count as one document. Of a component the smallest id stays; leaders are chosen by a hash, ties of it
+by key. Texts of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ a wanted grade, by which texts are selected.
 Features: words present; symbols by how densely they occur; and steps of length, word variety,
 line variety, capitals and digits. Grades are the distinct rating values in order, whatever
 their number. Null texts count as empty. Without two grades to tell apart, every text gets the
-only grade, or null.
+only grade, or null. Rows that repeat are scored each, of several ratings for one id the largest
+holds; equal scores need no order. Texts of any length are read whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

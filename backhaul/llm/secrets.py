@@ -9,7 +9,9 @@ chain of names the literals themselves are reported, where they were written; a
 nothing is known adds nothing.
 
 Spans count code points, the end is exclusive. A null text is scanned as an empty one. Ids are
-only carried along: null and repeated ids give a row each.
+only carried along: null and repeated ids give a row each. Spans that start together are listed in
+the order of their kinds. Texts of any length are read whole, in time and memory that grow with them.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ No piece has the space mark after another character, so a best path always passe
 each run of space marks: texts are cut there, and short parts are remembered.
 
 Encoding loses nothing: a space mark that stands in the text itself becomes byte pieces. A null
-text gives null, an empty one no pieces.
+text gives null, an empty one no pieces. Rows that repeat are encoded each. A text of any length is
+encoded whole, in memory that grows with it. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,6 +7,9 @@ the model is small enough to broadcast whatever the corpus size. Buckets that fe
 ``min_rows`` training rows hold are left out. Only the text enters a score.
 
 A null text scores as an empty one, by the bias alone. Without any training row the scores are 0.
+Rows that repeat are scored each; of several labels for one id the largest holds. Ties of the order in
+which rows are fitted are broken by their sizes and labels. Texts of any length are read whole. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -61,8 +64,11 @@ def distinct(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, s: Settings) -> tuple[np.ndarray, float]:
     """Weights and bias after ``s.epochs`` passes over ``rows`` in the given order."""
-    held = np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=1 << BITS)
-    rows = [index[held[index] >= s.min_rows] for index in rows]
+    held = np.zeros(1 << BITS, np.int32)
+    for index in rows:
+        held[index] += 1  # the buckets of a row are distinct
+    for i, index in enumerate(rows):
+        rows[i] = index[held[index] >= s.min_rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
 
@@ -107,10 +113,10 @@ def train(documents: DataFrame, labels: DataFrame, label: str = "toxic",
         weights, bias = np.zeros(0), -40.0
         if table is not None:
             ids = table.column("id").to_pylist()
-            lists = table.column("buckets").combine_chunks()
-            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             y = table.column("label").to_numpy().astype(float)
-            rows = [flat[ends[i]:ends[i + 1]] for i in range(len(ids))]
+            # views of the batches, which are not copied together
+            rows = [chunk.values.to_numpy()[a:b] for chunk in table.column("buckets").chunks
+                    for ends in [chunk.offsets.to_numpy()] for a, b in zip(ends[:-1], ends[1:])]
             order = sorted(range(len(ids)),
                            key=lambda i: (int(w.mix(np.uint64([hash_id(ids[i])]))[0]), len(rows[i]),
                                           y[i]))

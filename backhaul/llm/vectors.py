@@ -9,7 +9,7 @@ and a spanning forest, never pairs, and connected components follow from the for
 
 Vectors that are null, empty, zero or have null or non-finite components link with nothing, nor
 do rows with a null id; vectors of different lengths never link. Rows that repeat are vectors of
-their own.
+their own. Of equal ids that could name a component the smallest does. An empty table gives no rows.
 """
 
 from __future__ import annotations
