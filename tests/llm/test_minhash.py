@@ -1,6 +1,5 @@
 import random
 import re
-from collections import Counter
 
 import numpy as np
 import pytest

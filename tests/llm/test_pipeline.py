@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline as cp
-from backhaul.llm import decontaminate, minhash, secrets, sentencepiece, toxicity
+from backhaul.llm import minhash, secrets, sentencepiece, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
