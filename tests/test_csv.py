@@ -93,3 +93,13 @@ def test_a_wrong_header_is_an_error(spark, tmp_path):
     write(tmp_path, "a.csv", ["A,1,x"], header="order_id,cost,note")
     with pytest.raises(Exception, match="header"):
         staging.read_csv(spark, str(tmp_path), SCHEMA, multi_line=True).collect()
+
+
+def test_lines_are_put_together_in_one_pass(spark, tmp_path):
+    """No split begins or ends inside a field, so nothing is read for pieces or headers again."""
+    rows, expected = notes(200, 3)
+    write(tmp_path, "a.csv", rows)
+    frame = staging.read_csv(spark, str(tmp_path), SCHEMA, multi_line=True)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert [(r["order_id"], r["note"]) for r in frame.orderBy(INGEST_SEQ).collect()] == expected
