@@ -258,3 +258,23 @@ def test_chain_of_raw_rows_equals_the_batch_for_any_cut(spark, make, tmp_path):
             "window_start", "total_orders", "returned_orders", "total_revenue", "return_loss")
         assert [tuple(r) for r in sorted(tuple(map(str, r)) for r in got.collect())] == [
             (w, n, k, str(g), str(x)) for w, n, k, g, x in expected]
+
+
+def test_state_partitions_follow_the_stored_bytes(spark, make, tmp_path, monkeypatch):
+    """200 partitions of the session are 200 stores to commit in each batch of a tiny stream."""
+    facts = make.facts(*[dict(order_id=f"O{i}", order_date=f"2023-0{1 + i % 6}-02")
+                         for i in range(30)])
+    jobs.store_arrivals(facts, F.col("order_date"), str(tmp_path))
+    old = spark.conf.get(jobs.PARTITIONS)
+    spark.conf.set(jobs.PARTITIONS, "200")
+    try:
+        few = jobs.state_partitions(spark, str(tmp_path))
+        kpi = jobs.loss_kpi(jobs.read_files(spark, f"{tmp_path}/arrivals/*", facts.schema))
+        jobs.run_to_parquet(kpi, str(tmp_path / "out"), partitions=few)
+        assert spark.conf.get(jobs.PARTITIONS) == "200"
+        monkeypatch.setattr(jobs, "BYTES_PER_PARTITION", 10)
+        many = jobs.state_partitions(spark, str(tmp_path))
+    finally:
+        spark.conf.set(jobs.PARTITIONS, old)
+    stores = [p for p in (tmp_path / "out/checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert few == len(stores) == spark.sparkContext.defaultParallelism and many > 200
