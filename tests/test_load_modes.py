@@ -64,3 +64,24 @@ def test_orders_without_a_date_keep_their_risk_row(make, collect):
                        dict(order_id="b", customer_id="C", order_date=None))
     rows = collect(risk.order_risk_score(risk.order_risk_features(facts)), "order_id")
     assert set(rows) == {"a", "b"} and rows["b"]["risk_score"] is None
+
+
+def test_stored_facts_look_up_contested_products_only(make, tmp_path):
+    """The category of an order is that of its product, also where its own row names another."""
+    rows = make.staging(
+        dict(order_id="a", product_id="P1", category="Toys", ingest_seq=1),
+        dict(order_id="b", product_id="P1", category="Home", ingest_seq=2),
+        dict(order_id="c", product_id="P1", category="Home", ingest_seq=3),
+        dict(order_id="d", product_id="P2", category=None, ingest_seq=4),
+        dict(order_id="e", product_id="P2", category="Books", ingest_seq=5),
+        dict(order_id="f", product_id="P3", category=None, ingest_seq=6),
+        dict(order_id="g", product_id=None, category="Home", ingest_seq=7),
+        dict(order_id="h", product_id="P4", category="Garden", ingest_seq=8))
+    w = Warehouse.load(rows, str(tmp_path))
+    stored = make.spark.read.parquet(f"{tmp_path}/products")
+    assert {r["product_id"] for r in stored.filter("contested").collect()} == {"P1", "P2"}
+    assert "contested" not in w.products.columns
+    derived = Warehouse.from_staging(rows).order_facts
+    for facts in (w.order_facts, derived):
+        assert {r["order_id"]: r["category"] for r in facts.collect()} == dict(
+            a="Home", b="Home", c="Home", d="Books", e="Books", f=None, g=None, h="Garden")
