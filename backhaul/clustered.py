@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backhaul.operators import facts as f
 from backhaul.operators import load
+from backhaul.plans.shared import store_table
 from backhaul.schemas import ORDERS, RETURNS
 from backhaul.warehouse import Warehouse
 
@@ -22,18 +23,6 @@ from backhaul.warehouse import Warehouse
 ROWS_PER_BUCKET = 2_000_000
 
 
-def store_table(rows: DataFrame, path: str, keys: list[str], buckets: int) -> DataFrame:
-    """``rows`` under ``path`` in sorted buckets of ``keys``, read back.
-
-    Rows are dealt by the same hash before they are written, so a bucket is one file. The columns
-    that follow the keys do not matter to it; a key with many rows makes one large file.
-    """
-    name = f"backhaul_{uuid4().hex}"
-    (rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
-     .format("parquet").option("path", path).mode("overwrite").saveAsTable(name))
-    return rows.sparkSession.table(name)
-
-
 def open_table(spark: SparkSession, path: str, keys: list[str], buckets: int) -> DataFrame:
     """A table that another session stored with the same keys and number of buckets."""
     name, clustered = f"backhaul_{uuid4().hex}", ", ".join(f"`{k}`" for k in keys)

@@ -1,10 +1,11 @@
 """Staging to customers, products, orders and returns."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from backhaul.schemas import CUSTOMERS, INGEST_SEQ, ORDERS, PRODUCTS, RETURNS, conform
+from backhaul.schemas import (CUSTOMERS, INGEST_SEQ, ORDER_GROUP, ORDERS, PRODUCTS, RETURNS,
+                              conform)
 
 DATE_FORMAT = "d/M/yyyy"
 RETURNED = "Yes"
@@ -23,12 +24,20 @@ def first_per_order(rows: DataFrame) -> DataFrame:
     The rank filter lets Spark drop all but one row per order and task before the shuffle,
     so an order id repeated any number of times stays cheap.
     """
-    load_order = Window.partitionBy("order_id").orderBy(INGEST_SEQ)
-    return (rows.withColumn("_copy", F.row_number().over(load_order))
+    return (rows.withColumn("_copy", F.row_number().over(_load_order(rows)))
             .filter(F.col("_copy") == 1)
             .drop("_copy"))
 
 
+def _grouped_by(rows: DataFrame) -> list[str]:
+    return [ORDER_GROUP] if ORDER_GROUP in rows.columns else []
+
+
+def _load_order(rows: DataFrame) -> WindowSpec:
+    """The rows of an order; those of a grouped staging table are together, so nothing moves."""
+    return Window.partitionBy(*_grouped_by(rows), "order_id").orderBy(INGEST_SEQ)
+
+
 def customers_dim(staging: DataFrame) -> DataFrame:
     """One row per customer; the largest value wins where copies disagree."""
     rows = (staging.groupBy("customer_id")
@@ -85,7 +94,7 @@ def category_conflicts(staging: DataFrame) -> DataFrame:
 
 def orders_dedup(staging: DataFrame) -> DataFrame:
     """Staging rows that survive deduplication, dates still as text."""
-    return first_per_order(staging)
+    return first_per_order(staging).drop(ORDER_GROUP)
 
 
 def orders_clean(staging: DataFrame) -> DataFrame:
@@ -99,11 +108,37 @@ def orders_with_own_category(staging: DataFrame) -> DataFrame:
 
 
 def _first_orders(staging: DataFrame, *more: str) -> DataFrame:
+    return first_per_order(_order_rows(staging, *more))
+
+
+def _order_rows(staging: DataFrame, *more: str) -> DataFrame:
     # dates are shorter to move than their texts
     dates = {c: parse_date(c) for c in ("order_date", "delivered_date")}
-    return first_per_order(staging.select(
+    return staging.select(
         *[dates[f.name].alias(f.name) if f.name in dates else f.name for f in ORDERS], *more,
-        INGEST_SEQ))
+        *_grouped_by(staging), INGEST_SEQ)
+
+
+def orders_with_return(staging: DataFrame) -> DataFrame:
+    """``facts.order_returns`` of ``orders_with_own_category`` with ``returns_clean``, in one pass.
+
+    All rows of an order meet in its window, so this is for grouped staging, where they are
+    together without a shuffle.
+    """
+    order = _load_order(staging)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a join would not match an order without id
+    confirmed = F.when((F.col("returned") == RETURNED) & F.col("order_id").isNotNull(),
+                       F.struct("request_date", "return_reason"))
+    rows = (_order_rows(staging, "category", "returned", "request_date", "return_reason")
+            .withColumn("_return", F.first(confirmed, ignorenulls=True).over(whole))
+            .withColumn("_copy", F.row_number().over(order))
+            .filter(F.col("_copy") == 1))
+    orders = [rows[f.name].cast(f.dataType).alias(f.name) for f in ORDERS]
+    day = F.try_to_date(F.col("_return.request_date"), DATE_FORMAT)
+    return rows.select(*orders, "category", day.alias("request_date"),
+                       F.col("_return.return_reason").alias("return_reason"),
+                       F.col("_return").isNotNull().alias("returned"))
 
 
 def returns_clean(staging: DataFrame) -> DataFrame:
@@ -115,7 +150,7 @@ def returns_clean(staging: DataFrame) -> DataFrame:
     not collide.
     """
     rows = (staging.filter(F.col("returned") == RETURNED)
-            .select("order_id", "request_date", "return_reason", INGEST_SEQ))
+            .select("order_id", "request_date", "return_reason", *_grouped_by(staging), INGEST_SEQ))
     rows = (first_per_order(rows)
             .withColumn("request_date", parse_date("request_date"))
             .withColumn("return_id", F.md5("order_id")))

@@ -31,6 +31,10 @@ STAGING = T.StructType([
 # The load order of staging rows: any orderable type, unique within an order_id.
 INGEST_SEQ = "ingest_seq"
 
+# Staging may carry this: a function of the order id by which its rows are dealt, so that copies of
+# an order are together already.
+ORDER_GROUP = "order_group"
+
 CUSTOMERS = T.StructType([
     T.StructField("customer_id", T.StringType(), False),
     T.StructField("customer_age", T.IntegerType()),

@@ -9,14 +9,26 @@ runtime sizes; nothing is hinted.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from backhaul.schemas import INGEST_SEQ, MONEY
+from backhaul.schemas import INGEST_SEQ, MONEY, ORDER_GROUP
 
 # Reason per supplier remainder; the last one is outside the known reasons.
 REASONS = ("Defective", "Not as described", "Missing/Wrong item", "No longer needed",
            "Slow delivery", "Other")
 
 
-def read_staging(spark: SparkSession, directory: str) -> DataFrame:
+#: Lines that one group of orders should hold.
+LINES_PER_GROUP = 500_000
+
+
+def group_count(spark: SparkSession, directory: str) -> int:
+    """Groups to deal the staging rows into: one per task at least; lines are counted from footers."""
+    lines = spark.read.parquet(f"{directory}/lineitem.parquet").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // LINES_PER_GROUP))
+
+
+def read_staging(spark: SparkSession, directory: str, groups: int | None = None) -> DataFrame:
+    """One row per order line; with ``groups``, dealt into so many by order, which is named in
+    ``ORDER_GROUP``."""
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -29,10 +41,12 @@ def read_staging(spark: SparkSession, directory: str) -> DataFrame:
     # orders get their buyer while they are short; the lines, the widest rows, are moved for parts
     # (unless those are few) and for orders, last, which brings copies of an order id together
     placed = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = (table("lineitem")
-             .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-             .join(placed, F.col("l_orderkey") == F.col("o_orderkey")))
-    return lines.select(*_staging_columns())
+    lines = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+    if groups:
+        lines = lines.repartition(groups, "l_orderkey")
+    rows = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(*_staging_columns(),
+                       *([F.col("l_orderkey").alias(ORDER_GROUP)] if groups else []))
 
 
 def _staging_columns() -> list[Column]:

@@ -11,7 +11,8 @@ from backhaul.functions import metrics as m
 from backhaul.operators import constraints
 from backhaul.operators import facts as f
 from backhaul.operators import load
-from backhaul.schemas import ORDERS, PRODUCTS, RETURNS
+from backhaul.plans.shared import store_table
+from backhaul.schemas import ORDER_GROUP, ORDERS, PRODUCTS, RETURNS
 from backhaul.sources import staging as source
 
 #: Contested products (a key and a category each) that are sent to every task of the orders.
@@ -23,7 +24,8 @@ class Warehouse:
     """``order_returns`` is orders with the return attached, ``order_facts`` adds the category.
 
     ``path`` is where the tables are stored, if they are; ``malformed`` the records of the source
-    files that could not be read, if the tables come from files.
+    files that could not be read, if the tables come from files. ``grouped`` is ``staging`` in
+    ``groups`` buckets of its ``ORDER_GROUP``, if it was loaded so.
     """
 
     staging: DataFrame
@@ -35,6 +37,8 @@ class Warehouse:
     order_facts: DataFrame
     path: str | None = None
     malformed: DataFrame | None = None
+    grouped: DataFrame | None = None
+    groups: int | None = None
 
     @classmethod
     def from_tables(cls, staging: DataFrame, customers: DataFrame, products: DataFrame,
@@ -50,7 +54,8 @@ class Warehouse:
                                load.orders_clean(staging), load.returns_clean(staging))
 
     @classmethod
-    def load(cls, staging: DataFrame, path: str, mode: str = "audit") -> Warehouse:
+    def load(cls, staging: DataFrame, path: str, mode: str = "audit", groups: int | None = None
+             ) -> Warehouse:
         """Full refresh: clean ``staging``, replace the tables under ``path``, read them.
 
         ``mode`` says what becomes of rows that break a constraint: "audit" keeps them for the
@@ -60,6 +65,9 @@ class Warehouse:
         Orders are stored with return and category attached and by order month, so the
         analyses scan one table, filters on dates skip months, and the plain ``orders`` are a
         choice of its columns.
+
+        Staging that carries ``ORDER_GROUP``, dealt into ``groups`` by it, is stored in buckets of
+        the groups. Copies of an order are not moved again then.
         """
         if mode not in ("audit", "quarantine", "fail"):
             raise ValueError(f"unknown mode {mode!r}")
@@ -69,7 +77,10 @@ class Warehouse:
             rows.write.mode("overwrite").parquet(f"{path}/{name}")
             return spark.read.parquet(f"{path}/{name}")
 
-        staging = store("staging", staging)
+        if groups:
+            staging = store_table(staging, f"{path}/staging", [ORDER_GROUP], groups)
+        else:
+            staging = store("staging", staging)
         cleaned = {"customers": load.customers_dim(staging),
                    "products": load.products_dim(staging),
                    "returns": load.returns_clean(staging)}
@@ -79,8 +90,9 @@ class Warehouse:
             contested = kept["products"].filter(load.CONTESTED)
             if contested.count() <= MOST_CONTESTED:
                 contested = F.broadcast(contested)
-            facts = f.with_modal_category(
-                f.order_returns(load.orders_with_own_category(staging), kept["returns"]), contested)
+            returned = (load.orders_with_return(staging) if groups else f.order_returns(
+                load.orders_with_own_category(staging), kept["returns"]))
+            facts = f.with_modal_category(returned, contested)
         else:
             orders = load.orders_clean(staging)
             raw = {name: store(f"cleaned/{name}", rows) for name, rows in
@@ -97,7 +109,8 @@ class Warehouse:
         (facts.withColumn("order_month", m.month_key("order_date"))
          .hint("rebalance", "order_month")
          .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/order_facts"))
-        return cls.read(spark, path)
+        loaded = cls.read(spark, path)
+        return replace(loaded, grouped=staging, groups=groups) if groups else loaded
 
     @classmethod
     def load_csv(cls, spark: SparkSession, files: str, path: str, mode: str = "audit",
@@ -119,7 +132,7 @@ class Warehouse:
 
         # the month is text like the keys; it prunes and is no column of the facts
         facts = table("order_facts").drop("order_month")
-        return cls(table("staging"), table("customers"),
+        return cls(table("staging").drop(ORDER_GROUP), table("customers"),
                    table("products").select(*PRODUCTS.names),
                    facts.select(*ORDERS.names), table("returns").select(*RETURNS.names),
                    facts.drop("category"), facts, path)

@@ -2,9 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from backhaul import Warehouse
-from backhaul.operators import marts, revenue
+from backhaul.operators import facts, load, marts, revenue
 from backhaul.operators.facts import with_category
 from backhaul.plans.shared import shared_folder
+from backhaul.schemas import ORDER_GROUP
 from backhaul.sources import star
 from conftest import DATA
 
@@ -97,3 +98,51 @@ def test_shared_folder_follows_the_session():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(_Conf(**{"spark.master": "yarn"}), "a")
     assert shared_folder(_Conf(**{"spark.master": "local[2]"}), "a")
+
+
+@pytest.fixture(scope="module")
+def grouped(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("grouped"))
+    return Warehouse.load(star.read_staging(spark, DATA, 4), path, groups=4)
+
+
+def test_grouped_load_equals_plain_load(loaded, grouped):
+    for name in ("staging", "customers", "products", "orders", "returns", "order_facts"):
+        ours, theirs = getattr(grouped, name), getattr(loaded, name)
+        assert ours.schema.names == theirs.schema.names
+        assert ours.exceptAll(theirs).count() == 0 and theirs.exceptAll(ours).count() == 0
+
+
+def test_copies_of_a_grouped_order_are_not_moved(grouped):
+    def exchanges(rows):
+        rows.collect()
+        return rows._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(load.orders_dedup(grouped.grouped)) == 0
+    assert exchanges(load.returns_clean(grouped.grouped)) == 0
+    assert exchanges(load.orders_with_return(grouped.grouped)) == 0
+    assert exchanges(load.orders_dedup(grouped.staging)) > 0
+
+
+def test_grouped_staging_is_dealt_once(spark):
+    plan = star.read_staging(spark, DATA, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_orderkey") == 1
+
+
+def test_order_with_return_in_one_pass_equals_the_join(make):
+    rows = make.staging(
+        dict(order_id="1-1", ingest_seq=1, returned="No", request_date="1/1/2023"),
+        dict(order_id="1-1", ingest_seq=3, returned="Yes", request_date="3/1/2023",
+             return_reason=None, category="Toys"),
+        dict(order_id="1-1", ingest_seq=2, returned="Yes", request_date="31/2/2023",
+             return_reason="Defective"),
+        dict(order_id="1-2", ingest_seq=1, returned=None),
+        dict(order_id="2-1", ingest_seq=2, returned="Yes", request_date=None, return_reason=None),
+        dict(order_id="2-1", ingest_seq=1, returned="No", category=None),
+        dict(order_id=None, ingest_seq=1, returned="Yes", request_date="5/1/2023"),
+        dict(order_id="3-1", ingest_seq=1, returned="yes"))
+    dealt = rows.withColumn(ORDER_GROUP, F.substring_index("order_id", "-", 1).cast("long"))
+    joined = facts.order_returns(load.orders_with_own_category(rows), load.returns_clean(rows))
+    ours = load.orders_with_return(dealt).select(*joined.columns)
+    assert ours.exceptAll(joined).count() == 0 and joined.exceptAll(ours).count() == 0
+    assert load.orders_dedup(dealt).columns == rows.columns
