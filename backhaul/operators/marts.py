@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 from backhaul.functions import metrics as m
 from backhaul.operators import (categories, cohorts, customers, economics, impact, pareto,
                                 products, reasons, revenue, trend)
+from backhaul.plans.shared import stored
 from backhaul.warehouse import Warehouse
 
 
-def result_tables(w: Warehouse, segmented: DataFrame) -> dict[str, dict[str, DataFrame]]:
-    """Results by page; ``segmented`` is the stored customer impact that others build on."""
+def result_tables(w: Warehouse, segmented: DataFrame, sold: DataFrame
+                  ) -> dict[str, dict[str, DataFrame]]:
+    """Results by page; ``segmented`` is the stored customer impact and ``sold`` the stored product
+    summary that others build on."""
     return {
         "revenue": {
             "net_revenue": revenue.net_revenue(w.order_returns),
@@ -24,9 +27,9 @@ def result_tables(w: Warehouse, segmented: DataFrame) -> dict[str, dict[str, Dat
             "cohort_retention": cohorts.cohort_retention(w.orders),
         },
         "products": {
-            "product_return_risk": products.product_return_risk(w.order_facts),
-            "product_leakage_rank": products.product_leakage_rank(w.order_facts),
-            "pareto_loss": pareto.pareto_loss(w.order_facts),
+            "product_return_risk": products.risk_of(sold),
+            "product_leakage_rank": products.leakage_of(sold),
+            "pareto_loss": pareto.pareto_of(sold),
         },
         "categories": {
             "category_summary": categories.category_summary(w.order_facts),
@@ -39,19 +42,22 @@ def result_tables(w: Warehouse, segmented: DataFrame) -> dict[str, dict[str, Dat
 def write_marts(w: Warehouse, path: str) -> None:
     """Writes the normalised tables and the result tables as Parquet, replacing old ones.
 
-    Orders are stored by month. The rebalance hint gathers a month's rows in as few files as
-    their size needs and splits a month that is too large for one.
+    Orders are stored by month. The facts of a stored warehouse are by month already, so a task has
+    few months. Else the rebalance hint gathers a month's rows in as few files as their size needs
+    and splits a month that is too large for one.
     """
     for name, rows in {"customers": w.customers, "products": w.products,
                        "returns": w.returns}.items():
         rows.write.mode("overwrite").parquet(f"{path}/tables/{name}")
-    (w.orders.withColumn("order_month", m.month_key("order_date"))
-     .hint("rebalance", "order_month")
-     .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/tables/orders"))
+    orders = w.orders.withColumn("order_month", m.month_key("order_date"))
+    if w.path is None:
+        orders = orders.hint("rebalance", "order_month")
+    (orders.write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/tables/orders"))
     spark = w.staging.sparkSession
     impact_path = f"{path}/customers/customer_impact"
     impact.customer_impact(w.order_returns).write.mode("overwrite").parquet(impact_path)
-    for page, tables in result_tables(w, spark.read.parquet(impact_path)).items():
+    sold = stored(products.product_summary(w.order_facts), "product-summary")
+    for page, tables in result_tables(w, spark.read.parquet(impact_path), sold).items():
         for name, rows in tables.items():
             rows.write.mode("overwrite").parquet(f"{path}/{page}/{name}")
 

@@ -15,9 +15,20 @@ def pareto_loss(facts: DataFrame, buckets: int | None = None) -> DataFrame:
 
     The summary per product is stored; ordering reads that and not the facts again.
     """
-    losses = stored(product_summary(facts)
-                    .select("product_id", "category", F.col("return_loss").alias("total_loss"))
-                    .filter(F.col("total_loss") > 0), "product-losses")
+    return _cumulated(stored(_losses(product_summary(facts)), "product-losses"), buckets)
+
+
+def _losses(summary: DataFrame) -> DataFrame:
+    return (summary.select("product_id", "category", F.col("return_loss").alias("total_loss"))
+            .filter(F.col("total_loss") > 0))
+
+
+def pareto_of(summary: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``pareto_loss`` of a stored ``product_summary``."""
+    return _cumulated(_losses(summary), buckets)
+
+
+def _cumulated(losses: DataFrame, buckets: int | None) -> DataFrame:
     running = with_global_order(losses, "total_loss", "product_id",
                                 running_total="cumulative_loss", buckets=buckets)
     return (running.withColumn("_all", grand_total(losses, "total_loss"))

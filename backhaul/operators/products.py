@@ -38,8 +38,14 @@ def product_return_risk(facts: DataFrame, min_orders: int = 3,
                         high: float = segments.HIGH,
                         moderate: float = segments.MODERATE) -> DataFrame:
     """Risk by the unrounded return rate."""
+    return risk_of(product_summary(facts), min_orders, high, moderate)
+
+
+def risk_of(summary: DataFrame, min_orders: int = 3, high: float = segments.HIGH,
+            moderate: float = segments.MODERATE) -> DataFrame:
+    """``product_return_risk`` of a ``product_summary``."""
     returns, orders = F.col("return_orders"), F.col("total_orders")
-    return (product_summary(facts)
+    return (summary
             .filter(orders >= min_orders)
             .withColumn("return_rate", m.rate(returns, orders))
             .withColumn("loss_rate", m.rate(F.col("return_loss"), F.col("gross_revenue")))
@@ -58,7 +64,12 @@ def product_leakage_rank(facts: DataFrame, min_orders: int = 3, k: int = 10) ->
     A rank depends only on the rows ahead, and those are all among the top ``k``, so the
     window sees ``k`` rows instead of every product.
     """
-    worst = (product_summary(facts)
+    return leakage_of(product_summary(facts), min_orders, k)
+
+
+def leakage_of(summary: DataFrame, min_orders: int = 3, k: int = 10) -> DataFrame:
+    """``product_leakage_rank`` of a ``product_summary``."""
+    worst = (summary
              .filter(F.col("total_orders") >= min_orders)
              .orderBy(F.desc("return_loss"), "product_id")
              .limit(k))

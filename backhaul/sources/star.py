@@ -16,6 +16,8 @@ REASONS = ("Defective", "Not as described", "Missing/Wrong item", "No longer nee
            "Slow delivery", "Other")
 
 
+#: Parts (a key, a type and a price each) that are sent to every task instead of moving the lines.
+MOST_PARTS = 2_000_000
 #: Lines that one group of orders should hold.
 LINES_PER_GROUP = 500_000
 
@@ -38,13 +40,20 @@ def read_staging(spark: SparkSession, directory: str, groups: int | None = None)
     buyers = (table("customer")
               .join(geography, F.col("c_nationkey") == F.col("n_nationkey"))
               .select("c_custkey", "r_name"))
-    # orders get their buyer while they are short; the lines, the widest rows, are moved for parts
-    # (unless those are few) and for orders, last, which brings copies of an order id together
+    # orders get their buyer while they are short; the lines, the widest rows, are moved for orders,
+    # which brings copies of an order id together, and for parts first unless those are few
     placed = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-    lines = table("lineitem").join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
-    if groups:
-        lines = lines.repartition(groups, "l_orderkey")
-    rows = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    of_part, of_order = F.col("l_partkey") == F.col("p_partkey"), F.col("l_orderkey") == F.col(
+        "o_orderkey")
+    parts = table("part")
+    if not groups:
+        rows = table("lineitem").join(parts, of_part).join(placed, of_order)
+    elif parts.count() <= MOST_PARTS:
+        rows = (table("lineitem").repartition(groups, "l_orderkey").join(placed, of_order)
+                .join(F.broadcast(parts.select("p_partkey", "p_type", "p_retailprice")), of_part))
+    else:
+        rows = (table("lineitem").join(parts, of_part).repartition(groups, "l_orderkey")
+                .join(placed, of_order))
     return rows.select(*_staging_columns(),
                        *([F.col("l_orderkey").alias(ORDER_GROUP)] if groups else []))
 

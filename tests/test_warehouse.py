@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backhaul import Warehouse
-from backhaul.operators import facts, load, marts, revenue
+from backhaul.operators import facts, load, marts, products, revenue
 from backhaul.operators.facts import with_category
 from backhaul.plans.shared import shared_folder
 from backhaul.schemas import ORDER_GROUP
@@ -146,3 +147,14 @@ def test_order_with_return_in_one_pass_equals_the_join(make):
     ours = load.orders_with_return(dealt).select(*joined.columns)
     assert ours.exceptAll(joined).count() == 0 and joined.exceptAll(ours).count() == 0
     assert load.orders_dedup(dealt).columns == rows.columns
+
+
+def test_marts_summarise_products_once_and_do_not_move_the_orders(loaded, tmp_path, monkeypatch):
+    summaries, hints = [], []
+    summary, hint = products.product_summary, DataFrame.hint
+    monkeypatch.setattr(products, "product_summary",
+                        lambda rows: (summaries.append(1), summary(rows))[1])
+    monkeypatch.setattr(DataFrame, "hint",
+                        lambda self, *a: (hints.append(a[0]), hint(self, *a))[1])
+    marts.write_marts(loaded, str(tmp_path / "marts"))
+    assert len(summaries) == 1 and "rebalance" not in hints
