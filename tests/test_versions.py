@@ -99,3 +99,16 @@ def test_value_that_moves_to_another_column_is_a_change(spark, make):
     b = make.staging(dict(payment_method=None, region="x"))
     digests = [versions._digests("staging", r).first()["digest"] for r in (a, b, a)]
     assert digests[0] == digests[2] != digests[1]
+
+
+def test_parts_are_moved_and_not_copied(spark, make, tmp_path, monkeypatch):
+    stored = []
+    store = versions._store
+    monkeypatch.setattr(versions, "_store", lambda name, *a: (stored.append(name), store(name, *a)))
+    path = str(tmp_path / "w")
+    versions.refresh(rows_of(make), path)
+    assert stored == ["returns"]
+    assert not os.path.exists(f"{path}/_work/1")
+    assert versions.read(spark, path).orders.count() == 4
+    assert {"order_facts/part=undated/version=1", "staging/part=all/version=1"} <= {
+        os.path.dirname(f) for f in files(path)}
