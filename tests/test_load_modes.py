@@ -85,3 +85,22 @@ def test_stored_facts_look_up_contested_products_only(make, tmp_path):
     for facts in (w.order_facts, derived):
         assert {r["order_id"]: r["category"] for r in facts.collect()} == dict(
             a="Home", b="Home", c="Home", d="Books", e="Books", f=None, g=None, h="Garden")
+
+
+def test_rows_stay_where_they_are_when_constraints_are_enforced(make):
+    tables = (make.customers(dict(customer_id="C1")), make.products(dict(product_id="P1")),
+              make.orders(dict(order_id="a"), dict(order_id="a"), dict(order_id="b"),
+                          dict(order_id="c", customer_id="C9"), dict(order_id="d", product_id="P9")),
+              make.returns(dict(return_id="1", order_id="b"), dict(return_id="2", order_id="c")))
+    kept, aside = constraints.enforce(*tables)
+    for rows in (*kept.values(), *aside.values()):
+        rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan
+    found = {name: sorted((r[0], *r["violations"]) for r in rows.collect())
+             for name, rows in aside.items()}
+    assert found["orders"] == [("a", "UNIQUE order_id"), ("a", "UNIQUE order_id"),
+                               ("c", "FOREIGN KEY customer_id"), ("d", "FOREIGN KEY product_id")]
+    assert [r["order_id"] for r in kept["orders"].collect()] == ["b"]
+    assert [r["return_id"] for r in kept["returns"].collect()] == ["1"]
+    assert [r["return_id"] for r in aside["returns"].collect()] == ["2"]
