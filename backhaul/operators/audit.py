@@ -1,10 +1,10 @@
 """All rules of all tables in one pass: every row is read once and meets the others of its keys.
 
 A row of a table is turned into an entry for each key it carries (order, customer, product, return)
-and for each rule it breaks by itself. One aggregation by kind and key then knows how often the key
+and one for the rules it breaks by itself. One aggregation by kind and key then knows how often the key
 is in its own table and in the table that refers to it, which tells repeated keys and orphans, and
 one more adds that up to a single row. Entries are counted in their task first, so a key with a
-third of all rows stays cheap, and a clean row adds no entries but those of its keys.
+third of all rows stays cheap, and so do the few combinations of broken rules.
 
 A task holds an entry for every key of its part of a table, so entries are narrow: kind and key are
 one text, beside two whole numbers. Staging, which no rule compares with another table by key, has an
@@ -37,7 +37,8 @@ COPY = "+"
 KINDS = ("order", "customer", "product", "return", RULE)
 DATES = ("order_date", "delivered_date", "request_date")
 LATE = "delivered before ordered"
-AMOUNTS = "orders amounts"
+#: The entry of the orders' amounts.
+AMOUNTS = "$"
 #: Hundredths that make one large part of an amount, see ``_entries``.
 LARGE = 10_000_000
 
@@ -60,6 +61,13 @@ def _named(kind: str, key: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{letter}="), key.cast("string")), F.lit(letter))
 
 
+def _rules_entry(table: str, broken: list[Column]) -> Column:
+    """The text for all rules that a row breaks: a bit for each of the table. A set of entries that
+    every row has needs no sorting out by row, which costs more than the aggregation of this one."""
+    bits = [F.when(b, F.lit(1 << i)).otherwise(F.lit(0)) for i, b in enumerate(broken)]
+    return _named(RULE, F.concat(F.lit(f"{table} "), reduce(Column.__add__, bits).cast("string")))
+
+
 def _entries(table: str, rows: DataFrame, amounts: bool) -> DataFrame:
     """``amounts``: those of orders are added as well, as hundredths in two whole numbers."""
     def entry(name: Column, own: Column, refs: Column) -> Column:
@@ -71,14 +79,12 @@ def _entries(table: str, rows: DataFrame, amounts: bool) -> DataFrame:
     entries = [entry(_named(kind, F.col(column)), *((one, none) if kind == own_kind else
                                                    (none, one)))
                for kind, column in KEYS[table].items()]
-    entries += [F.when(condition, entry(_named(RULE, F.lit(f"{table} {name}")), one, none))
-                for name, condition in _broken(table).items()]
+    entries.append(entry(_rules_entry(table, list(_broken(table).values())), one, none))
     if table == "orders" and amounts:
         hundredths = (F.col("total_amount").cast(MONEY) * 100).cast("long")
         rest = hundredths % LARGE
-        entries.append(F.when(hundredths.isNotNull(), entry(
-            _named(RULE, F.lit(AMOUNTS)), rest, (hundredths - rest) / LARGE)))
-    return rows.select(F.inline(F.array_compact(F.array(*entries))))
+        entries.append(entry(F.lit(AMOUNTS), rest, (hundredths - rest) / LARGE))
+    return rows.select(F.inline(F.array(*entries)))
 
 
 def _counted(tables: dict[str, DataFrame], amounts: bool = False) -> DataFrame:
@@ -97,8 +103,12 @@ def _is(kind: str) -> Column:
     return F.ascii("entry") == ord(kind[0])
 
 
+def _has_key() -> Column:
+    return F.octet_length("entry") > 1
+
+
 def _key() -> Column:
-    return F.when(F.length("entry") > 1, F.substr("entry", F.lit(3)))
+    return F.when(_has_key(), F.substr("entry", F.lit(3)))
 
 
 def per_key(tables: dict[str, DataFrame]) -> DataFrame:
@@ -140,11 +150,10 @@ def per_product(staging: DataFrame) -> DataFrame:
             (F.col(c) if c in columns else F.lit(None).cast(t)).alias(c)
             for c, t in nothing.items()])
 
-    entries = rows.select(F.inline(F.array_compact(F.array(
+    entries = rows.select(F.inline(F.array(
         entry(_named("product", F.col("product_id")), "hash_a", "hash_b"),
         entry(order, "amount", INGEST_SEQ),
-        *[F.when(F.col(f"`{name}`"), entry(_named(RULE, F.lit(f"staging {name}"))))
-          for name in _broken("staging")]))))
+        entry(_rules_entry("staging", [F.col(f"`{name}`") for name in _broken("staging")])))))
     differ = [F.min(h) != F.max(h) for h in ("hash_a", "hash_b")]
     found = entries.groupBy("entry").agg(
         F.count(F.lit(1)).alias("in_staging"), F.sum("amount").alias("staging_amount"),
@@ -152,7 +161,7 @@ def per_product(staging: DataFrame) -> DataFrame:
         *([] if together else [F.min_by("amount", INGEST_SEQ).alias("first_amount")]))
     if together:
         found = found.withColumn("first_amount", F.when(_is("order"), F.col("staging_amount")))
-    named = _is("order") & (F.length("entry") > 1)
+    named = _is("order") & _has_key()
     return found.withColumn("staging_orders", F.when(
         named, F.col("in_staging") if together else F.lit(1).cast("long")))
 
@@ -167,22 +176,27 @@ def audit(customers: DataFrame, products: DataFrame, orders: DataFrame, returns:
     """One row with everything the reports need; see the names below. What is measured on staging,
     and the orders' revenue beside it, is there if staging is given."""
     tables = {"customers": customers, "products": products, "orders": orders, "returns": returns}
-    known = _key().isNotNull()
+    known = F.col("known")
+
+    def of(kind: str) -> Column:
+        return F.col("letter") == ord(kind[0])
 
     def total(value: Column, kind: str, condition: Column | None = None) -> Column:
-        return F.sum(F.when(_is(kind) if condition is None else _is(kind) & condition, value))
+        return F.sum(F.when(of(kind) if condition is None else of(kind) & condition, value))
 
     def number(value: Column, kind: str, condition: Column | None = None) -> Column:
         return F.coalesce(total(value, kind, condition), F.lit(0))
 
     def broken(value: Column, table: str, rule: str) -> Column:
-        return number(value, RULE, _key() == f"{table} {rule}")
+        bit = F.lit(1 << list(_broken(table)).index(rule))
+        return number(value, RULE, (F.col("table") == table) & (
+            F.col("bits").bitwiseAND(bit) > 0))
 
     here, returned = _rows_in("orders", "order"), _rows_in("returns", "order")
     results = {f"{name}_count": number(_rows_in(name, next(iter(keys))), next(iter(keys)))
                for name, keys in KEYS.items()}
     results |= {
-        "duplicate_order_count": F.count_if(_is("order") & (here > 1)),
+        "duplicate_order_count": F.count_if(of("order") & (here > 1)),
         # rows of the join of orders with returns
         "joined_orders": number(here * F.greatest(returned, F.lit(1)), "order", known),
         "joined_returns": number(here * returned, "order", known),
@@ -195,7 +209,7 @@ def audit(customers: DataFrame, products: DataFrame, orders: DataFrame, returns:
         for c in columns:
             kind = kind_of[name, c]
             results[violation(name, "UNIQUE", c)] = F.count_if(
-                _is(kind) & known & (_rows_in(name, kind) > 1))
+                of(kind) & known & (_rows_in(name, kind) > 1))
     for child, c, parent in FOREIGN_KEYS:
         kind = kind_of[child, c]
         lost = _rows_in(parent, kind) == 0
@@ -206,7 +220,7 @@ def audit(customers: DataFrame, products: DataFrame, orders: DataFrame, returns:
     counted = _counted(tables, amounts=staging is not None)
     if staging is not None:
         counted = counted.unionByName(per_product(staging), allowMissingColumns=True)
-        large, rest = (total(F.col(c), RULE, _key() == AMOUNTS).cast("decimal(20,0)")
+        large, rest = (total(F.col(c), AMOUNTS).cast("decimal(20,0)")
                        for c in ("refs", "own"))
         results |= {
             "staging_count": number(F.col("in_staging"), "product"),
@@ -214,9 +228,14 @@ def audit(customers: DataFrame, products: DataFrame, orders: DataFrame, returns:
             "staging_revenue": F.sum("staging_amount"),
             "first_revenue": F.sum("first_amount"),
             "orders_revenue": ((large * LARGE + rest) / 100).cast("decimal(38,2)"),
-            "conflicting_products": F.count_if(_is("product") & F.col("several_categories")),
-            "staging_products": F.count_if(_is("product") & known & (F.col("in_staging") > 0)),
+            "conflicting_products": F.count_if(of("product") & F.col("several_categories")),
+            "staging_products": F.count_if(of("product") & known & (F.col("in_staging") > 0)),
             **{f"staging {rule}": broken(F.col("in_staging"), "staging", rule)
                for rule in _broken("staging")},
         }
-    return counted.agg(*[value.alias(name) for name, value in results.items()])
+    # worked out once for a key, not in every result
+    marked = counted.select(
+        "*", F.ascii("entry").alias("letter"), _has_key().alias("known"),
+        F.when(_is(RULE), F.substring_index(_key(), " ", 1)).alias("table"),
+        F.when(_is(RULE), F.substring_index(_key(), " ", -1).try_cast("int")).alias("bits"))
+    return marked.agg(*[value.alias(name) for name, value in results.items()])
