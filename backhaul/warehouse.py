@@ -11,12 +11,13 @@ from backhaul.functions import metrics as m
 from backhaul.operators import constraints
 from backhaul.operators import facts as f
 from backhaul.operators import load
-from backhaul.plans.shared import store_table
+from backhaul.plans.shared import remove, store_table, write_table
 from backhaul.schemas import ORDER_GROUP, ORDERS, PRODUCTS, RETURNS
 from backhaul.sources import staging as source
 
 #: Contested products (a key and a category each) that are sent to every task of the orders.
 MOST_CONTESTED = 1_000_000
+MODES = ("audit", "quarantine", "fail")
 
 
 @dataclass(frozen=True)
@@ -68,19 +69,28 @@ class Warehouse:
 
         Staging that carries ``ORDER_GROUP``, dealt into ``groups`` by it, is stored in buckets of
         the groups. Copies of an order are not moved again then.
+
+        Orders that are moved more than once, for return, category and month, are stored in between
+        under ``path``/joined, so that the files of one move are gone before the next.
         """
-        if mode not in ("audit", "quarantine", "fail"):
+        if mode not in MODES:
             raise ValueError(f"unknown mode {mode!r}")
+        if groups:
+            staging = store_table(staging, f"{path}/staging", [ORDER_GROUP], groups)
+        else:
+            write_table(staging, f"{path}/staging")
+            staging = staging.sparkSession.read.parquet(f"{path}/staging")
+        return cls._derive(staging, path, mode, groups)
+
+    @classmethod
+    def _derive(cls, staging: DataFrame, path: str, mode: str, groups: int | None) -> Warehouse:
+        """``load`` of staging that is stored under ``path`` already."""
         spark = staging.sparkSession
 
         def store(name: str, rows: DataFrame) -> DataFrame:
-            rows.write.mode("overwrite").parquet(f"{path}/{name}")
+            write_table(rows, f"{path}/{name}")
             return spark.read.parquet(f"{path}/{name}")
 
-        if groups:
-            staging = store_table(staging, f"{path}/staging", [ORDER_GROUP], groups)
-        else:
-            staging = store("staging", staging)
         cleaned = {"customers": load.customers_dim(staging),
                    "products": load.products_dim(staging),
                    "returns": load.returns_clean(staging)}
@@ -88,11 +98,13 @@ class Warehouse:
             cleaned["products"] = load.marked_products(staging)
             kept = {name: store(name, rows) for name, rows in cleaned.items()}
             contested = kept["products"].filter(load.CONTESTED)
-            if contested.count() <= MOST_CONTESTED:
-                contested = F.broadcast(contested)
-            returned = (load.orders_with_return(staging) if groups else f.order_returns(
-                load.orders_with_own_category(staging), kept["returns"]))
-            facts = f.with_modal_category(returned, contested)
+            few = contested.count() <= MOST_CONTESTED
+            returned = (load.orders_with_return(staging) if groups else store(
+                "joined/returned", f.order_returns(load.orders_with_own_category(staging),
+                                                   kept["returns"])))
+            facts = f.with_modal_category(returned, F.broadcast(contested) if few else contested)
+            if not few:
+                facts = store("joined/facts", facts)
         else:
             orders = load.orders_clean(staging)
             raw = {name: store(f"cleaned/{name}", rows) for name, rows in
@@ -106,9 +118,9 @@ class Warehouse:
             orders = kept.pop("orders")
             kept = {name: store(name, rows) for name, rows in kept.items()}
             facts = f.order_facts(orders, kept["products"], kept["returns"])
-        (facts.withColumn("order_month", m.month_key("order_date"))
-         .hint("rebalance", "order_month")
-         .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/order_facts"))
+        write_table(facts.withColumn("order_month", m.month_key("order_date"))
+                    .hint("rebalance", "order_month"), f"{path}/order_facts", "order_month")
+        remove(spark, f"{path}/joined")
         loaded = cls.read(spark, path)
         return replace(loaded, grouped=staging, groups=groups) if groups else loaded
 
