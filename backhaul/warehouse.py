@@ -117,7 +117,9 @@ class Warehouse:
                 raise ValueError(f"rows that break a constraint: {counts}")
             orders = kept.pop("orders")
             kept = {name: store(name, rows) for name, rows in kept.items()}
-            facts = f.order_facts(orders, kept["products"], kept["returns"])
+            returned = store("joined/returned", f.order_returns(orders, kept["returns"]))
+            remove(spark, f"{path}/cleaned")
+            facts = store("joined/facts", f.with_category(returned, kept["products"]))
         write_table(facts.withColumn("order_month", m.month_key("order_date"))
                     .hint("rebalance", "order_month"), f"{path}/order_facts", "order_month")
         remove(spark, f"{path}/joined")

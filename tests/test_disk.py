@@ -49,3 +49,17 @@ def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     assert spark.conf.get(shared.RELEASE) == "false"
     assert spark.read.parquet(f"{tmp_path}/a").count() == 1000
     assert all(f.endswith(".zstd.parquet") for f in files(tmp_path))
+
+
+@pytest.mark.parametrize("mode", ["audit", "quarantine"])
+def test_a_load_leaves_its_tables_alone(spark, make, tmp_path, monkeypatch, mode):
+    """Orders moved step by step, as if the contested products were too many to send."""
+    monkeypatch.setattr("backhaul.warehouse.MOST_CONTESTED", 0)
+    path, rows = str(tmp_path / "w"), staged(make)
+    w = Warehouse.load(rows, path, mode)
+    assert set(os.listdir(path)) == {"staging", "customers", "products", "returns", "order_facts",
+                                     *(["quarantine"] if mode == "quarantine" else [])}
+    assert all(f.endswith(".zstd.parquet") for f in files(path))
+    lazy = Warehouse.from_staging(rows).order_facts
+    assert sorted(map(str, w.order_facts.select(lazy.columns).collect())) == sorted(
+        map(str, lazy.collect()))
