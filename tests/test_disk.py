@@ -63,3 +63,10 @@ def test_a_load_leaves_its_tables_alone(spark, make, tmp_path, monkeypatch, mode
     lazy = Warehouse.from_staging(rows).order_facts
     assert sorted(map(str, w.order_facts.select(lazy.columns).collect())) == sorted(
         map(str, lazy.collect()))
+
+
+def test_a_version_is_stored_like_a_load(spark, make, tmp_path):
+    path = str(tmp_path / "v")
+    versions.refresh(staged(make), path)
+    assert not any(map(files, (f"{path}/_work",)))
+    assert files(path) and all(f.endswith(".zstd.parquet") for f in files(path))
