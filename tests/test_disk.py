@@ -70,3 +70,24 @@ def test_a_version_is_stored_like_a_load(spark, make, tmp_path):
     versions.refresh(staged(make), path)
     assert not any(map(files, (f"{path}/_work",)))
     assert files(path) and all(f.endswith(".zstd.parquet") for f in files(path))
+
+
+def test_arrivals_are_there_once(spark, make, tmp_path):
+    rows = staged(make)
+    jobs.store_arrivals(rows, load.parse_date("order_date"), str(tmp_path))
+    assert os.listdir(tmp_path) == ["arrivals"]
+    assert spark.read.parquet(f"{tmp_path}/arrivals/*").count() == 12
+
+
+def test_a_stream_keeps_few_states(spark, make, tmp_path):
+    rows, seen = staged(make), {}
+    jobs.store_arrivals(rows, load.parse_date("order_date"), str(tmp_path / "in"))
+    stream = jobs.dedup(jobs.read_files(spark, f"{tmp_path}/in/arrivals/*", rows.schema, 16))
+
+    def start(writer):
+        seen.update({name: spark.conf.get(name) for name in jobs.STATES_KEPT})
+        return writer.format("parquet").start(f"{tmp_path}/out/data")
+
+    jobs._run(stream, f"{tmp_path}/out", start, partitions=2)
+    assert seen == jobs.STATES_KEPT and seen["spark.sql.streaming.minBatchesToRetain"] == "2"
+    assert spark.conf.get("spark.sql.streaming.minBatchesToRetain", "100") == "100"
