@@ -91,3 +91,13 @@ def test_a_stream_keeps_few_states(spark, make, tmp_path):
     jobs._run(stream, f"{tmp_path}/out", start, partitions=2)
     assert seen == jobs.STATES_KEPT and seen["spark.sql.streaming.minBatchesToRetain"] == "2"
     assert spark.conf.get("spark.sql.streaming.minBatchesToRetain", "100") == "100"
+
+
+def test_an_ended_stream_leaves_what_it_emitted(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(entry, "_folder", lambda w, purpose: f"{tmp_path}/{purpose}")
+    monkeypatch.setattr(entry, "_STORED", {})
+    rows = staged(make)
+    got = entry._stream_dedup(Warehouse.from_staging(rows))
+    assert sorted(r["order_id"] for r in got.collect()) == [f"O{i}" for i in range(6)]
+    assert os.listdir(tmp_path) == ["stream-dedup"]
+    assert os.listdir(tmp_path / "stream-dedup") == ["data"]
