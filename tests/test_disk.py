@@ -101,3 +101,32 @@ def test_an_ended_stream_leaves_what_it_emitted(spark, make, tmp_path, monkeypat
     assert sorted(r["order_id"] for r in got.collect()) == [f"O{i}" for i in range(6)]
     assert os.listdir(tmp_path) == ["stream-dedup"]
     assert os.listdir(tmp_path / "stream-dedup") == ["data"]
+
+
+def test_csv_files_go_when_they_are_loaded(spark, make, tmp_path, monkeypatch):
+    """Compressed files of few records, in load order."""
+    monkeypatch.setattr(entry, "_folder", lambda w, purpose: f"{tmp_path}/{purpose}")
+    monkeypatch.setattr(entry, "_STORED", {})
+    monkeypatch.setattr(entry, "CSV_RECORDS", 2)
+    stored = []
+    read = Warehouse.load_csv.__func__
+
+    def load_csv(cls, spark, folder, path):
+        stored.extend(f for f in os.listdir(folder) if f.startswith("part-"))
+        return read(cls, spark, folder, path)
+
+    monkeypatch.setattr(Warehouse, "load_csv", classmethod(load_csv))
+    rows = staged(make)
+    w = entry._csv_warehouse(Warehouse.from_staging(rows))
+    assert len(stored) >= 8 and all(f.endswith(".csv.gz") for f in stored)
+    assert os.listdir(tmp_path / "csv") == ["tables"]
+    assert set(os.listdir(tmp_path / "csv/tables")) == {
+        "staging", "customers", "products", "returns", "order_facts", "malformed"}
+    assert w.malformed.count() == 3
+    text = [F.regexp_replace(c, "\n", " ").alias(c) for c in ("return_reason", "payment_method")]
+    kept = ["order_id", "total_amount", *text]
+    changed = rows.select("order_id", "total_amount", "return_reason", F.regexp_replace(
+        "payment_method", "URGENT", '"URGENT"').alias("payment_method"))
+    assert sorted(w.staging.select(*kept).collect()) == sorted(changed.collect())
+    first = load.orders_dedup(rows).select("order_id", "quantity")
+    assert sorted(w.orders.select("order_id", "quantity").collect()) == sorted(first.collect())
